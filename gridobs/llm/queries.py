@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridobs.llm import ann, chat, jaccard, lengths, packing, quality, sharding, toxicity
+from gridobs.llm import ann, chat, html, jaccard, lengths, packing, quality, sharding, toxicity
 from gridobs.llm._shared import table
 
 N_SHARDS = 8
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -56,7 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op2_quality_rules, op3_chat_formatting, op4_sharding, op5_toxicity, op7_nearest_neighbours, op8_jaccard_join,
+            op2_quality_rules, op3_chat_formatting, op4_sharding, op5_toxicity, op6_html_extraction, op7_nearest_neighbours, op8_jaccard_join,
             op9_best_fit_packing, op10_token_counts,
         )
     }
