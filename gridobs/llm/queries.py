@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridobs.llm import ann, chat, html, jaccard, lengths, packing, quality, sharding, toxicity
+from gridobs.llm import ann, chat, html, jaccard, lengths, packing, quality, sentencepieces, sharding, toxicity
 from gridobs.llm._shared import table
 
 N_SHARDS = 8
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"))).drop("decoded")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.bucket_weights(docs, table(spark, sf_dir, "labels").where("quality = 1"))
@@ -60,7 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op2_quality_rules, op3_chat_formatting, op4_sharding, op5_toxicity, op6_html_extraction, op7_nearest_neighbours, op8_jaccard_join,
+            op1_sentencepiece, op2_quality_rules, op3_chat_formatting, op4_sharding, op5_toxicity, op6_html_extraction, op7_nearest_neighbours, op8_jaccard_join,
             op9_best_fit_packing, op10_token_counts,
         )
     }
