@@ -44,7 +44,7 @@ def bucket_weights(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     """
     good = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_good")).distinct()
     flagged = (
-        df.select(id_col, text_col).join(good, F.col(id_col) == F.col("_good"), "left")
+        df.select(id_col, text_col).join(good.hint("shuffle_hash"), F.col(id_col) == F.col("_good"), "left")  # the same plan at every size; texts stream past the ids, unsorted
         .select(F.col(text_col).alias("_t"), F.col("_good").isNotNull().cast("long").alias("_trusted"))
     )
     per_row = with_hashes(flagged, "_t").select("_trusted", F.explode(buckets(F.col("_w"), n_buckets)).alias("bucket"))
