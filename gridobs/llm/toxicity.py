@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDERS, BITS, MAX_ROWS, MAX_FEATURES = (3, 4, 5, 6, 7), 20, 20_000, 8192
+ORDERS, BITS, MAX_ROWS, MAX_FEATURES = (3, 4, 5, 6, 7), 20, 10_000, 8192
 #: Score from which a text is rejected.
 REJECT = 0.7
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, max(ORDERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,16 +52,16 @@ class Model:
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on the scaled binary features, both classes weighted alike, by gradient steps of Adam."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.zeros(0, int)
-    x = ratio[col]
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    col = np.concatenate(rows)
+    x = ratio.astype(np.float32)[col]
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, bias = np.zeros(len(ratio)), 0.0
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[col] * x, len(rows)) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w.astype(np.float32)[col] * x, len(rows)) + bias, -30, 30)))
         g = (p - y) * share
-        grad = np.append(np.bincount(col, g[at] * x, len(ratio)) + l2 * w, g.sum())
+        grad = np.append(np.bincount(col, g.astype(np.float32)[at] * x, len(ratio)) + l2 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
@@ -105,11 +105,11 @@ def train(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_present(t.as_py(), table) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], ["features", "y"])
+            found = [_present(t.as_py(), table).astype("<i2").tobytes() for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["features", "y"])
 
-    sample = rows.mapInArrow(featurize, "features array<int>, y int").orderBy("y", "features").collect()
-    w, bias = _fit([np.array(r.features, dtype=int) for r in sample], np.array([r.y for r in sample]), ratio)
+    sample = rows.mapInArrow(featurize, "features binary, y int").orderBy("y", "features").collect()  # at most max_rows rows of 2 * max_features bytes
+    w, bias = _fit([np.frombuffer(r.features, dtype="<i2") for r in sample], np.array([r.y for r in sample]), ratio)
     return Model(buckets, w * ratio, bias)
 
 
