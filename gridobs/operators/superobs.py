@@ -26,10 +26,11 @@ def bootstrap_table(spark, sizes: Sequence[int], resamples: int = 100, seed: int
     return spark.createDataFrame(rows, "_size int, _low array<int>, _high array<int>")
 
 
-def _sample_std(a: Column) -> Column:
-    n = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / (n - 1))
+def _sample_std(a: Column, near: Column, n: Column) -> Column:
+    """Sample spread in one pass over the array, with values taken from ``near`` so that equal values give exactly 0."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    add = lambda t, x: F.struct((t["s"] + (x - near)).alias("s"), (t["q"] + (x - near) * (x - near)).alias("q"))
+    return F.aggregate(a, zero, add, lambda t: F.sqrt(F.greatest(F.lit(0.0), (t["q"] - t["s"] * t["s"] / n) / (n - 1))))
 
 
 def super_observation(df: DataFrame, by: Sequence[str] = (), with_error: bool = True, resamples: int = 100, seed: int = 42, max_group: int = 10_000) -> DataFrame:
@@ -50,7 +51,9 @@ def super_observation(df: DataFrame, by: Sequence[str] = (), with_error: bool =
     plan = bootstrap_table(df.sparkSession, sizes, resamples, seed)
     medians = F.zip_with("_low", "_high", lambda a, b: (F.get("_v", a) + F.get("_v", b)) / 2)
     out = out.join(F.broadcast(plan), F.size("_v") == F.col("_size"), "left")  # at most max_group rows
-    error = F.when(F.col("_low").isNotNull(), _sample_std(medians)).when(F.size("_v") == 2, _sample_std(F.col("_v"))).when(F.size("_v") > 2, _sample_std(F.col("_v")) / F.sqrt(F.size("_v").cast("double")))
+    first, n = F.get("_v", F.lit(0)), F.size("_v")
+    own = _sample_std(F.col("_v"), first, n)
+    error = F.when(F.col("_low").isNotNull(), _sample_std(medians, first, F.size("_low"))).when(n == 2, own).when(n > 2, own / F.sqrt(n.cast("double")))
     return out.withColumn("xco2_bootstrap_std", error).drop("_v", "_size", "_low", "_high")
 
 
