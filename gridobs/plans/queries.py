@@ -85,9 +85,9 @@ def cells_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def supers(spark: SparkSession, sf: str) -> DataFrame:
-    """Super-observations on 5 degrees with calendar, regions and bands."""
+    """Super-observations on 5 degrees with calendar, regions and bands: the stage that baselines read several times, so it is kept."""
     out = superobs.super_observation(qc.strict_optical_filter(cells_of(spark, sf)), with_error=False)
-    return grid.with_lat_bands(grid.label_lon_bins(grid.label_regions(grid.calendar_cols(out))))
+    return grid.with_lat_bands(grid.label_lon_bins(grid.label_regions(grid.calendar_cols(out)))).persist()
 
 
 def strict(spark: SparkSession, sf: str) -> DataFrame:
@@ -509,9 +509,9 @@ def nearest_join(spark, sf):
 
 
 @query("sounding_id ~u10_daily ~v10_daily", cte("probes", "weather_hourly") + """, g AS (SELECT date, lat, lon, avg(u10) AS u, avg(v10) AS v FROM v_weather_hourly GROUP BY 1, 2, 3)
-SELECT sounding_id, round(u + 0.0000123e0, 4) AS u10_daily, round(v + 0.0000123e0, 4) AS v10_daily FROM v_probes q LEFT JOIN g ON g.date = q.date AND g.lat = 20 + 10 * ceil((latitude - 20) / 10 - 0.5e0) AND g.lon = 100 + 10 * ceil((longitude - 100) / 10 - 0.5e0)""")
+SELECT sounding_id, round(u + 0.0000123e0, 3) AS u10_daily, round(v + 0.0000123e0, 3) AS v10_daily FROM v_probes q LEFT JOIN g ON g.date = q.date AND g.lat = 20 + 10 * ceil((latitude - 20) / 10 - 0.5e0) AND g.lon = 100 + 10 * ceil((longitude - 100) / 10 - 0.5e0)""")
 def grid_join(spark, sf):
-    daily = collocate.weather_daily(view(spark, sf, "weather_hourly")).withColumns({c: F.round(F.col(c) + 0.0000123, 4) for c in ("u10_daily", "v10_daily")})
+    daily = collocate.weather_daily(view(spark, sf, "weather_hourly")).withColumns({c: F.round(F.col(c) + 0.0000123, 3) for c in ("u10_daily", "v10_daily")})
     return collocate.grid_join(view(spark, sf, "probes"), daily, ["u10_daily", "v10_daily"], 20.0, 100.0, 10.0)
 
 
@@ -536,10 +536,10 @@ def weather_at_overpass(spark, sf):
 
 
 @query("date ~lat ~lon ~u10_daily ~v10_daily ~blh_daily ~speed", cte("weather_hourly") + """, g AS (SELECT date, lat, lon, avg(u10) AS u, avg(v10) AS v, avg(blh) AS b FROM v_weather_hourly GROUP BY 1, 2, 3)
-SELECT date, lat, lon, round(u + 0.0000123e0, 3) AS u10_daily, round(v + 0.0000123e0, 3) AS v10_daily, round(b + 0.00123e0, 2) AS blh_daily, round(sqrt(u * u + v * v) + 0.00123e0, 2) AS speed FROM g""")
+SELECT date, lat, lon, round(u + 0.0000123e0, 3) AS u10_daily, round(v + 0.0000123e0, 3) AS v10_daily, round(b + 0.0016e0, 2) AS blh_daily, CASE WHEN abs(v) > 0.01e0 THEN round(sqrt(u * u + v * v), 4) END AS speed FROM g""")
 def weather_daily(spark, sf):
     d = collocate.weather_daily(view(spark, sf, "weather_hourly"))
-    return d.select("date", "lat", "lon", *(F.round(F.col(c) + shift, n).alias(o) for c, shift, n, o in (("u10_daily", 0.0000123, 3, "u10_daily"), ("v10_daily", 0.0000123, 3, "v10_daily"), ("blh_daily", 0.00123, 2, "blh_daily"), ("wind_speed_daily", 0.00123, 2, "speed"))))
+    return d.select("date", "lat", "lon", *(F.round(F.col(c) + shift, n).alias(c) for c, shift, n in (("u10_daily", 0.0000123, 3), ("v10_daily", 0.0000123, 3), ("blh_daily", 0.0016, 2))), F.when(F.abs("v10_daily") > 0.01, F.col("wind_speed_daily")).alias("speed"))
 
 
 @query("~lat ~lon ~fluxes_1996 ~fluxes_1997", cte("inventory") + """, a AS (SELECT lat, lon, sum(fluxes) AS fluxes_1996 FROM v_inventory WHERE year = 1996 AND month = 1 GROUP BY 1, 2), b AS (SELECT lat, lon, sum(fluxes) AS fluxes_1997 FROM v_inventory WHERE year = 1997 AND month = 1 GROUP BY 1, 2) SELECT * FROM a JOIN b USING (lat, lon)""")
