@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, THRESHOLD, SYMBOLS, BLANKS = 1 << 16, -0.15, "#*$%&|<>", " \t\n\x0b\x0c\r"
+BUCKETS, SMOOTHING, THRESHOLD, SYMBOLS, BLANKS = 1 << 16, 20.0, -0.15, "#*$%&|<>", " \t\n\x0b\x0c\r"
 
 
 def words(text: Column) -> Column:
@@ -38,7 +38,10 @@ def buckets(hashes: Column, n_buckets: int = BUCKETS) -> Column:
 
 
 def bucket_weights(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = BUCKETS) -> list[float]:
-    """Log-likelihood ratio of each bucket, add-one smoothed, target against raw; counts are over all rows.
+    """Log-likelihood ratio of each bucket, target against raw; counts are over all rows.
+
+    Both counts get ``SMOOTHING`` n-grams in the target's share, so a bucket of few n-grams, which is as likely absent from
+    the target by chance, says little.
 
     ``trusted`` holds the ids of the target rows. Without any target row all weights are 0.
     """
@@ -52,10 +55,10 @@ def bucket_weights(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     raw, target = [0] * n_buckets, [0] * n_buckets
     for r in found:
         raw[r.bucket], target[r.bucket] = r.raw, r.target
-    n_raw, n_target = sum(raw) + n_buckets, sum(target) + n_buckets
-    if n_target == n_buckets:
+    if not sum(target):
         return [0.0] * n_buckets
-    return [math.log((t + 1) / n_target) - math.log((r + 1) / n_raw) for t, r in zip(target, raw)]
+    share = sum(target) / sum(raw)
+    return [math.log((t + SMOOTHING * share) / (r + SMOOTHING)) - math.log(share) for t, r in zip(target, raw)]
 
 
 def judge(df: DataFrame, weights: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -93,3 +96,9 @@ def judge(df: DataFrame, weights: list[float], text_col: str = "text", threshold
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
     )
     return rows.select(*(c for c in df.columns if c not in added), *added)
+
+
+def keep(judged: DataFrame) -> DataFrame:
+    """The kept rows. The row number ties the filter to the rows as judged: without it the optimiser copies the nested array
+    expressions behind ``kept`` into the filter, once for every use, and the work grows exponentially."""
+    return judged.withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")

@@ -73,8 +73,8 @@ def test_quality_against_brute_force(spark):
         raw.update(grams(t))
         if i in (1, 32):
             target.update(grams(t))
-    n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
-    want = [math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n) for b in range(quality.BUCKETS)]
+    share, k = sum(target.values()) / sum(raw.values()), quality.SMOOTHING
+    want = [math.log((target[b] + k * share) / (raw[b] + k)) - math.log(share) for b in range(quality.BUCKETS)]
     assert weights == pytest.approx(want, abs=1e-12)
     out = quality.judge(df, weights)
     assert out.columns[:2] == ["doc_id", "text"] and len(set(out.columns)) == len(out.columns)
