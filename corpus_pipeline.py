@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules (operator 2) keep; the target is the rows labelled good, the corpus is all rows."""
     weights = quality.bucket_weights(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    return quality.judge(docs, weights).where("kept").select(docs.columns)
+    return quality.keep(quality.judge(docs, weights)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
