@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridobs.llm._shared import materialize
@@ -168,9 +168,9 @@ def _keys(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
 
 def hub_members(df: DataFrame, rule: Rule, text_col: str = "text") -> DataFrame:
     """``hub, cls``: every class that shares a block with others, at the smallest class of that block."""
-    keys = _keys(df, rule, text_col).repartition("key")
-    hubs = keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top").drop("top")
-    return keys.join(hubs, "key").select("hub", "cls").distinct()
+    block = Window.partitionBy("key")  # one exchange of the keys; aggregating and joining back made them, and moved them, twice
+    keys = _keys(df, rule, text_col).select("cls", F.min("cls").over(block).alias("hub"), F.max("cls").over(block).alias("top"))
+    return keys.where("hub < top").select("hub", "cls").distinct()
 
 
 def _sketches(sets: list[np.ndarray], words: int) -> np.ndarray:
