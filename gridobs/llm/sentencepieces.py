@@ -161,14 +161,44 @@ def fold_merges(edges: str = "edges") -> F.Column:
     return F.get(F.transform(F.array(by_span), folded), 0)
 
 
+def fold_merges_by_bits(edges: str = "edges") -> F.Column:
+    """The result of ``fold_merges`` for atoms of at most 62 characters, whose symbol bounds are the bits of one long."""
+
+    def bit(at):
+        return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+    spans = F.transform(F.col(edges), lambda e: F.struct(
+        (-e["score"]).alias("loss"), e["start"].alias("start"), e["id"].alias("id"),
+        bit(e["start"]).bitwiseOR(bit(e["end"])).alias("ends"), (bit(e["end"]) - bit(e["start"] + 1)).alias("within"),
+    ))
+
+    def merged(best_first, length):
+        def step(bounds, _):
+            ready = F.filter(best_first, lambda x: (bounds.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bounds.bitwiseAND(x["within"])) == 1))
+            return bounds.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, 0)["within"], F.lit(0).cast("long"))))
+
+        return F.aggregate(F.sequence(F.lit(1), length), bit(length + 1) - 1, step)
+
+    def folded(s):
+        longer = F.array_sort(F.filter(s, lambda x: x["within"] != 0))
+        length = F.get(s, F.size(s) - 1)["start"] + 1  # the last edge ends the atom; the shortest one of that end comes last
+        bounds = F.transform(F.array(longer), lambda x: merged(x, length))
+        left = F.transform(bounds, lambda b: F.filter(s, lambda x: (b.bitwiseAND(x["ends"]) == x["ends"]) & (b.bitwiseAND(x["within"]) == 0)))
+        return F.transform(F.get(left, 0), lambda x: F.struct(x["start"].alias("at"), x["id"].alias("id")))
+
+    return F.get(F.transform(F.array(spans), folded), 0)
+
+
 def segment(atoms: DataFrame, path: str, unigram: bool = False) -> DataFrame:
     """``atom, ids``: the segmentation of each distinct atom, ``ids`` an array of (at, id), id -1 where a character has no piece.
 
     Folding costs the square of an atom's length, so the few atoms of more than ``LONG_ATOM`` characters are segmented by the library, each for itself.
     """
     model = pieces(path, unigram)
-    short = lattice(atoms.where(F.length("atom") <= LONG_ATOM), model)
-    return short.select("atom", (fold_merges() if model.bpe else fold_viterbi()).alias("ids"))
+    # placed by atom before they are expanded: joining the pieces and grouping the edges then need no exchange
+    short = lattice(atoms.where(F.length("atom") <= LONG_ATOM).repartition("atom"), model)
+    merges = F.when(F.length("atom") <= 62, fold_merges_by_bits()).otherwise(fold_merges())
+    return short.select("atom", (merges if model.bpe else fold_viterbi()).alias("ids"))
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, unigram: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -210,19 +240,21 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     needs = packed.select("block", "packed").mapInArrow(split, "block long, atom string").where(F.length("atom") <= LONG_ATOM)
     needs = materialize(needs.groupBy("atom").agg(F.collect_set("block").alias("blocks")))
     ids = segment(needs.select("atom"), path, unigram)
-    of_block = needs.join(ids, "atom").select(F.explode("blocks").alias("block"), "atom", F.transform("ids", lambda x: x["at"]).alias("at"), F.transform("ids", lambda x: x["id"]).alias("id"))
+    # a character without a piece is told by its place: -1 - at
+    codes = F.transform("ids", lambda x: F.when(x["id"] >= 0, x["id"]).otherwise(-1 - x["at"]))
+    of_block = needs.join(ids, "atom").select("blocks", "atom", codes.alias("codes")).select(F.explode("blocks").alias("block"), "atom", "codes")
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
         z = zstandard.ZstdDecompressor()
         known: dict[str, bytes] = {}
-        starts, codes = (right.column(c).combine_chunks() for c in ("at", "id"))
+        codes = right.column("codes").combine_chunks()
         edges = codes.offsets.to_numpy()
-        starts, codes = starts.values.to_numpy(zero_copy_only=False), codes.values.to_numpy(zero_copy_only=False).astype("<i4")
+        codes = codes.values.to_numpy(zero_copy_only=False).astype("<i4")
         for k, atom in enumerate(right.column("atom").to_pylist()):
             a, b = edges[k], edges[k + 1]
             got = codes[a:b]
             if got.min(initial=0) < 0:
-                got = np.array([x for at, i in zip(starts[a:b], got) for x in ([i] if i >= 0 else model.unknown(atom[at]))], dtype="<i4")
+                got = np.array([x for i in got.tolist() for x in ([i] if i >= 0 else model.unknown(atom[-1 - i]))], dtype="<i4")
             known[atom] = got.tobytes()
         library = processor(path, unigram)
         out_ids, texts = [], []
