@@ -6,8 +6,9 @@ set bit. For sets of at most ``hi`` shingles, similarity ``t`` allows a symmetri
 ``d`` blocks at least one block is equal in both (pigeonhole). Sets are compared inside bands of size, and a set also joins the larger bands that its partners may be in.
 
 Sets that share a block meet at the smallest of them (the hub of the block), so that a block is never expanded into pairs of rows. Each
-hub's sets are compared in fixed-size tiles: parity sketches bound the symmetric difference from below, what the bound
-leaves is verified exactly, and only the links of a spanning forest leave the tile. Equal sets count as one from the start.
+hub's sets are compared in fixed-size tiles, first by short parity sketches alone, whose distance bounds the symmetric difference from below:
+only sets with a partner within the bound are sent whole to the tile, verified exactly, and leave it as the links of a spanning forest.
+Equal sets count as one from the start.
 """
 
 from __future__ import annotations
@@ -132,15 +133,18 @@ def block_keys(hashes: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def shingle_sets(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, cls``: class of equal sets; null for empty sets, which link with nothing."""
+    """``doc_id, n_shingles, cls, sketch``: class of equal sets and its parity sketch; null for empty sets, which link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_hashes(t.as_py(), rule.width) for t in b.column(1)]
             cls = [set_id(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n_shingles", "cls"])
+            sketch = [parity_sketch(s).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"]
+            )
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
 
 
 def _keys(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
@@ -181,6 +185,28 @@ def _sketches(sets: list[np.ndarray], words: int) -> np.ndarray:
     return out
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity bits, at least two a shingle, their number a power of two: halves of a sketch XOR to the sketch of half its length."""
+    return _sketches([hashes], 1 << (max(len(hashes) - 1, 0) // 32).bit_length())[0]
+
+
+def tile_candidates(sketches: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: np.ndarray | None, rule: Rule) -> np.ndarray:
+    """Which sets have a partner that their sketches allow to be linked: of positions ``left`` among themselves if ``right`` is None, else across."""
+    words = min(map(len, sketches))
+    folded = np.stack([np.bitwise_xor.reduce(s.reshape(-1, words), axis=0) for s in sketches])
+    out = np.zeros(len(sketches), dtype=bool)
+    for k, i in enumerate(left):
+        rest = left[k + 1 :] if right is None else right
+        allowed = (100 - rule.percent) * (size[rest] + size[i]) // (100 + rule.percent)
+        near = np.abs(size[rest] - size[i]) <= allowed
+        rest, allowed = rest[near], allowed[near]
+        rest = rest[np.bitwise_count(folded[rest] ^ folded[i]).sum(axis=1, dtype=np.int64) <= allowed]
+        if len(rest):
+            out[i] = True
+            out[rest] = True
+    return out
+
+
 def tile_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, rule: Rule) -> list[tuple[int, int]]:
     """A spanning forest of the links between two lists of (class, set), or inside one if ``right`` is None."""
     both = left + (right or [])
@@ -215,7 +241,30 @@ def tile_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nda
 def links(df: DataFrame, sets: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """``a, b``: verified links between classes, enough to connect whatever is linked."""
     members = materialize(hub_members(df, rule, text_col))
-    wanted = members.select("cls").distinct().join(sets.groupBy("cls").agg(F.min("doc_id").alias("_rep")), "cls").select("_rep", "cls")
+    classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("_rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
+    # a member of a hub of many tiles goes to every pair of tiles that has its own
+    placed = members.join(sizes, "hub").withColumn("_own", F.pmod(F.xxhash64("cls"), F.col("tiles").cast("long")).cast("int"))
+    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = placed.select("hub", "cls", "_own", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))
+    rough = placed.join(classes.select("cls", "n", "sketch"), "cls").groupBy("hub", "x", "y").agg(F.collect_list(F.struct("_own", "cls", "n", "sketch")).alias("sets"))
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hub, x, y = (batch.column(k)[i].as_py() for k in range(3))
+                rows = batch.column(3).slice(i, 1).flatten()
+                own, cls, n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("_own", "cls", "n"))
+                sketches = [np.frombuffer(s, dtype=np.uint64) for s in rows.field("sketch").to_pylist()]
+                left, right = np.flatnonzero(own == x), None if x == y else np.flatnonzero(own == y)
+                keep = tile_candidates(sketches, n, left, right, rule)
+                if keep.any():
+                    k = int(keep.sum())
+                    same = [pa.array(np.full(k, v)).cast(t) for v, t in ((hub, pa.int64()), (x, pa.int32()), (y, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(own[keep], pa.int32()), pa.array(cls[keep], pa.int64())], ["hub", "x", "y", "_own", "cls"])
+
+    placed = materialize(rough.mapInArrow(prune, "hub long, x int, y int, _own int, cls long"))
+    wanted = placed.select("cls").distinct().join(classes.select("_rep", "cls"), "cls").select("_rep", "cls")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,11 +273,6 @@ def links(df: DataFrame, sets: DataFrame, rule: Rule, id_col: str = "doc_id", te
 
     texts = wanted.join(df.select(F.col(id_col).cast("long").alias("_doc"), text_col), F.col("_rep") == F.col("_doc")).select("cls", text_col)
     known = texts.mapInArrow(hashes, "cls long, hashes array<long>").dropDuplicates(["cls"])
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    # a member of a hub of many tiles goes to every pair of tiles that has its own
-    placed = members.join(sizes, "hub").withColumn("_own", F.pmod(F.xxhash64("cls"), F.col("tiles").cast("long")).cast("int"))
-    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.select("hub", "cls", "_own", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))
     work = placed.join(known, "cls").groupBy("hub", "x", "y").agg(F.collect_list(F.struct("_own", "cls", "hashes")).alias("sets"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
