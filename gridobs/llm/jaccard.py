@@ -295,7 +295,7 @@ def links(df: DataFrame, sets: DataFrame, rule: Rule, id_col: str = "doc_id", te
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``cls, comp``: the smallest class reachable by links, for classes that have any. Neighbours' minima and pointer jumps, until nothing changes."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = materialize(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())  # a union would verify twice
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "cls"))
     for _ in range(max_rounds):
         around = both.join(labels, F.col("b") == F.col("cls")).groupBy("a").agg(F.min("comp").alias("near"))
