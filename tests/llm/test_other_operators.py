@@ -236,3 +236,20 @@ def test_same_rows_as_sql(spark, name):
 
     n, m, wrong, n_wrong = compare.differences(queries.queries()[name](spark, SF), compare.connect(SF), queries.oracle_sql()[name])
     assert n and (n, n_wrong) == (m, 0), wrong
+
+
+def test_sketches_never_hide_a_link():
+    rule, rng = jaccard.Rule(5, 80), np.random.default_rng(3)
+    sets = []
+    for size in (1, 2, 9, 40, 300, 1500):
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for cut in (0, size // 20, size // 10, size // 3):
+            sets.append(np.unique(np.concatenate((base[cut:], rng.integers(0, 1 << 63, cut, dtype=np.uint64)))))
+    sketches, size, every = [jaccard.parity_sketch(s) for s in sets], np.array([len(s) for s in sets]), np.arange(len(sets))
+    linked = lambda i, j: i != j and rule.links(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))
+    want = {i for i in every if any(linked(i, j) for j in every)}
+    assert want and want <= set(np.flatnonzero(jaccard.tile_candidates(sketches, size, every, None, rule)))
+    left, right = every[::2], every[1::2]
+    want = {k for i in left for j in right if linked(i, j) for k in (i, j)}
+    found = set(np.flatnonzero(jaccard.tile_candidates(sketches, size, left, right, rule)))
+    assert want and want <= found and len(found) < len(sets)
