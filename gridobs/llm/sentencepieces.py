@@ -151,7 +151,8 @@ def fold_merges(edges: str = "edges") -> F.Column:
                 lambda x, k: F.struct(F.try_element_at(m, x.cast("long") * 4096 + F.get(b, k + 2))["score"].alias("score"), (-k).alias("k")),
             )
             best = F.array_max(F.filter(gain, lambda g: g["score"].isNotNull()))
-            return F.when(best.isNull(), b).otherwise(F.filter(b, lambda x, i: i != F.lit(1) - best["k"]))
+            # bound once: a lambda would look for it again at every bound
+            return F.get(F.transform(F.array(best), lambda g: F.when(g.isNull(), b).otherwise(F.filter(b, lambda x, i: i != F.lit(1) - g["k"]))), 0)
 
         bounds = F.aggregate(F.sequence(F.lit(1), length), F.sequence(F.lit(0), length), step)
         return F.transform(
@@ -177,7 +178,7 @@ def fold_merges_by_bits(edges: str = "edges") -> F.Column:
             ready = F.filter(best_first, lambda x: (bounds.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bounds.bitwiseAND(x["within"])) == 1))
             return bounds.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, 0)["within"], F.lit(0).cast("long"))))
 
-        return F.aggregate(F.sequence(F.lit(1), length), bit(length + 1) - 1, step)
+        return F.aggregate(F.sequence(F.lit(1), length), F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), length + 1)), step)  # all bounds; 1 << 63 less 1 overflows
 
     def folded(s):
         longer = F.array_sort(F.filter(s, lambda x: x["within"] != 0))

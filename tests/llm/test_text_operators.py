@@ -38,6 +38,16 @@ def test_viterbi_ids_are_the_best_path_of_the_library_s_lattice(spark):
     assert got == {w: [library.piece_to_id(p) for p in library.nbest_encode_as_pieces(w, 2)[0]] for w in words}
 
 
+def test_atoms_at_the_bounds_of_the_folds_are_the_library_s(spark):
+    path = sentencepieces.default_path()
+    model, library = sentencepieces.pieces(path), sentencepieces.processor(path)
+    sizes = (61, 62, 63, 200, 201)
+    rows = [(n, (w * 200)[: n - 1]) for n in sizes for w in ("a", "therein", "onationalis")]
+    assert {len(a) for _, t in rows for w in sentencepieces.words(t) for a in model.atoms(w)} == set(sizes)
+    got = sentencepieces.encode(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text, list(r.ids)) for r in got) == sorted((i, t, library.encode(t)) for i, t in rows)
+
+
 def test_encode_empty_table(spark):
     assert sentencepieces.decode(sentencepieces.encode(docs(spark, []))).count() == 0
 
