@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridobs.operators.grid import K
@@ -21,6 +21,15 @@ def bootstrap_ranks(n: int, resamples: int = 100, seed: int = 42) -> tuple[tuple
     return tuple(drawn[:, (n - 1) // 2].tolist()), tuple(drawn[:, n // 2].tolist())
 
 
+def drawn_ranks(n: int, resamples: int = 100, seed: int = 42) -> tuple[list[int], list[int]]:
+    """The ranks of ``bootstrap_ranks`` for a large ``n``, drawn from their own distribution: a middle value of n uniform draws is a beta variate."""
+    rng = np.random.RandomState(seed)
+    k = (n + 1) // 2
+    low = rng.beta(k, n - k + 1, resamples)
+    high = low if n % 2 else low + (1 - low) * rng.beta(1, n - k, resamples)
+    return tuple(np.minimum((u * n).astype(np.int64), n - 1).tolist() for u in (low, high))
+
+
 def bootstrap_table(spark, sizes: Sequence[int], resamples: int = 100, seed: int = 42) -> DataFrame:
     rows = [(int(n), *map(list, bootstrap_ranks(int(n), resamples, seed))) for n in sizes]
     return spark.createDataFrame(rows, "_size int, _low array<int>, _high array<int>")
@@ -33,28 +42,67 @@ def _sample_std(a: Column, near: Column, n: Column) -> Column:
     return F.aggregate(a, zero, add, lambda t: F.sqrt(F.greatest(F.lit(0.0), (t["q"] - t["s"] * t["s"] / n) / (n - 1))))
 
 
+def _large_group_error(df: DataFrame, large: DataFrame, keys: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """``keys, _error``: the bootstrap error of the groups in ``large`` (``keys, _n``), without collecting a group's values.
+
+    A group's values fall into buckets around its median; counts tell which buckets hold the drawn ranks, and only these are numbered. Bounds
+    of buckets are approximate, which moves work between tasks but no rank. Equal values are counted first. ``large`` has a row per ``max_group`` soundings at most.
+    """
+    ranks = F.udf(lambda n: drawn_ranks(n, resamples, seed), "struct<low: array<long>, high: array<long>>")
+    large = large.withColumn("_r", ranks("_n")).select(*keys, F.col("_r.low").alias("_low"), F.col("_r.high").alias("_high")).persist()
+    rows = df.select(*keys, F.col("xco2").cast("double").alias("_x")).where("_x IS NOT NULL").join(F.broadcast(large.select(*keys)), keys)
+    widths = [0.001 * 2**k for k in range(9)]
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx("_x", [0.5 - w for w in reversed(widths)] + [0.5 + w for w in widths], 10_000).alias("_bounds"))
+    rows = rows.join(F.broadcast(bounds), keys).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_x"))))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_in"))
+    counts = counts.withColumn("_before", F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_in"))  # a row per bucket
+    wanted = counts.join(large, keys).select(*keys, "_bucket", "_before", F.filter(
+        F.array_distinct(F.concat("_low", "_high")), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in"))
+    ).alias("_ranks")).where("size(_ranks) > 0")
+    values = rows.join(F.broadcast(wanted.select(*keys, "_bucket")), [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_x").agg(F.count("*").alias("_c"))
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_bucket").orderBy("_x"))
+    values = values.join(wanted, [*keys, "_bucket"]).withColumn("_end", end)
+    hit = F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_c")) & (r < F.col("_end")))
+    found = values.select(*keys, F.explode(hit).alias("_rank"), "_x").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
+    medians = F.zip_with("_low", "_high", lambda a, b: (F.try_element_at("_at", a) + F.try_element_at("_at", b)) / 2)
+    out = found.join(large, keys).withColumn("_m", medians)
+    return out.select(*keys, _sample_std(F.col("_m"), F.get("_m", F.lit(0)), F.size("_m")).alias("_error"))
+
+
 def super_observation(df: DataFrame, by: Sequence[str] = (), with_error: bool = True, resamples: int = 100, seed: int = 42, max_group: int = 10_000) -> DataFrame:
     """Per date and cell (and ``by``, e.g. a sensor): medians of xco2 and no2, means of the rest, ``n_soundings``, ``xco2_bootstrap_std``.
 
     The error is NULL below two values, the sample spread for two, and from three on the spread of the medians of the resamples.
     Values of a group are sorted, so the error doesn't depend on the order of rows. The ranks of the resamples are a table with a row per group size
-    that occurs; groups of more than ``max_group`` soundings use the spread over the root of the number of values. NULL keys are dropped.
+    that occurs; for groups of more than ``max_group`` soundings they are drawn from their own distribution and the values are found by rank,
+    not collected. NULL keys are dropped.
     """
     keys = ["date", *K, *by]
     df = df.dropna(subset=keys)
     means = [F.avg(c).alias(c) for c in MEANS if c in df.columns]
-    values = [F.sort_array(F.collect_list(F.col("xco2").cast("double"))).alias("_v")] if with_error else []
+    values = []
+    if with_error:
+        count = df.groupBy(*keys).agg(F.count(F.col("xco2").cast("double")).alias("_n"))
+        sizes = [r[0] for r in count.select(F.least("_n", F.lit(max_group + 1))).distinct().collect()]
+        large = count.where(F.col("_n") > max_group) if max(sizes, default=0) > max_group else None
+        x = F.col("xco2").cast("double")
+        if large is not None:
+            df = df.join(F.broadcast(large.select(*keys, F.lit(True).alias("_large"))), keys, "left")  # a row per max_group soundings at most
+            x = F.when(F.col("_large").isNull(), x)
+        values = [F.sort_array(F.collect_list(x)).alias("_v")]
     out = df.groupBy(*keys).agg(F.median("xco2").alias("xco2"), F.median("tropomi_no2").alias("tropomi_no2"), *means, F.count("xco2").alias("n_soundings"), *values)
     if not with_error:
         return out
-    sizes = [r.n for r in out.select(F.size("_v").alias("n")).where(f"n BETWEEN 3 AND {max_group}").distinct().orderBy("n").collect()]
-    plan = bootstrap_table(df.sparkSession, sizes, resamples, seed)
+    plan = bootstrap_table(df.sparkSession, sorted(n for n in sizes if 3 <= n <= max_group), resamples, seed)
     medians = F.zip_with("_low", "_high", lambda a, b: (F.get("_v", a) + F.get("_v", b)) / 2)
     out = out.join(F.broadcast(plan), F.size("_v") == F.col("_size"), "left")  # at most max_group rows
     first, n = F.get("_v", F.lit(0)), F.size("_v")
-    own = _sample_std(F.col("_v"), first, n)
-    error = F.when(F.col("_low").isNotNull(), _sample_std(medians, first, F.size("_low"))).when(n == 2, own).when(n > 2, own / F.sqrt(n.cast("double")))
-    return out.withColumn("xco2_bootstrap_std", error).drop("_v", "_size", "_low", "_high")
+    error = F.when(F.col("_low").isNotNull(), _sample_std(medians, first, F.size("_low"))).when(n == 2, _sample_std(F.col("_v"), first, n))
+    out = out.withColumn("xco2_bootstrap_std", error).drop("_v", "_size", "_low", "_high")
+    if large is None:
+        return out
+    found = _large_group_error(df.drop("_large"), large, keys, resamples, seed)
+    return out.join(F.broadcast(found), keys, "left").withColumn("xco2_bootstrap_std", F.coalesce("_error", "xco2_bootstrap_std")).drop("_error")
 
 
 def mode_land_counts(df: DataFrame) -> DataFrame:

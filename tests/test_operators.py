@@ -44,6 +44,22 @@ def test_bootstrap_against_the_exact_error(spark):
     assert got[4].xco2_bootstrap_std == pytest.approx(exact, rel=0.1)
 
 
+def test_bootstrap_is_one_statistic_at_every_size(spark):
+    rng = np.random.default_rng(2)
+    groups = {0: rng.standard_t(2, 3000), 1: rng.standard_t(2, 3001), 2: rng.choice([400.0, 410.0], 2500, p=[0.49, 0.51]), 3: np.full(2000, 400.0), 4: rng.normal(400, 3, 12), 5: [1.0, 2.0]}
+    rows = [(D, 0, k, float(v), 1.0, 20.0, 100.0) for k, vs in groups.items() for v in vs] + [(D, 0, 0, None, 1.0, 20.0, 100.0)]
+    df = spark.createDataFrame(rows, "date date, lat_idx int, lon_idx int, xco2 double, tropomi_no2 double, latitude double, longitude double")
+    run = lambda m: {r.lon_idx: r for r in superobs.super_observation(df, resamples=1000, max_group=m).drop("date").collect()}
+    few, many = run(10_000), run(100)
+    assert len(few) == len(many) == 6
+    for k, vs in groups.items():
+        assert [x for c, x in many[k].asDict().items() if c != "xco2_bootstrap_std"] == [x for c, x in few[k].asDict().items() if c != "xco2_bootstrap_std"]
+        assert many[k].xco2_bootstrap_std == pytest.approx(few[k].xco2_bootstrap_std, rel=0.12)
+        if len(vs) > 100:
+            x, (low, high) = np.sort(vs), superobs.drawn_ranks(len(vs), 1000)
+            assert many[k].xco2_bootstrap_std == pytest.approx(np.std((x[low] + x[high]) / 2, ddof=1), rel=1e-9, abs=1e-9)
+
+
 def zonal(spark, rows, columns):
     df = spark.createDataFrame([(D, 0, i, *r) for i, r in enumerate(rows)], f"date date, lat_idx int, lon_idx int, {columns}")
     return {r.lon_idx: r.xco2_background for r in baseline.daily_zonal_background(df).collect()}[0]
