@@ -271,7 +271,9 @@ def links(df: DataFrame, sets: DataFrame, rule: Rule, id_col: str = "doc_id", te
             s = [shingle_hashes(t.as_py(), rule.width).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["cls", "hashes"])
 
-    texts = wanted.join(df.select(F.col(id_col).cast("long").alias("_doc"), text_col), F.col("_rep") == F.col("_doc")).select("cls", text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("_doc"), text_col)
+    # a class that has no id is found among the rows without one; the join with placed leaves out what is not wanted
+    texts = wanted.join(rows, F.col("_rep") == F.col("_doc")).select("cls", text_col).union(rows.where("_doc IS NULL").select("_doc", text_col))
     known = texts.mapInArrow(hashes, "cls long, hashes array<long>").dropDuplicates(["cls"])
     work = placed.join(known, "cls").groupBy("hub", "x", "y").agg(F.collect_list(F.struct("_own", "cls", "hashes")).alias("sets"))
 

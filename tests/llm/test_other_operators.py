@@ -238,6 +238,16 @@ def test_same_rows_as_sql(spark, name):
     assert n and (n, n_wrong) == (m, 0), wrong
 
 
+def test_a_text_without_id_links_two_others(spark):
+    w = [f"w{i}" for i in range(104)]
+    text = lambda k: " ".join(w[k:] + [f"z{i}" for i in range(k)])
+    rows = [(1, text(0)), (None, text(8)), (2, text(16)), (3, "something else that is linked with nothing here")]
+    got = jaccard.near_duplicates(docs(spark, rows), jaccard.Rule(5, 80)).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 3)]
+    apart = jaccard.near_duplicates(docs(spark, [rows[0], *rows[2:]]), jaccard.Rule(5, 80)).collect()
+    assert all(r.doc_id == r.component_id for r in apart)
+
+
 def test_sketches_never_hide_a_link():
     rule, rng = jaccard.Rule(5, 80), np.random.default_rng(3)
     sets = []
