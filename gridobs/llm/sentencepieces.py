@@ -1,34 +1,41 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-Every distinct atom of the corpus (a stretch of text that no piece crosses the ends of) is expanded into its substrings of bounded length;
-an equi-join with the piece table keeps the edges of its lattice; edges are grouped by atom, and a higher-order ``aggregate`` folds them:
+Every distinct atom of the corpus (a word, or the parts of one that no piece crosses the ends of) is expanded into its substrings of bounded
+length; an equi-join with the piece table keeps the edges of its lattice; edges are grouped by atom, and a higher-order ``aggregate`` folds them
+by Viterbi: the segmentation with the largest sum of scores, of equal sums the one with the longer last piece. These are the ids of the
+sentencepiece library for the same pieces and scores read as a unigram model, word by word (over a long text the library adds up in single precision).
 
-* for a unigram model by Viterbi: the segmentation with the largest sum of scores;
-* for a BPE model by merges over the same edges: the best-scored edge that spans two neighbouring symbols, leftmost first. Viterbi cannot give
-  a BPE model's segmentation, since no sum of scores describes an order of merges.
+``merges=True`` reads the model file as BPE instead: the best-scored edge over two neighbouring symbols is merged, leftmost first. No sum of
+scores describes an order of merges, so the two readings differ in ids; both are lossless.
 
-Either way the ids are those of the sentencepiece library for the same model. Texts are cut into blocks of bounded size; each block meets
-the segmentations of its own atoms, so nothing that grows with the corpus is broadcast.
+Texts are cut into blocks of bounded size; each block meets the segmentations of its own atoms, so nothing that grows with the corpus is broadcast.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridobs.llm._shared import materialize
-
-BLANK, BLOCK_CHARS, LONG_ATOM = "▁", 32_000_000, 200
+BLANK = "▁"
+#: Bytes of text that meet their dictionary in one Python group, that a task holds before it sends them, and per partition of the atoms.
+BLOCK_CHARS, CHUNK_BYTES, ATOM_BYTES = 12_000_000, 8_000_000, 4_000_000
+#: Words remembered as told by a task; characters up to which an atom is folded by an aggregate.
+SEEN_WORDS, FOLD_CHARS = 1_000_000, 200
+_CHUNK = pa.schema([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -40,16 +47,26 @@ def default_path() -> str:
 class Pieces:
     """A model file's ordinary pieces with ids and scores, its byte pieces, and which neighbouring characters pieces hold."""
 
-    bpe: bool
     ordinary: tuple[tuple[str, int, float], ...]
     byte_id: tuple[int, ...]
     text_of: tuple[bytes, ...]
-    inside: frozenset[str]
+    inside: np.ndarray
     longest: int
 
-    def atoms(self, word: str) -> list[str]:
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside), len(word)]
-        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    def atoms(self, of: list[str]) -> tuple[list[str], list[int]]:
+        """The atoms of all given words, one after the other, and how many each word has."""
+        if not of:
+            return [], []
+        said = "".join(of)
+        codes = np.frombuffer(said.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        pairs = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.inside, pairs), len(self.inside) - 1)
+        cut = np.append(self.inside[at] != pairs, True)  # whether an atom ends with this character
+        ends = np.cumsum([len(w) for w in of])
+        cut[ends - 1] = True
+        counts = np.diff(np.cumsum(cut)[ends - 1], prepend=0)
+        edges = [0, *(np.flatnonzero(cut) + 1).tolist()]
+        return [said[a:b] for a, b in zip(edges[:-1], edges[1:])], counts.tolist()
 
     def unknown(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -77,7 +94,7 @@ def processor(path: str, unigram: bool = False):
 
 
 @lru_cache(maxsize=4)
-def pieces(path: str, unigram: bool = False) -> Pieces:
+def pieces(path: str) -> Pieces:
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
@@ -91,26 +108,24 @@ def pieces(path: str, unigram: bool = False) -> Pieces:
     text_of = tuple(
         bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else p.piece.replace(BLANK, " ").encode() if p.type == kind.NORMAL else b"" for p in proto.pieces
     )
-    inside = frozenset(p[k : k + 2] for p, _, _ in ordinary for k in range(len(p) - 1))
-    return Pieces(proto.trainer_spec.model_type == 2 and not unigram, ordinary, byte_id, text_of, inside, max(len(p) for p, _, _ in ordinary))
+    inside = np.array(sorted({ord(a) << 21 | ord(b) for p, _, _ in ordinary for a, b in zip(p, p[1:])}), dtype=np.int64)
+    return Pieces(ordinary, byte_id, text_of, inside, max(len(p) for p, _, _ in ordinary))
+
 
+def lattice(windows: DataFrame, model: Pieces, keys: list[str]) -> DataFrame:
+    """Edges ``keys, end, start, score, id`` that begin at the first ``starts`` characters of a ``window``, an atom of ``n`` characters from its character ``base`` on.
 
-def lattice(atoms: DataFrame, model: Pieces) -> DataFrame:
-    """``atom, edges`` (array of start, len, score, id by end and start) for a table of distinct atoms. Characters without a piece get id -1."""
-    spark = atoms.sparkSession
-    known = spark.createDataFrame(list(model.ordinary), "piece string, id int, score double")
+    Characters without a piece get id -1.
+    """
+    known = windows.sparkSession.createDataFrame(list(model.ordinary), "piece string, id int, score double")
     lowest = min(s for _, _, s in model.ordinary if s > -1e8) - 10.0
-    # all substrings of bounded length, where they begin
-    spans = F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(0), F.length("atom") - 1),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("atom") - i)), lambda n: F.struct(i.alias("start"), n.alias("len"))),
-    )))
-    parts = atoms.withColumn("s", spans).select("atom", "s.start", "s.len", F.expr("substring(atom, s.start + 1, s.len)").alias("part"))
+    at = F.explode(F.sequence(F.lit(0), F.col("starts") - 1))
+    starts = windows.select(*keys, "window", "base", "n", at.alias("at"))
+    length = F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("base") - F.col("at"))))
+    spans = starts.select(*keys, "window", (F.col("base") + F.col("at")).alias("start"), "at", length.alias("len"))
+    parts = spans.select(*keys, "start", "len", F.expr("substring(window, at + 1, len)").alias("part"))
     edges = parts.join(F.broadcast(known), F.col("part") == F.col("piece"), "left").where(F.col("id").isNotNull() | (F.col("len") == 1))  # the piece table is the model's, of fixed size
-    edge = F.struct(
-        (F.col("start") + F.col("len")).alias("end"), F.col("start"), F.coalesce("score", F.lit(lowest)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id")
-    )
-    return edges.groupBy("atom").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return edges.select(*keys, (F.col("start") + F.col("len")).alias("end"), "start", F.coalesce("score", F.lit(lowest)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
 
 
 def fold_viterbi(edges: str = "edges") -> F.Column:
@@ -162,129 +177,181 @@ def fold_merges(edges: str = "edges") -> F.Column:
     return F.get(F.transform(F.array(by_span), folded), 0)
 
 
-def fold_merges_by_bits(edges: str = "edges") -> F.Column:
-    """The result of ``fold_merges`` for atoms of at most 62 characters, whose symbol bounds are the bits of one long."""
-
-    def bit(at):
-        return F.call_function("shiftleft", F.lit(1).cast("long"), at)
-
-    spans = F.transform(F.col(edges), lambda e: F.struct(
-        (-e["score"]).alias("loss"), e["start"].alias("start"), e["id"].alias("id"),
-        bit(e["start"]).bitwiseOR(bit(e["end"])).alias("ends"), (bit(e["end"]) - bit(e["start"] + 1)).alias("within"),
-    ))
-
-    def merged(best_first, length):
-        def step(bounds, _):
-            ready = F.filter(best_first, lambda x: (bounds.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bounds.bitwiseAND(x["within"])) == 1))
-            return bounds.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, 0)["within"], F.lit(0).cast("long"))))
-
-        return F.aggregate(F.sequence(F.lit(1), length), F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), length + 1)), step)  # all bounds; 1 << 63 less 1 overflows
-
-    def folded(s):
-        longer = F.array_sort(F.filter(s, lambda x: x["within"] != 0))
-        length = F.get(s, F.size(s) - 1)["start"] + 1  # the last edge ends the atom; the shortest one of that end comes last
-        bounds = F.transform(F.array(longer), lambda x: merged(x, length))
-        left = F.transform(bounds, lambda b: F.filter(s, lambda x: (b.bitwiseAND(x["ends"]) == x["ends"]) & (b.bitwiseAND(x["within"]) == 0)))
-        return F.transform(F.get(left, 0), lambda x: F.struct(x["start"].alias("at"), x["id"].alias("id")))
+def segment(atoms: DataFrame, path: str, merges: bool = False) -> DataFrame:
+    """``atom, codes``: the segmentation of each distinct atom of at most ``FOLD_CHARS`` characters; a character without a piece is told by its place, -1 - at.
 
-    return F.get(F.transform(F.array(spans), folded), 0)
+    Rows placed by atom stay where they are: joining the pieces and grouping the edges need no exchange then.
+    """
+    model = pieces(path)
+    edge = F.struct("end", "start", "score", "id")
+    windows = atoms.select("atom", F.col("atom").alias("window"), F.lit(0).alias("base"), F.length("atom").alias("n"), F.length("atom").alias("starts"))
+    ids = lattice(windows, model, ["atom"]).groupBy("atom").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    fold = fold_merges() if merges else fold_viterbi()
+    return ids.select("atom", F.transform(fold, lambda x: F.when(x["id"] >= 0, x["id"]).otherwise(-1 - x["at"])).alias("codes"))
+
+
+def best_path(edges: list[tuple[int, int, float, int]]) -> list[int]:
+    """The rule of ``fold_viterbi`` over edges (end, start, score, code) in order."""
+    best, back = [0.0], [(0, 0)]
+    for end, start, score, code in edges:
+        score += best[start]
+        if end == len(best):
+            best.append(score)
+            back.append((start, code))
+        elif score > best[end]:
+            best[end], back[end] = score, (start, code)
+    at, codes = len(back) - 1, []
+    while at:
+        at, code = back[at]
+        codes.append(code)
+    return codes[::-1]
+
+
+def merged(edges: list[tuple[int, int, float, int]]) -> list[int]:
+    """The rule of ``fold_merges``, with a heap of the neighbours that an edge spans."""
+    span = {(start, end): (-score, code) for end, start, score, code in edges}
+    n = edges[-1][0]
+    after, before = list(range(1, n + 2)), list(range(-1, n + 1))
+    ready = [(span[i, i + 2][0], i, i + 1, i + 2) for i in range(n - 1) if (i, i + 2) in span]
+    heapq.heapify(ready)
+    while ready:
+        _, a, m, b = heapq.heappop(ready)
+        if after[a] != m or after[m] != b:
+            continue
+        after[a], before[b], after[m] = b, a, -1
+        for x, y, z in ((before[a], a, b), (a, b, after[b])):
+            if x >= 0 and z <= n and (x, z) in span:
+                heapq.heappush(ready, (span[x, z][0], x, y, z))
+    at, codes = 0, []
+    while at < n:
+        codes.append(span[at, after[at]][1])
+        at = after[at]
+    return codes
+
+
+def segment_long(atoms: DataFrame, path: str, merges: bool = False) -> DataFrame:
+    """The same for atoms of any length, by the same edges and the same rule: an aggregate copies its state at each step, so here the edges of an atom are
+    sorted and folded one atom after the other. An atom is expanded in windows, and its text doesn't go with its edges.
+    """
+    model, rule = pieces(path), merged if merges else best_path
+    atoms = atoms.select("atom", F.sha2("atom", 256).alias("key"), F.length("atom").alias("n"))
+    base = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(FOLD_CHARS)))
+    window, starts = F.expr(f"substring(atom, base + 1, {FOLD_CHARS + model.longest})"), F.least(F.lit(FOLD_CHARS), F.col("n") - F.col("base"))
+    windows = atoms.select("key", "n", "atom", base.alias("base")).select("key", "n", "base", window.alias("window"), starts.alias("starts"))
+    edges = lattice(windows, model, ["key"]).repartition("key").sortWithinPartitions("key", "end", "start")
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for key, of in groupby(rows, lambda r: r[0]):
+            codes = rule([(end, start, score, code if code >= 0 else -1 - start) for _, end, start, score, code in of])
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([codes], pa.list_(pa.int32()))], ["key", "codes"])
 
-def segment(atoms: DataFrame, path: str, unigram: bool = False) -> DataFrame:
-    """``atom, ids``: the segmentation of each distinct atom, ``ids`` an array of (at, id), id -1 where a character has no piece.
+    codes = edges.select("key", "end", "start", "score", "id").mapInArrow(fold, "key string, codes array<int>")
+    return atoms.join(codes, "key").select("atom", "codes")
 
-    Folding costs the square of an atom's length, so the few atoms of more than ``LONG_ATOM`` characters are segmented by the library, each for itself.
-    """
-    model = pieces(path, unigram)
-    # placed by atom before they are expanded: joining the pieces and grouping the edges then need no exchange
-    short = lattice(atoms.where(F.length("atom") <= LONG_ATOM).repartition("atom"), model)
-    merges = F.when(F.length("atom") <= 62, fold_merges_by_bits()).otherwise(fold_merges())
-    return short.select("atom", (merges if model.bpe else fold_viterbi()).alias("ids"))
 
-
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, unigram: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, merges: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, text, ids``: each row's text and its piece ids, byte pieces for characters without a piece.
 
     A null text stays null and has no ids, nor has an empty one. Repeated rows are encoded each. An empty table gives no rows. Other columns are ignored.
     """
     path = path or default_path()
-    model = pieces(path, unigram)
-    size = df.agg(F.sum(F.length(text_col))).first()[0] or 0
+    size = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_chars))
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([None if t is None else z.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], ["block", "doc_id", "packed"]
-            )
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the same block together, compressed. Copies of one row are dealt over blocks by their number, so no row makes a block large."""
+        z, copies, open_, held = zstandard.ZstdCompressor(level=3), Counter(), {}, 0
+
+        def closed(block: int) -> pa.RecordBatch:
+            ids, texts = open_.pop(block)
+            sizes = [-1 if t is None else len(t) for t in texts]
+            packed = z.compress(b"".join([t or b"" for t in texts]))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, ids, sizes, packed), _CHUNK.types)], schema=_CHUNK)
 
-    docs = df.select(F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(n_blocks)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), text_col)
-    packed = docs.mapInArrow(compress, "block long, doc_id long, packed binary").repartition(n_blocks, "block")
+        for b in batches:
+            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                row = doc, xxhash.xxh3_64_intdigest(raw or b"")
+                block = xxhash.xxh3_64_intdigest(repr((*row, copies[row] // 64))) % n_blocks
+                copies[row] += 1
+                chunk = open_.setdefault(block, ([], []))
+                chunk[0].append(doc)
+                chunk[1].append(raw)
+                held += len(raw or b"")
+            if held > CHUNK_BYTES:
+                yield from [closed(k) for k in list(open_)]
+                held = 0
+        yield from [closed(k) for k in list(open_)]
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
+    packed = rows.mapInArrow(gather, "block int, ids array<long>, sizes array<int>, packed binary").repartition(n_blocks, "block")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, seen, told, of_block = zstandard.ZstdDecompressor(), set(), set(), None
+        z, seen, told = zstandard.ZstdDecompressor(), {}, {}
+        model = pieces(path)
         for b in batches:
-            out: dict[str, list] = {"block": [], "atom": []}
-            for block, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if block != of_block:
-                    seen, told, of_block = set(), set(), block
-                found = set(words(_text(z, blob))) - seen
-                seen |= found
-                new = {a for w in found for a in model.atoms(w)} - told
-                told |= new
-                out["block"] += [block] * len(new)
-                out["atom"] += sorted(new)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("atom", pa.string())]))
-
-    needs = packed.select("block", "packed").mapInArrow(split, "block long, atom string").where(F.length("atom") <= LONG_ATOM)
-    needs = materialize(needs.groupBy("atom").agg(F.collect_set("block").alias("blocks")))
-    ids = segment(needs.select("atom"), path, unigram)
-    # a character without a piece is told by its place: -1 - at
-    codes = F.transform("ids", lambda x: F.when(x["id"] >= 0, x["id"]).otherwise(-1 - x["at"]))
-    of_block = needs.join(ids, "atom").select("blocks", "atom", codes.alias("codes")).select(F.explode("blocks").alias("block"), "atom", "codes")
+            for block, _, sizes, blob in zip(*(c.to_pylist() for c in b.columns)):
+                if sum(map(len, seen.values())) > SEEN_WORDS:  # told again later, and made distinct below
+                    seen, told = {}, {}
+                known = seen.setdefault(block, set())
+                new = set().union(*(words(t) for t in _texts(z, sizes, blob))) - known
+                known |= new
+                atoms = set(model.atoms(list(new))[0]) - told.setdefault(block, set())
+                told[block] |= atoms
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(atoms), pa.int32()), pa.array(list(atoms), pa.string())], ["block", "atom"])
+
+    # an atom has a row per block at most, so none is hot; both uses of these rows, and of the packed texts, share one exchange
+    needs = packed.mapInArrow(split, "block int, atom string").repartition(max(8, size // ATOM_BYTES), "atom")
+    known = needs.groupBy("atom").agg(F.count("block").alias("blocks")).where("blocks > 0")
+    short, long = F.length("atom") <= FOLD_CHARS, F.length("atom") > FOLD_CHARS
+    codes = needs.where(short).join(segment(known.where(short), path, merges), "atom").select("block", "atom", "codes")
+    codes = codes.unionByName(needs.where(long).join(segment_long(known.where(long), path, merges), "atom").select("block", "atom", "codes"))
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
-        z = zstandard.ZstdDecompressor()
-        known: dict[str, bytes] = {}
-        codes = right.column("codes").combine_chunks()
-        edges = codes.offsets.to_numpy()
-        codes = codes.values.to_numpy(zero_copy_only=False).astype("<i4")
-        for k, atom in enumerate(right.column("atom").to_pylist()):
-            a, b = edges[k], edges[k + 1]
-            got = codes[a:b]
-            if got.min(initial=0) < 0:
-                got = np.array([x for i in got.tolist() for x in ([i] if i >= 0 else model.unknown(atom[-1 - i]))], dtype="<i4")
-            known[atom] = got.tobytes()
-        library = processor(path, unigram)
-        out_ids, texts = [], []
-        for blob in left.column("packed").to_pylist():
-            text = _text(z, blob)
-            texts.append(text)
-            found = []
-            for w in words(text):
-                code = known.get(w)
-                if code is None:
-                    code = known[w] = b"".join(known[a] if len(a) <= LONG_ATOM else _long(a, library) for a in model.atoms(w))
-                found.append(code)
-            out_ids.append(np.frombuffer(b"".join(found), dtype="<i4"))
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in out_ids]))).astype(np.int32)
-        flat = np.concatenate([np.zeros(0, "<i4"), *out_ids])
-        return pa.table({"doc_id": left.column("doc_id"), "text": pa.array(texts, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
-
-    return packed.groupBy("block").cogroup(of_block.groupBy("block")).applyInArrow(write, "doc_id long, text string, ids array<int>")
-
-
-def _text(z: zstandard.ZstdDecompressor, blob: bytes | None) -> str | None:
-    return None if blob is None else z.decompress(blob).decode("utf-8", "surrogatepass")
-
-
-def _long(atom: str, library) -> bytes:
-    """Ids of one long atom by the library, without the blank that it puts in front."""
-    plain = atom.replace(BLANK, " ")
-    ids = library.encode(plain[1:]) if plain.startswith(" ") else library.encode("\n" + plain)[len(library.encode("\n")) :]
-    return np.array(ids, dtype="<i4").tobytes()
+        z, model = zstandard.ZstdDecompressor(), pieces(path)
+        found = right.column("codes").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
+        edges, flat = found.offsets.to_numpy(), found.values.to_numpy(zero_copy_only=False).astype("<i4")
+        has_gap = np.flatnonzero(np.add.reduceat(np.append(flat < 0, False), edges[:-1])) if len(flat) else np.zeros(0, int)
+        names = right.column("atom").to_pylist()
+        raw = flat.tobytes()
+        known = {a: raw[4 * i : 4 * j] for a, i, j in zip(names, edges[:-1].tolist(), edges[1:].tolist())}
+        for k in has_gap.tolist():
+            said = [x for i in flat[edges[k] : edges[k + 1]].tolist() for x in ([i] if i >= 0 else model.unknown(names[k][-1 - i]))]
+            known[names[k]] = np.array(said, dtype="<i4").tobytes()
+        code: dict[str, bytes] = {}
+        docs, texts, sizes, out = [], [], [], []
+        for ids, length, blob in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "packed"))):
+            said = [words(t) for t in _texts(z, length, blob)]
+            new = list(set().union(*said) - code.keys())
+            parts, counts = model.atoms(new)
+            parts, at = list(map(known.__getitem__, parts)), 0
+            for w, n in zip(new, counts):
+                code[w] = parts[at] if n == 1 else b"".join(parts[at : at + n])
+                at += n
+            out += [b"".join(map(code.__getitem__, s)) for s in said]
+            docs += ids
+            sizes += length
+            texts.append(z.decompress(blob))
+        sizes = np.array(sizes, dtype=np.int64)
+        text = pa.LargeStringArray.from_buffers(len(docs), pa.py_buffer(_offsets(np.maximum(sizes, 0))), pa.py_buffer(b"".join(texts)), pa.py_buffer(np.packbits(sizes >= 0, bitorder="little")))
+        flat = pa.array(np.frombuffer(b"".join(out), dtype="<i4"))
+        ids = pa.LargeListArray.from_arrays(pa.array(_offsets(np.array([len(x) // 4 for x in out], dtype=np.int64))), flat)
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "text": text.cast(pa.string()), "ids": ids.cast(pa.list_(pa.int32()))})
+
+    return packed.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(write, "doc_id long, text string, ids array<int>")
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+
+
+def _texts(z: zstandard.ZstdDecompressor, sizes: list[int], blob: bytes) -> list[str]:
+    """The texts of a chunk; a null one is empty."""
+    raw, out, at = z.decompress(blob), [], 0
+    for n in sizes:
+        out.append(raw[at : at + max(n, 0)].decode("utf-8", "surrogatepass"))
+        at += max(n, 0)
+    return out
 
 
 def decode_ids(ids: list[int] | np.ndarray, model: Pieces) -> str:

@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -19,33 +20,63 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 # --- operator 1
 
 
-def test_bpe_ids_are_the_library_s(spark):
-    extra = [(20, "  two  blanks "), (21, "<s> </s> <0x41>"), (22, "ab" * 300), (23, "the theatre, ndea*** (x) 3.14\r\n")]
-    rows = [r for r in AWKWARD if r[0] not in (6, 10)] + extra
-    got = sentencepieces.encode(docs(spark, rows), block_chars=500).collect()
-    library = sentencepieces.processor(sentencepieces.default_path())
-    assert sorted((str(r.doc_id), r.text or "", list(r.ids)) for r in got) == sorted((str(i), t or "", library.encode(t or "")) for i, t in rows)
-    back = sentencepieces.decode(sentencepieces.encode(docs(spark, rows)))
-    assert back.where("NOT lossless").count() == 0 and back.count() == len(rows)
+EXTRA = [(20, "  two  blanks "), (21, "<s> </s> <0x41>"), (22, "ab" * 300), (23, "the theatre, ndea*** (x) 3.14\r\n")]
+
+
+@lru_cache
+def scores():
+    model = sentencepieces.pieces(sentencepieces.default_path())
+    score = {p: (s, i) for p, i, s in model.ordinary}
+    return model, score, min(s for s, _ in score.values() if s > -1e8) - 10
+
+
+def best_path(word):
+    """Ids of the largest sum of scores over a word, the longer last piece first among equals, by plain dynamic programming."""
+    model, score, lowest = scores()
+    best = [(0.0, 0, [])]
+    for end in range(1, len(word) + 1):
+        found = [(best[a][0] + score[word[a:end]][0], -a, [score[word[a:end]][1]]) for a in range(max(0, end - 16), end) if word[a:end] in score]
+        if word[end - 1] not in score:
+            found.append((best[end - 1][0] + lowest, 1 - end, model.unknown(word[end - 1])))
+        best.append(max(found, key=lambda x: (x[0], x[1])))
+    out, at = [], len(word)
+    while at:
+        out = best[at][2] + out
+        at = -best[at][1]
+    return out
+
 
+@pytest.fixture(scope="module")
+def encoded(spark):
+    rows = AWKWARD + EXTRA + [(30, "x" * 5000 + " tail")] + [(k + n, (w * 210)[: n - 1]) for k, w in ((1000, "a"), (2000, "therein"), (3000, "onationalis")) for n in (199, 200, 201, 202, 400, 401)]
+    return rows, sentencepieces.encode(docs(spark, rows), block_chars=100_000).collect()
 
-def test_viterbi_ids_are_the_best_path_of_the_library_s_lattice(spark):
-    path = sentencepieces.default_path()
-    library = sentencepieces.processor(path, True)
-    words = ["the", "theatre", "ndeaing", "zzz", "hello", "ou", "x", "internationalisation"]
-    atoms = spark.createDataFrame([(sentencepieces.BLANK + w,) for w in words], "atom string")
-    got = {r.atom[1:]: [x.id for x in r.ids] for r in sentencepieces.segment(atoms, path, unigram=True).collect()}
-    assert got == {w: [library.piece_to_id(p) for p in library.nbest_encode_as_pieces(w, 2)[0]] for w in words}
 
+def test_ids_are_the_best_paths(encoded):
+    rows, got = encoded
+    assert {199, 200, 201, 202, 400, 401} <= {len(a) for _, t in rows for a in sentencepieces.pieces(sentencepieces.default_path()).atoms(sentencepieces.words(t))[0]}
+    ids = {w: best_path(w) for _, t in rows for w in set(sentencepieces.words(t))}
+    assert sorted((str(r.doc_id), r.text or "", list(r.ids)) for r in got) == sorted((str(i), t or "", [x for w in sentencepieces.words(t) for x in ids[w]]) for i, t in rows)
+    assert {r.doc_id for r in got if r.text is None} == {2}
 
-def test_atoms_at_the_bounds_of_the_folds_are_the_library_s(spark):
-    path = sentencepieces.default_path()
-    model, library = sentencepieces.pieces(path), sentencepieces.processor(path)
-    sizes = (61, 62, 63, 200, 201)
-    rows = [(n, (w * 200)[: n - 1]) for n in sizes for w in ("a", "therein", "onationalis")]
-    assert {len(a) for _, t in rows for w in sentencepieces.words(t) for a in model.atoms(w)} == set(sizes)
-    got = sentencepieces.encode(docs(spark, rows)).collect()
-    assert sorted((r.doc_id, r.text, list(r.ids)) for r in got) == sorted((i, t, library.encode(t)) for i, t in rows)
+
+def test_best_paths_are_those_of_the_library_s_lattice():
+    library = sentencepieces.processor(sentencepieces.default_path(), True)
+    for w in ("the", "theatre", "ndeaing", "zzz", "hello", "ou", "x", "internationalisation"):
+        assert best_path(sentencepieces.BLANK + w) == [library.piece_to_id(p) for p in library.nbest_encode_as_pieces(w, 2)[0]]
+
+
+def test_merged_ids_are_the_library_s(spark):
+    library = sentencepieces.processor(sentencepieces.default_path())
+    rows = [r for r in AWKWARD if r[0] not in (6, 9, 10)] + EXTRA + [(24, ("therein" * 40)[:209])]
+    got = sentencepieces.encode(docs(spark, rows), merges=True, block_chars=2000).collect()
+    assert sorted((str(r.doc_id), r.text or "", list(r.ids)) for r in got) == sorted((str(i), t or "", library.encode(t or "")) for i, t in rows)
+
+
+def test_decoding_is_lossless(spark):
+    rows = AWKWARD + EXTRA + [(40, "same row")] * 150
+    back = sentencepieces.decode(sentencepieces.encode(docs(spark, rows), block_chars=100_000))
+    assert back.where("NOT lossless").count() == 0 and back.count() == len(rows)
 
 
 def test_encode_empty_table(spark):
