@@ -25,6 +25,7 @@ from itertools import groupby
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,9 +34,10 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 #: Bytes of text that meet their dictionary in one Python group, that a task holds before it sends them, and per partition of the atoms.
 BLOCK_CHARS, CHUNK_BYTES, ATOM_BYTES = 12_000_000, 8_000_000, 4_000_000
-#: Words remembered as told by a task; characters up to which an atom is folded by an aggregate.
-SEEN_WORDS, FOLD_CHARS = 1_000_000, 200
+#: Characters up to which an atom is folded by an aggregate.
+FOLD_CHARS = 200
 _CHUNK = pa.schema([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
+_MARK = BLANK.encode()
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -45,28 +47,34 @@ def default_path() -> str:
 
 @dataclass(frozen=True)
 class Pieces:
-    """A model file's ordinary pieces with ids and scores, its byte pieces, and which neighbouring characters pieces hold."""
+    """A model file's pieces that can be used, with ids and scores, its byte pieces, the score of a character without a piece, and which neighbouring characters pieces hold.
+
+    ``kind`` tells the characters of such pairs apart (0: in none), ``inside`` which kinds are neighbours in a piece.
+    """
 
     ordinary: tuple[tuple[str, int, float], ...]
     byte_id: tuple[int, ...]
-    text_of: tuple[bytes, ...]
+    lowest: float
+    kind: np.ndarray
     inside: np.ndarray
     longest: int
 
-    def atoms(self, of: list[str]) -> tuple[list[str], list[int]]:
+    def atoms(self, of: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
         """The atoms of all given words, one after the other, and how many each word has."""
-        if not of:
-            return [], []
-        said = "".join(of)
-        codes = np.frombuffer(said.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        pairs = codes[:-1] << 21 | codes[1:]
-        at = np.minimum(np.searchsorted(self.inside, pairs), len(self.inside) - 1)
-        cut = np.append(self.inside[at] != pairs, True)  # whether an atom ends with this character
-        ends = np.cumsum([len(w) for w in of])
-        cut[ends - 1] = True
-        counts = np.diff(np.cumsum(cut)[ends - 1], prepend=0)
-        edges = [0, *(np.flatnonzero(cut) + 1).tolist()]
-        return [said[a:b] for a, b in zip(edges[:-1], edges[1:])], counts.tolist()
+        if not len(of):
+            return of, np.zeros(0, np.int64)
+        ends = np.frombuffer(of.buffers()[1], np.int32)[of.offset : of.offset + len(of) + 1]
+        raw = bytes(of.buffers()[2])[ends[0] : ends[-1]]
+        ends = ends[1:] - ends[0]
+        codes = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        after = np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), dtype=np.int32)  # the byte after each character
+        kind = self.kind[codes]
+        cut = np.append(~self.inside[kind[:-1], kind[1:]], True)  # whether an atom ends with this character
+        last = np.searchsorted(after, ends)
+        cut[last] = True
+        offsets = np.append(np.zeros(1, np.int32), after[cut])
+        atoms = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw))
+        return atoms, np.diff(np.cumsum(cut)[last], prepend=0)
 
     def unknown(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -77,6 +85,31 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
+def index_words(texts: list[bytes | None]) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``words`` finds in all texts: the words, a number among them for each place, and how many places each text has, texts in the order that comes last."""
+    plain = np.array([bool(t) and not t.startswith(b" ") and b"  " not in t and _MARK not in t for t in texts], dtype=bool)
+    order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+    cut = pc.split_pattern(pa.array([texts[i] for i in np.flatnonzero(plain)], pa.large_binary()).cast(pa.large_string()), " ")
+    one = cut.flatten().dictionary_encode()
+    others = [words((texts[i] or b"").decode("utf-8", "surrogatepass")) for i in np.flatnonzero(~plain)]
+    two = pa.array([w for x in others for w in x], pa.string()).dictionary_encode()
+    known = pa.concat_arrays([pc.binary_join_element_wise(BLANK, one.dictionary.cast(pa.string()), ""), two.dictionary])
+    places = np.concatenate((one.indices.to_numpy(zero_copy_only=False), two.indices.to_numpy(zero_copy_only=False) + len(one.dictionary)))
+    counts = np.concatenate((cut.value_lengths().to_numpy(zero_copy_only=False), [len(x) for x in others])).astype(np.int64)
+    return known, places.astype(np.int64), counts, order
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
+
+
+def _take(values: np.ndarray, edges: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``rows`` of values cut at ``edges``, one after the other, and where each begins."""
+    size = edges[rows + 1] - edges[rows]
+    at = _offsets(size)
+    return values[np.repeat(edges[rows] - at[:-1], size) + np.arange(at[-1])], at
+
+
 @lru_cache(maxsize=4)
 def processor(path: str, unigram: bool = False):
     """The library's processor; ``unigram`` reads the same pieces and scores as a unigram model."""
@@ -93,8 +126,7 @@ def processor(path: str, unigram: bool = False):
     return sentencepiece.SentencePieceProcessor(model_proto=raw)
 
 
-@lru_cache(maxsize=4)
-def pieces(path: str) -> Pieces:
+def _model(path: str):
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
@@ -102,30 +134,64 @@ def pieces(path: str) -> Pieces:
         proto.ParseFromString(f.read())
     if proto.normalizer_spec.name != "identity" or not proto.trainer_spec.byte_fallback:
         raise ValueError("only models with identity normalisation and byte fallback are supported")
-    kind = sentencepiece_model_pb2.ModelProto.SentencePiece
-    ordinary = tuple((p.piece, i, float(p.score)) for i, p in enumerate(proto.pieces) if p.type == kind.NORMAL)
-    byte_id = tuple(i for i, p in enumerate(proto.pieces) if p.type == kind.BYTE)
-    text_of = tuple(
-        bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else p.piece.replace(BLANK, " ").encode() if p.type == kind.NORMAL else b"" for p in proto.pieces
-    )
-    inside = np.array(sorted({ord(a) << 21 | ord(b) for p, _, _ in ordinary for a, b in zip(p, p[1:])}), dtype=np.int64)
-    return Pieces(ordinary, byte_id, text_of, inside, max(len(p) for p, _, _ in ordinary))
+    return proto.pieces, sentencepiece_model_pb2.ModelProto.SentencePiece
+
+
+@lru_cache(maxsize=4)
+def pieces(path: str, merges: bool = False) -> Pieces:
+    """Without ``merges``, a piece whose own parts add up to more than its score is left out: no best path holds it."""
+    found, kind = _model(path)
+    ordinary = [(p.piece, i, float(p.score)) for i, p in enumerate(found) if p.type == kind.NORMAL]
+    lowest = min(s for _, _, s in ordinary if s > -1e8) - 10.0
+    if not merges:
+        best: dict[str, float] = {}
+        kept = set()
+        for p, _, s in sorted(ordinary, key=lambda x: len(x[0])):
+            parts = max((best.get(p[:k], -np.inf) + best.get(p[k:], -np.inf) for k in range(1, len(p))), default=-np.inf)
+            best[p] = max(parts, s)
+            if s >= parts:
+                kept.add(p)
+        ordinary = [x for x in ordinary if x[0] in kept]
+    chars = sorted({c for p, _, _ in ordinary if len(p) > 1 for c in p})
+    number = np.zeros(0x110000, dtype=np.uint16)
+    number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+    inside = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+    for p, _, _ in ordinary:
+        of = number[[ord(c) for c in p]]
+        inside[of[:-1], of[1:]] = True
+    return Pieces(tuple(ordinary), tuple(i for i, p in enumerate(found) if p.type == kind.BYTE), lowest, number, inside, max(len(p) for p, _, _ in ordinary))
+
+
+@lru_cache(maxsize=4)
+def said_by(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that all pieces say, one after the other, and where each begins; control pieces say nothing."""
+    found, kind = _model(path)
+    said = [bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else p.piece.replace(BLANK, " ").encode() if p.type == kind.NORMAL else b"" for p in found]
+    return np.frombuffer(b"".join(said), np.uint8), _offsets(np.array([len(x) for x in said]))
 
 
 def lattice(windows: DataFrame, model: Pieces, keys: list[str]) -> DataFrame:
     """Edges ``keys, end, start, score, id`` that begin at the first ``starts`` characters of a ``window``, an atom of ``n`` characters from its character ``base`` on.
 
-    Characters without a piece get id -1.
+    Characters without a piece get id -1. Substrings are as long as the longest piece with their first three characters. Pieces are found by a hash and then
+    compared; both tables are the model's, of fixed size.
     """
-    known = windows.sparkSession.createDataFrame(list(model.ordinary), "piece string, id int, score double")
-    lowest = min(s for _, _, s in model.ordinary if s > -1e8) - 10.0
+    spark = windows.sparkSession
+    known = spark.createDataFrame(list(model.ordinary), "piece string, id int, score double").withColumn("hash", F.xxhash64("piece"))
+    longest: dict[str, int] = {}
+    for p, _, _ in model.ordinary:
+        if len(p) > 2:
+            longest[p[:3]] = max(len(p), longest.get(p[:3], 0))
+    reach = spark.createDataFrame(list(longest.items()), "prefix string, longest int")
     at = F.explode(F.sequence(F.lit(0), F.col("starts") - 1))
-    starts = windows.select(*keys, "window", "base", "n", at.alias("at"))
-    length = F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("base") - F.col("at"))))
-    spans = starts.select(*keys, "window", (F.col("base") + F.col("at")).alias("start"), "at", length.alias("len"))
-    parts = spans.select(*keys, "start", "len", F.expr("substring(window, at + 1, len)").alias("part"))
-    edges = parts.join(F.broadcast(known), F.col("part") == F.col("piece"), "left").where(F.col("id").isNotNull() | (F.col("len") == 1))  # the piece table is the model's, of fixed size
-    return edges.select(*keys, (F.col("start") + F.col("len")).alias("end"), "start", F.coalesce("score", F.lit(lowest)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    rest = windows.select(*keys, "window", "base", "n", at.alias("at")).select(*keys, (F.col("base") + F.col("at")).alias("start"), "n", F.expr(f"substring(window, at + 1, {model.longest})").alias("rest"))
+    rest = rest.join(F.broadcast(reach), F.substring("rest", 1, 3) == F.col("prefix"), "left")
+    length = F.explode(F.sequence(F.lit(1), F.least(F.coalesce("longest", F.lit(2)), F.col("n") - F.col("start"))))
+    parts = rest.select(*keys, "start", "rest", length.alias("len")).select(*keys, "start", "len", F.expr("substring(rest, 1, len)").alias("part"))
+    edges = parts.join(F.broadcast(known), F.xxhash64("part") == F.col("hash"), "left").withColumn("id", F.when(F.col("part").eqNullSafe(F.col("piece")), F.col("id")))
+    edges = edges.where(F.col("id").isNotNull() | (F.col("len") == 1))
+    score = F.when(F.col("id").isNotNull(), F.col("score")).otherwise(F.lit(model.lowest))
+    return edges.select(*keys, (F.col("start") + F.col("len")).alias("end"), "start", score.alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
 
 
 def fold_viterbi(edges: str = "edges") -> F.Column:
@@ -178,13 +244,13 @@ def fold_merges(edges: str = "edges") -> F.Column:
 
 
 def segment(atoms: DataFrame, path: str, merges: bool = False) -> DataFrame:
-    """``atom, codes``: the segmentation of each distinct atom of at most ``FOLD_CHARS`` characters; a character without a piece is told by its place, -1 - at.
+    """``atom, codes`` from ``atom, n``: the segmentation of each distinct atom of at most ``FOLD_CHARS`` characters; a character without a piece is told by its place, -1 - at.
 
     Rows placed by atom stay where they are: joining the pieces and grouping the edges need no exchange then.
     """
-    model = pieces(path)
+    model = pieces(path, merges)
     edge = F.struct("end", "start", "score", "id")
-    windows = atoms.select("atom", F.col("atom").alias("window"), F.lit(0).alias("base"), F.length("atom").alias("n"), F.length("atom").alias("starts"))
+    windows = atoms.select("atom", F.col("atom").alias("window"), F.lit(0).alias("base"), "n", F.col("n").alias("starts"))
     ids = lattice(windows, model, ["atom"]).groupBy("atom").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     fold = fold_merges() if merges else fold_viterbi()
     return ids.select("atom", F.transform(fold, lambda x: F.when(x["id"] >= 0, x["id"]).otherwise(-1 - x["at"])).alias("codes"))
@@ -233,8 +299,8 @@ def segment_long(atoms: DataFrame, path: str, merges: bool = False) -> DataFrame
     """The same for atoms of any length, by the same edges and the same rule: an aggregate copies its state at each step, so here the edges of an atom are
     sorted and folded one atom after the other. An atom is expanded in windows, and its text doesn't go with its edges.
     """
-    model, rule = pieces(path), merged if merges else best_path
-    atoms = atoms.select("atom", F.sha2("atom", 256).alias("key"), F.length("atom").alias("n"))
+    model, rule = pieces(path, merges), merged if merges else best_path
+    atoms = atoms.select("atom", F.sha2("atom", 256).alias("key"), "n")
     base = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(FOLD_CHARS)))
     window, starts = F.expr(f"substring(atom, base + 1, {FOLD_CHARS + model.longest})"), F.least(F.lit(FOLD_CHARS), F.col("n") - F.col("base"))
     windows = atoms.select("key", "n", "atom", base.alias("base")).select("key", "n", "base", window.alias("window"), starts.alias("starts"))
@@ -287,76 +353,62 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     packed = rows.mapInArrow(gather, "block int, ids array<long>, sizes array<int>, packed binary").repartition(n_blocks, "block")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, seen, told = zstandard.ZstdDecompressor(), {}, {}
-        model = pieces(path)
-        for b in batches:
-            for block, _, sizes, blob in zip(*(c.to_pylist() for c in b.columns)):
-                if sum(map(len, seen.values())) > SEEN_WORDS:  # told again later, and made distinct below
-                    seen, told = {}, {}
-                known = seen.setdefault(block, set())
-                new = set().union(*(words(t) for t in _texts(z, sizes, blob))) - known
-                known |= new
-                atoms = set(model.atoms(list(new))[0]) - told.setdefault(block, set())
-                told[block] |= atoms
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(atoms), pa.int32()), pa.array(list(atoms), pa.string())], ["block", "atom"])
-
-    # an atom has a row per block at most, so none is hot; both uses of these rows, and of the packed texts, share one exchange
-    needs = packed.mapInArrow(split, "block int, atom string").repartition(max(8, size // ATOM_BYTES), "atom")
-    known = needs.groupBy("atom").agg(F.count("block").alias("blocks")).where("blocks > 0")
-    short, long = F.length("atom") <= FOLD_CHARS, F.length("atom") > FOLD_CHARS
-    codes = needs.where(short).join(segment(known.where(short), path, merges), "atom").select("block", "atom", "codes")
-    codes = codes.unionByName(needs.where(long).join(segment_long(known.where(long), path, merges), "atom").select("block", "atom", "codes"))
+        z, model, rows = zstandard.ZstdDecompressor(), pieces(path, merges), (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for block, chunks in groupby(rows, lambda r: r[0]):
+            texts = [t for _, _, sizes, blob in chunks for t in _texts(z, sizes, blob)]
+            atoms = pc.unique(model.atoms(index_words(texts)[0])[0])
+            for at in range(0, len(atoms), 50_000):
+                part = atoms.slice(at, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], ["block", "atom"])
+
+    # an atom has a row per block at most, so none is hot; all uses of these rows share one exchange, as filters look at a column that the grouping makes
+    needs = packed.sortWithinPartitions("block").mapInArrow(split, "block int, atom string").repartition(max(8, size // ATOM_BYTES), "atom")
+    known = needs.groupBy("atom").agg(F.count("block").alias("blocks"), F.max(F.length("atom")).alias("n"))
+    short, long = segment(known.where(F.col("n") <= FOLD_CHARS), path, merges), segment_long(known.where(F.col("n") > FOLD_CHARS), path, merges)
+    codes = needs.join(short, "atom", "left").join(long.withColumnRenamed("codes", "of_long"), "atom", "left").select("block", "atom", F.coalesce("codes", "of_long").alias("codes"))
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
-        z, model = zstandard.ZstdDecompressor(), pieces(path)
-        found = right.column("codes").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        edges, flat = found.offsets.to_numpy(), found.values.to_numpy(zero_copy_only=False).astype("<i4")
-        has_gap = np.flatnonzero(np.add.reduceat(np.append(flat < 0, False), edges[:-1])) if len(flat) else np.zeros(0, int)
-        names = right.column("atom").to_pylist()
-        raw = flat.tobytes()
-        known = {a: raw[4 * i : 4 * j] for a, i, j in zip(names, edges[:-1].tolist(), edges[1:].tolist())}
-        for k in has_gap.tolist():
-            said = [x for i in flat[edges[k] : edges[k + 1]].tolist() for x in ([i] if i >= 0 else model.unknown(names[k][-1 - i]))]
-            known[names[k]] = np.array(said, dtype="<i4").tobytes()
-        code: dict[str, bytes] = {}
-        docs, texts, sizes, out = [], [], [], []
-        for ids, length, blob in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "packed"))):
-            said = [words(t) for t in _texts(z, length, blob)]
-            new = list(set().union(*said) - code.keys())
-            parts, counts = model.atoms(new)
-            parts, at = list(map(known.__getitem__, parts)), 0
-            for w, n in zip(new, counts):
-                code[w] = parts[at] if n == 1 else b"".join(parts[at : at + n])
-                at += n
-            out += [b"".join(map(code.__getitem__, s)) for s in said]
+        z, model = zstandard.ZstdDecompressor(), pieces(path, merges)
+        codes, names = right.column("codes").combine_chunks(), right.column("atom").combine_chunks()
+        flat, edges = _with_bytes(codes.flatten().to_numpy(zero_copy_only=False), _offsets(codes.value_lengths().to_numpy(zero_copy_only=False)), names, model)
+        docs, texts = [], []
+        for ids, sizes, blob in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "packed"))):
             docs += ids
-            sizes += length
-            texts.append(z.decompress(blob))
-        sizes = np.array(sizes, dtype=np.int64)
-        text = pa.LargeStringArray.from_buffers(len(docs), pa.py_buffer(_offsets(np.maximum(sizes, 0))), pa.py_buffer(b"".join(texts)), pa.py_buffer(np.packbits(sizes >= 0, bitorder="little")))
-        flat = pa.array(np.frombuffer(b"".join(out), dtype="<i4"))
-        ids = pa.LargeListArray.from_arrays(pa.array(_offsets(np.array([len(x) // 4 for x in out], dtype=np.int64))), flat)
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "text": text.cast(pa.string()), "ids": ids.cast(pa.list_(pa.int32()))})
+            texts += [None if n < 0 else t for n, t in zip(sizes, _texts(z, sizes, blob))]
+        known, places, counts, order = index_words(texts)
+        atoms, parts = model.atoms(known)
+        of = pc.index_in(atoms, value_set=names)
+        if of.null_count:
+            raise RuntimeError("an atom of the texts has no segmentation")
+        flat, at = _take(flat, edges, of.to_numpy().astype(np.int64))
+        flat, at = _take(flat, at[_offsets(parts)], places)
+        edges = at[_offsets(counts)]
+        ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))
+        return pa.table({"doc_id": pa.array([docs[i] for i in order], pa.int64()), "text": pa.array([texts[i] for i in order], pa.binary()).cast(pa.string()), "ids": ids})
 
     return packed.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(write, "doc_id long, text string, ids array<int>")
 
 
-def _offsets(sizes: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+def _with_bytes(flat: np.ndarray, edges: np.ndarray, names: pa.StringArray, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with the byte pieces of the characters that have no piece (code -1 - place), and where each atom's codes begin."""
+    gaps = np.flatnonzero(flat < 0)
+    if not len(gaps):
+        return flat, edges
+    rows = np.searchsorted(edges, gaps, side="right") - 1
+    said = [model.unknown(names[int(r)].as_py()[-1 - int(flat[g])]) for r, g in zip(rows, gaps)]
+    size = np.ones(len(flat), dtype=np.int64)
+    size[gaps] = [len(x) for x in said]
+    at = _offsets(size)
+    out = np.repeat(flat, size)
+    for g, x in zip(gaps, said):
+        out[at[g] : at[g + 1]] = x
+    return out, at[edges]
 
 
-def _texts(z: zstandard.ZstdDecompressor, sizes: list[int], blob: bytes) -> list[str]:
+def _texts(z: zstandard.ZstdDecompressor, sizes: list[int], blob: bytes) -> list[bytes]:
     """The texts of a chunk; a null one is empty."""
-    raw, out, at = z.decompress(blob), [], 0
-    for n in sizes:
-        out.append(raw[at : at + max(n, 0)].decode("utf-8", "surrogatepass"))
-        at += max(n, 0)
-    return out
-
-
-def decode_ids(ids: list[int] | np.ndarray, model: Pieces) -> str:
-    said = b"".join([model.text_of[i] for i in ids]).decode("utf-8", "replace")
-    return said[1:] if said.startswith(" ") else said
+    raw, ends = z.decompress(blob), _offsets(np.maximum(np.array(sizes, dtype=np.int64), 0)).tolist()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -364,16 +416,21 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
+        said, edges = said_by(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [x.values.to_numpy(zero_copy_only=False) for x in part.column(2)]
-                said = [decode_ids(x.tolist(), model) for x in ids]
-                same = [s == (t or "") for s, t in zip(said, part.column(1).to_pylist())]
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                ids = part.column(2).flatten().to_numpy(zero_copy_only=False)
+                ends = _offsets(part.column(2).value_lengths().to_numpy(zero_copy_only=False))
+                raw, where = _take(said, edges, ids)
+                raw, of = raw.tobytes(), where[ends].tolist()
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(of[:-1], of[1:])]
+                texts = [t[1:] if t.startswith(" ") else t for t in texts]
+                same = [s == (t or "") for s, t in zip(texts, part.column(1).to_pylist())]
+                ids = ids.astype("<u4")
+                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(said, pa.string()), pa.array(same)],
-                    ["doc_id", "n_ids", "ids_crc32", "decoded", "lossless"],
+                    [part.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(texts, pa.string()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "decoded", "lossless"]
                 )
 
     return encoded.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded string, lossless boolean")
