@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridobs.llm._shared import materialize
 from gridobs.llm.tokens import default_path, encode
 
 #: Lengths per block of the two-level running sums.
@@ -42,9 +43,9 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     Columns: ``length, n_docs``; ``docs_at_least, tokens_at_least`` (suffix sums); ``docs_total, tokens_total``;
     ``truncated_tokens`` (tokens left if every document is cut to L); ``docs_at_most`` and ``share_at_most`` (L is the quantile of every share above the
     previous row's and up to this). Between two lengths the answers follow linearly, see ``at_limit``. Empty table: no rows.
-    Running sums go over blocks of lengths and then over the blocks, so no task sees more than ``BLOCK`` lengths or all blocks' sums.
+    The histogram is worked out once and kept. Running sums go over blocks of lengths and then over the blocks, so no task sees more than ``BLOCK`` lengths or all blocks' sums.
     """
-    h = histogram.withColumn("_block", F.floor(F.col("length") / BLOCK)).withColumn("_tokens", F.col("length") * F.col("n_docs"))
+    h = materialize(histogram).withColumn("_block", F.floor(F.col("length") / BLOCK)).withColumn("_tokens", F.col("length") * F.col("n_docs"))
     blocks = h.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     ahead = Window.partitionBy(F.lit(0)).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
