@@ -3,8 +3,8 @@
 A piece goes where the sum over residual gaps of the squared number of open sequences with that gap becomes smallest; of equals, into the
 smallest gap; a sequence is opened only where nothing open fits (opening earlier, as the plain rule may, took 1.4 % more
 sequences on the test tables). Pieces of equal length are interchangeable and there are at most ``capacity`` lengths, so the packing is worked out on the
-length counts alone, in bounded time and memory: if there are more than ``plan_items`` pieces, the counts are divided by a factor, each sequence of
-the plan stands for that many alike, and the remainders are packed one by one. Every piece then finds its place from its rank among the pieces
+length counts: a length's pieces are placed in portions, each a 32nd of them (one by one up to 63), and sequences that are filled alike are kept as runs.
+The driver's work is then bounded by lengths, gaps and portions at every size of the table. Every piece finds its place from its rank among the pieces
 of its length, which Spark numbers in buckets; no task sees all pieces.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gridobs.llm._shared import materialize, rank_in_group
 from gridobs.llm.tokens import default_path, encode
 
-CAPACITY, END_ID, PLAN_ITEMS = 1024, 2, 150_000
+CAPACITY, END_ID, PORTIONS = 1024, 2, 32
 
 
 def cut_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
@@ -47,55 +47,53 @@ def cut_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
-    """(sequence, offset) of each length, placed one after the other."""
-    open_by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
+def plan(counts: dict[int, int], capacity: int = CAPACITY, portions: int = PORTIONS) -> tuple[dict[int, tuple[np.ndarray, ...]], int]:
+    """Per length (ranks from, first sequence, offset) arrays, and the number of sequences. Longest lengths are placed first.
+
+    Work and result depend on the number of lengths, gaps and portions, not on the number of pieces.
+    """
+    open_by_gap: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # runs of sequences: first, how many
     count = np.zeros(capacity + 1, dtype=np.int64)
-    n, out = 0, []
-    for s in lengths:
-        # what each gap g >= s would add to the sum of squares, halved: count[g - s] - count[g] + 1, or a closed sequence
-        change = 2 * (count[: capacity + 1 - s] - count[s:]) + 2
-        change[0] = 1 - 2 * count[s]
-        change[count[s:] == 0] = np.iinfo(np.int64).max
-        best = int(change.argmin())
-        if count[best + s]:
-            gap = best + s
-            seq = open_by_gap[gap].pop()
-            count[gap] -= 1
-        else:
-            gap, seq = capacity, n
-            n += 1
-        out.append((seq, capacity - gap))
-        if gap > s:
-            open_by_gap[gap - s].append(seq)
-            count[gap - s] += 1
-    return out
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, plan_items: int = PLAN_ITEMS) -> tuple[dict[int, tuple[np.ndarray, ...]], int]:
-    """Per length (ranks from, first sequence, offset) arrays, and the number of sequences. Longest lengths are placed first."""
-    factor = max(1, -(-sum(counts.values()) // plan_items))
-    slots: dict[int, list[tuple[int, int, int]]] = {s: [] for s in counts}
-    sequences = 0
-    for copies in (factor, 1) if factor > 1 else (1,):
-        lengths = [s for s in sorted(counts, reverse=True) for _ in range(counts[s] // factor if copies == factor else counts[s] % factor)]
-        placed = sum_of_squares(lengths, capacity)
-        for s, (seq, offset) in zip(lengths, placed):
-            slots[s].append((copies, sequences + seq * copies, offset))
-        sequences += copies * (1 + max((seq for seq, _ in placed), default=-1))
-    out = {}
-    for s, found in slots.items():
-        copies, first, offset = np.array(found, dtype=np.int64).reshape(-1, 3).T
-        out[s] = (np.cumsum(copies) - copies, first, offset)
+    out, sequences = {}, 0
+    for s in sorted(counts, reverse=True):
+        left, slots = counts[s], []
+        portion = max(1, left // portions)
+        while left:
+            fits = np.minimum(min(portion, left), count[s:])
+            # what a piece adds to the sum of squares, halved, if a portion goes to gap s, s + 1, ...; gap s itself is closed by it
+            change = 2 * (count[: capacity + 1 - s] - count[s:] + fits)
+            change[0] = fits[0] - 2 * count[s]
+            change[fits == 0] = np.iinfo(np.int64).max
+            best = int(change.argmin())
+            gap, k = best + s, int(fits[best])
+            if not k:
+                gap, k = capacity, min(portion, -(-left // (capacity // s)))
+                open_by_gap[gap].append((sequences, k))
+                count[gap] += k
+                sequences += k
+            left -= k
+            count[gap] -= k
+            count[gap - s] += k if gap > s else 0
+            while k:
+                first, n = open_by_gap[gap].pop()
+                if n > k:
+                    open_by_gap[gap].append((first + k, n - k))
+                    n = k
+                slots.append((n, first, capacity - gap))
+                if gap > s:
+                    open_by_gap[gap - s].append((first, n))
+                k -= n
+        n, first, offset = np.array(slots, dtype=np.int64).reshape(-1, 3).T
+        out[s] = (np.cumsum(n) - n, first, offset)
     return out, sequences
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, plan_items: int = PLAN_ITEMS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, portions: int = PORTIONS) -> DataFrame:
     """Add ``sequence_id, offset`` to a stable table of pieces (``doc_id, piece, length, ids_crc32``, …). An empty table stays empty."""
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     full = counts.pop(capacity, 0)  # full pieces are sequences of their own
-    where, sequences = plan(counts, capacity, plan_items)
-    where = pieces.sparkSession.sparkContext.broadcast(where)  # at most plan_items + capacity * factor slots
+    where, sequences = plan(counts, capacity, portions)
+    where = pieces.sparkSession.sparkContext.broadcast(where)  # some portions a length, whatever the number of pieces
     ranked = rank_in_group(pieces, "length", ["doc_id", "piece", "start", "ids_crc32"], "_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +114,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, plan_items: int = PLAN_ITE
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, plan_items: int = PLAN_ITEMS) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, portions: int = PORTIONS) -> DataFrame:
     """Cut and pack all rows: see ``cut_pieces`` and ``pack``. Other columns are ignored."""
-    return pack(materialize(cut_pieces(df, id_col, text_col, capacity, path=path)), capacity, plan_items)
+    return pack(materialize(cut_pieces(df, id_col, text_col, capacity, path=path)), capacity, portions)

@@ -145,16 +145,15 @@ def test_ids_are_those_of_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
-    for text in ("", "a", "It's 12  o'clock\n\n\tnow <|endoftext|> é漢😀 ", LONG[:5000], "x" * 3000, " \x1c\x85　 y"):
+    for text in ("", "a", "It's 12  o'clock\n\n\tnow <|endoftext|> é漢😀 ", "<|endoftext|>", "hello <|endoftext|><|endoftext|>\n x <|endoftex|>", LONG[:5000], "x" * 3000, " \x1c\x85　 y"):
         assert tokens.encode(text, tokens.default_path()) == t.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("plan_items", [150_000, 40])
-def test_packing_places_every_piece_once(spark, plan_items):
+@pytest.mark.parametrize("portions", [32, 3])
+def test_packing_places_every_piece_once(spark, portions):
     rows = AWKWARD + [(100 + i, LONG[: i * 37 % 3000]) for i in range(200)]
     df = docs(spark, rows)
-    got = packing.pack_documents(df, plan_items=plan_items).collect()
+    got = packing.pack_documents(df, portions=portions).collect()
     path = tokens.default_path()
     want = []
     for i, t in rows:
@@ -172,26 +171,63 @@ def test_packing_places_every_piece_once(spark, plan_items):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(by) <= -(-sum(r.length for r in got) // 1024) * (1.05 if plan_items > 40 else 1.3) + 1
+    assert len(by) <= -(-sum(r.length for r in got) // 1024) * 1.05 + 1
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
-def test_sum_of_squares_rule():
-    rng = np.random.default_rng(0)
-    lengths_ = sorted(map(int, rng.integers(1, 20, 60)), reverse=True)
-    count, gap_of, where = Counter(), {}, []
+def one_by_one(lengths_, capacity):
+    """Offsets by the rule as it is said, with the sum of squares worked out anew for each choice."""
+    count, where = Counter(), []
     for s in lengths_:
         squares = lambda g: sum(c * c for c in (count - Counter([g]) + Counter([g - s] if g > s else [])).values())  # noqa: B023, E731
         fit = [g for g in count if count[g] and g >= s]
-        g = min(fit, key=lambda g: (squares(g), g)) if fit else 20
-        if fit:
-            count[g] -= 1
+        g = min(fit, key=lambda g: (squares(g), g)) if fit else capacity
+        count[g] -= bool(fit)
         if g > s:
             count[g - s] += 1
-        where.append(20 - g)
-        del gap_of
-        gap_of = {}
-    assert [o for _, o in packing.sum_of_squares(lengths_, 20)] == where
+        where.append((s, capacity - g))
+    return sorted(where)
+
+
+def placed(counts, plan_):
+    """All (length, offset), checked: sequences are filled without gaps and overlaps."""
+    out, filled = [], {}
+    for s, (start, first, offset) in plan_.items():
+        for k, n in enumerate(np.diff(np.append(start, counts[s]))):
+            for i in range(n):
+                filled.setdefault(first[k] + i, []).append((offset[k], s))
+                out.append((s, int(offset[k])))
+    for rows in filled.values():
+        at = 0
+        for offset, s in sorted(rows):
+            assert offset == at
+            at += s
+    return sorted(out), filled
+
+
+def test_sum_of_squares_rule():
+    counts = dict(sorted(Counter(map(int, np.random.default_rng(0).integers(1, 20, 60))).items(), reverse=True))
+    got, _ = placed(counts, packing.plan(counts, 20)[0])
+    assert got == one_by_one([s for s in counts for _ in range(counts[s])], 20)
+
+
+@pytest.mark.parametrize("copies", [1, 50, 3000])
+def test_plan_of_any_size(copies):
+    counts = {int(s): copies * int(n) for s, n in enumerate(np.random.default_rng(1).integers(0, 4, 200), 1) if n}
+    found, sequences = packing.plan(counts, 256)
+    got, filled = placed(counts, found)
+    assert len(got) == sum(counts.values()) and set(filled) == set(range(sequences)) and max(o + s for s, o in got) <= 256
+    assert sequences <= 1.01 * sum(s * n for s, n in counts.items()) / 256 + 1
+
+
+def test_plan_of_billions_is_no_more_work():
+    counts = {s: 1 + s * 7919 % 97 for s in range(1, 1024)}
+    runs = {}
+    for factor in (10**3, 10**5, 10**9):
+        found, sequences = packing.plan({s: n * factor for s, n in counts.items()})
+        runs[factor] = sum(len(x[0]) for x in found.values())
+        assert sequences <= 1.002 * sum(s * n for s, n in counts.items()) * factor / 1024
+    assert max(runs.values()) < 1.2 * min(runs.values()) < 100_000
 
 
 def test_length_table(spark):
