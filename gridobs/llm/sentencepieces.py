@@ -17,7 +17,7 @@ import heapq
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import groupby
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Bytes of text that meet their dictionary in one Python group, that a task holds before it sends them, and per partition of the atoms.
-BLOCK_CHARS, CHUNK_BYTES, ATOM_BYTES = 12_000_000, 8_000_000, 4_000_000
+BLOCK_CHARS, CHUNK_BYTES, ATOM_BYTES = 24_000_000, 4_000_000, 4_000_000
 #: Characters up to which an atom is folded by an aggregate.
 FOLD_CHARS = 200
 _CHUNK = pa.schema([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
@@ -355,15 +355,19 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, model, rows = zstandard.ZstdDecompressor(), pieces(path, merges), (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
         for block, chunks in groupby(rows, lambda r: r[0]):
-            texts = [t for _, _, sizes, blob in chunks for t in _texts(z, sizes, blob)]
-            atoms = pc.unique(model.atoms(index_words(texts)[0])[0])
+            known = atoms = pa.array([], pa.string())
+            for part in _parts(z, ((sizes, blob) for _, _, sizes, blob in chunks)):
+                known = pc.unique(pa.concat_arrays([known, index_words(part)[0]]))
+            for at in range(0, len(known), 100_000):
+                atoms = pc.unique(pa.concat_arrays([atoms, model.atoms(known.slice(at, 100_000))[0]]))
             for at in range(0, len(atoms), 50_000):
                 part = atoms.slice(at, 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], ["block", "atom"])
 
-    # an atom has a row per block at most, so none is hot; all uses of these rows share one exchange, as filters look at a column that the grouping makes
-    needs = packed.sortWithinPartitions("block").mapInArrow(split, "block int, atom string").repartition(max(8, size // ATOM_BYTES), "atom")
-    known = needs.groupBy("atom").agg(F.count("block").alias("blocks"), F.max(F.length("atom")).alias("n"))
+    # an atom has a row per block at most, so none is hot; all uses of these rows share one exchange, as no
+    # filter can go below it: atoms are not null there already, and lengths are looked at after the grouping
+    needs = packed.sortWithinPartitions("block").mapInArrow(split, "block int, atom string").where("atom IS NOT NULL").repartition(max(8, size // ATOM_BYTES), "atom")
+    known = needs.groupBy("atom").agg(F.count("block").alias("blocks"), F.max(F.length("atom")).alias("n")).where("blocks > 0")  # counting keeps the block in the exchange
     short, long = segment(known.where(F.col("n") <= FOLD_CHARS), path, merges), segment_long(known.where(F.col("n") > FOLD_CHARS), path, merges)
     codes = needs.join(short, "atom", "left").join(long.withColumnRenamed("codes", "of_long"), "atom", "left").select("block", "atom", F.coalesce("codes", "of_long").alias("codes"))
 
@@ -371,20 +375,23 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         z, model = zstandard.ZstdDecompressor(), pieces(path, merges)
         codes, names = right.column("codes").combine_chunks(), right.column("atom").combine_chunks()
         flat, edges = _with_bytes(codes.flatten().to_numpy(zero_copy_only=False), _offsets(codes.value_lengths().to_numpy(zero_copy_only=False)), names, model)
-        docs, texts = [], []
-        for ids, sizes, blob in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "packed"))):
+        docs, out = [], []
+        for ids in left.column("ids").to_pylist():
             docs += ids
-            texts += [None if n < 0 else t for n, t in zip(sizes, _texts(z, sizes, blob))]
-        known, places, counts, order = index_words(texts)
-        atoms, parts = model.atoms(known)
-        of = pc.index_in(atoms, value_set=names)
-        if of.null_count:
-            raise RuntimeError("an atom of the texts has no segmentation")
-        flat, at = _take(flat, edges, of.to_numpy().astype(np.int64))
-        flat, at = _take(flat, at[_offsets(parts)], places)
-        edges = at[_offsets(counts)]
-        ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))
-        return pa.table({"doc_id": pa.array([docs[i] for i in order], pa.int64()), "text": pa.array([texts[i] for i in order], pa.binary()).cast(pa.string()), "ids": ids})
+        at = 0
+        for texts in _parts(z, zip(left.column("sizes").to_pylist(), left.column("packed").to_pylist())):
+            known, places, counts, order = index_words(texts)
+            atoms, n_atoms = model.atoms(known)
+            of = pc.index_in(atoms, value_set=names)
+            if of.null_count:
+                raise RuntimeError("an atom of the texts has no segmentation")
+            of_words, ends = _take(flat, edges, of.to_numpy().astype(np.int64))
+            ids, ends = _take(of_words, ends[_offsets(n_atoms)], places)
+            ids = pa.ListArray.from_arrays(pa.array(ends[_offsets(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+            doc = pa.array([docs[at + i] for i in order], pa.int64())
+            out.append(pa.record_batch([doc, pa.array([texts[i] for i in order], pa.binary()).cast(pa.string()), ids], ["doc_id", "text", "ids"]))
+            at += len(texts)
+        return pa.Table.from_batches(out)
 
     return packed.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(write, "doc_id long, text string, ids array<int>")
 
@@ -405,10 +412,18 @@ def _with_bytes(flat: np.ndarray, edges: np.ndarray, names: pa.StringArray, mode
     return out, at[edges]
 
 
-def _texts(z: zstandard.ZstdDecompressor, sizes: list[int], blob: bytes) -> list[bytes]:
-    """The texts of a chunk; a null one is empty."""
-    raw, ends = z.decompress(blob), _offsets(np.maximum(np.array(sizes, dtype=np.int64), 0)).tolist()
-    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
+def _parts(z: zstandard.ZstdDecompressor, chunks: Iterable[tuple[list[int], bytes]]) -> Iterator[list[bytes | None]]:
+    """The texts of chunks (sizes, -1 for null, and the packed bytes), some megabytes at a time."""
+    out, held = [], 0
+    for sizes, blob in chunks:
+        raw, ends = z.decompress(blob), _offsets(np.maximum(np.array(sizes, dtype=np.int64), 0)).tolist()
+        out += [None if n < 0 else raw[a:b] for n, a, b in zip(sizes, ends[:-1], ends[1:])]
+        held += len(raw)
+        if held > CHUNK_BYTES:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
