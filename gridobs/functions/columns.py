@@ -43,12 +43,23 @@ class Grid:
     def n_lon(self) -> int:
         return round((self.lon_max - self.lon_min) / self.res)
 
-    def _index(self, c: Column, low: float, n: int) -> Column:
+    def _inside(self, c: Column, low: float, n: int) -> Column:
+        return within(c, low, low + n * self.res)
+
+    def _cell(self, c: Column, low: float) -> Column:
+        """Number of the cell of a value inside the grid."""
         i = F.floor((c - F.lit(low)) / F.lit(self.res))
-        exact = math.frexp(self.res)[0] == 0.5
-        if not exact:  # edges such as 20.1 aren't exact: step to the neighbour that holds the point
-            i = F.when(c < F.lit(low) + i * F.lit(self.res), i - 1).when(c >= F.lit(low) + (i + 1) * F.lit(self.res), i + 1).otherwise(i)
-        return F.when(c.isNotNull() & ~F.isnan(c) & (i >= 0) & (i < n), i.cast("int"))
+        # with a step that is a power of two, or whole numbers, the quotient never rounds up to an edge; edges such as 20.1 aren't exact, so the neighbours are asked
+        if not (math.frexp(self.res)[0] == 0.5 or (self.res == round(self.res) and low == round(low) and low >= 0)):
+            i = i + (c >= F.lit(low) + (i + 1) * F.lit(self.res)).cast("int") - (c < F.lit(low) + i * F.lit(self.res)).cast("int")
+        return i.cast("int")
+
+    def inside(self, lat: str | Column, lon: str | Column) -> Column:
+        """Whether a point is in the grid; not for NULL or NaN, which sorts above all numbers."""
+        return self._inside(col(lat).cast("double"), self.lat_min, self.n_lat) & self._inside(col(lon).cast("double"), self.lon_min, self.n_lon)
+
+    def _index(self, c: Column, low: float, n: int) -> Column:
+        return F.when(self._inside(c, low, n), self._cell(c, low))
 
     def lat_idx(self, c: str | Column) -> Column:
         """Row of the cell; NULL outside the grid, for NULL and for NaN."""
@@ -57,6 +68,10 @@ class Grid:
     def lon_idx(self, c: str | Column) -> Column:
         return self._index(col(c).cast("double"), self.lon_min, self.n_lon)
 
+    def cells(self, lat: str | Column, lon: str | Column) -> tuple[Column, Column]:
+        """Row and column of points that are inside."""
+        return self._cell(col(lat).cast("double"), self.lat_min), self._cell(col(lon).cast("double"), self.lon_min)
+
     def lat_center(self, i: str | Column) -> Column:
         return F.lit(self.lat_min) + (col(i) + F.lit(0.5)) * F.lit(self.res)
 

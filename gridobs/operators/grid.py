@@ -13,8 +13,9 @@ K = ["lat_idx", "lon_idx"]
 
 
 def assign_grid(df: DataFrame, grid: Grid = Grid()) -> DataFrame:
-    """Add ``lat_idx, lon_idx``; rows outside (the upper edges are outside), NULL and NaN are dropped."""
-    return df.withColumn("lat_idx", grid.lat_idx("latitude")).withColumn("lon_idx", grid.lon_idx("longitude")).where("lat_idx IS NOT NULL AND lon_idx IS NOT NULL")
+    """Add ``lat_idx, lon_idx``; rows outside (the upper edges are outside), NULL and NaN are dropped, by a filter on the coordinates that a scan can take."""
+    lat, lon = grid.cells("latitude", "longitude")
+    return df.where(grid.inside("latitude", "longitude")).withColumns({"lat_idx": lat, "lon_idx": lon})
 
 
 def cell_center(df: DataFrame, grid: Grid = Grid()) -> DataFrame:

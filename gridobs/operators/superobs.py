@@ -42,67 +42,80 @@ def _sample_std(a: Column, near: Column, n: Column) -> Column:
     return F.aggregate(a, zero, add, lambda t: F.sqrt(F.greatest(F.lit(0.0), (t["q"] - t["s"] * t["s"] / n) / (n - 1))))
 
 
-def _large_group_error(df: DataFrame, large: DataFrame, keys: Sequence[str], resamples: int, seed: int) -> DataFrame:
-    """``keys, _error``: the bootstrap error of the groups in ``large`` (``keys, _n``), without collecting a group's values.
+def _values_by_rank(df: DataFrame, wanted: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """``keys, _at``: map from rank to value for the groups and ranks of ``wanted`` (``keys, _ranks``), without collecting a group's values.
 
-    A group's values fall into buckets around its median; counts tell which buckets hold the drawn ranks, and only these are numbered. Bounds
-    of buckets are approximate, which moves work between tasks but no rank. Equal values are counted first. ``large`` has a row per ``max_group`` soundings at most.
+    A group's values fall into buckets around its median; counts tell which buckets hold the ranks, and only these are numbered. Bounds of buckets are
+    approximate, which moves work between tasks but no rank. Equal values are counted first.
     """
-    ranks = F.udf(lambda n: drawn_ranks(n, resamples, seed), "struct<low: array<long>, high: array<long>>")
-    large = large.withColumn("_r", ranks("_n")).select(*keys, F.col("_r.low").alias("_low"), F.col("_r.high").alias("_high")).persist()
-    rows = df.select(*keys, F.col("xco2").cast("double").alias("_x")).where("_x IS NOT NULL").join(F.broadcast(large.select(*keys)), keys)
+    rows = df.select(*keys, F.col(column).cast("double").alias("_x")).where("_x IS NOT NULL").join(F.broadcast(wanted.select(*keys)), keys)
     widths = [0.001 * 2**k for k in range(9)]
     bounds = rows.groupBy(*keys).agg(F.percentile_approx("_x", [0.5 - w for w in reversed(widths)] + [0.5 + w for w in widths], 10_000).alias("_bounds"))
     rows = rows.join(F.broadcast(bounds), keys).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_x"))))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_in"))
     counts = counts.withColumn("_before", F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_in"))  # a row per bucket
-    wanted = counts.join(large, keys).select(*keys, "_bucket", "_before", F.filter(
-        F.array_distinct(F.concat("_low", "_high")), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in"))
-    ).alias("_ranks")).where("size(_ranks) > 0")
-    values = rows.join(F.broadcast(wanted.select(*keys, "_bucket")), [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_x").agg(F.count("*").alias("_c"))
+    here = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
+    found = counts.join(wanted, keys).select(*keys, "_bucket", "_before", here.alias("_ranks")).where("size(_ranks) > 0")
+    values = rows.join(F.broadcast(found.select(*keys, "_bucket")), [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_x").agg(F.count("*").alias("_c"))
     end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_bucket").orderBy("_x"))
-    values = values.join(wanted, [*keys, "_bucket"]).withColumn("_end", end)
     hit = F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_c")) & (r < F.col("_end")))
-    found = values.select(*keys, F.explode(hit).alias("_rank"), "_x").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
-    medians = F.zip_with("_low", "_high", lambda a, b: (F.try_element_at("_at", a) + F.try_element_at("_at", b)) / 2)
-    out = found.join(large, keys).withColumn("_m", medians)
-    return out.select(*keys, _sample_std(F.col("_m"), F.get("_m", F.lit(0)), F.size("_m")).alias("_error"))
+    values = values.join(found, [*keys, "_bucket"]).withColumn("_end", end).select(*keys, F.explode(hit).alias("_rank"), "_x")
+    return values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
+
+
+def _middle(n: Column) -> Column:
+    return F.array(F.floor((n - 1) / 2), F.floor(n / 2))
+
+
+def _large_groups(df: DataFrame, large: DataFrame, keys: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """``keys, _x, _no2, _error``: both medians and the bootstrap error of the groups in ``large`` (``keys, _n, _m``: values of xco2 and no2)."""
+    ranks = F.udf(lambda n: drawn_ranks(n, resamples, seed), "struct<low: array<long>, high: array<long>>")
+    large = large.withColumn("_r", ranks("_n")).select(*keys, "_n", "_m", F.col("_r.low").alias("_low"), F.col("_r.high").alias("_high")).persist()
+    x = _values_by_rank(df, large.select(*keys, F.array_distinct(F.concat("_low", "_high", _middle(F.col("_n")))).alias("_ranks")), keys, "xco2")
+    y = _values_by_rank(df, large.select(*keys, F.array_distinct(_middle(F.col("_m"))).alias("_ranks")), keys, "tropomi_no2")
+    at = lambda of, r: F.try_element_at(of, r)
+    median = lambda of, n: (at(of, _middle(n)[0]) + at(of, _middle(n)[1])) / 2
+    medians = F.zip_with("_low", "_high", lambda a, b: (at("_at", a) + at("_at", b)) / 2)
+    out = large.join(x, keys, "left").join(y.withColumnRenamed("_at", "_no2_at"), keys, "left").withColumn("_medians", F.when(F.col("_n") > 2, medians))
+    error = _sample_std(F.col("_medians"), F.get("_medians", F.lit(0)), F.size("_medians"))
+    return out.select(*keys, median("_at", F.col("_n")).alias("_x"), median("_no2_at", F.col("_m")).alias("_no2"), error.alias("_error"))
 
 
 def super_observation(df: DataFrame, by: Sequence[str] = (), with_error: bool = True, resamples: int = 100, seed: int = 42, max_group: int = 10_000) -> DataFrame:
     """Per date and cell (and ``by``, e.g. a sensor): medians of xco2 and no2, means of the rest, ``n_soundings``, ``xco2_bootstrap_std``.
 
     The error is NULL below two values, the sample spread for two, and from three on the spread of the medians of the resamples.
-    Values of a group are sorted, so the error doesn't depend on the order of rows. The ranks of the resamples are a table with a row per group size
-    that occurs; for groups of more than ``max_group`` soundings they are drawn from their own distribution and the values are found by rank,
-    not collected. NULL keys are dropped.
+    Values of a group are sorted, so the error doesn't depend on the order of rows, and medians are read from the sorted values. The ranks of the resamples are a
+    table with a row per group size that occurs; for groups of more than ``max_group`` soundings they are drawn from their own distribution, and the values are
+    found by rank, not collected. NULL keys are dropped.
     """
     keys = ["date", *K, *by]
     df = df.dropna(subset=keys)
     means = [F.avg(c).alias(c) for c in MEANS if c in df.columns]
-    values = []
-    if with_error:
-        count = df.groupBy(*keys).agg(F.count(F.col("xco2").cast("double")).alias("_n"))
-        sizes = [r[0] for r in count.select(F.least("_n", F.lit(max_group + 1))).distinct().collect()]
-        large = count.where(F.col("_n") > max_group) if max(sizes, default=0) > max_group else None
-        x = F.col("xco2").cast("double")
-        if large is not None:
-            df = df.join(F.broadcast(large.select(*keys, F.lit(True).alias("_large"))), keys, "left")  # a row per max_group soundings at most
-            x = F.when(F.col("_large").isNull(), x)
-        values = [F.sort_array(F.collect_list(x)).alias("_v")]
-    out = df.groupBy(*keys).agg(F.median("xco2").alias("xco2"), F.median("tropomi_no2").alias("tropomi_no2"), *means, F.count("xco2").alias("n_soundings"), *values)
     if not with_error:
-        return out
-    plan = bootstrap_table(df.sparkSession, sorted(n for n in sizes if 3 <= n <= max_group), resamples, seed)
+        return df.groupBy(*keys).agg(F.median("xco2").alias("xco2"), F.median("tropomi_no2").alias("tropomi_no2"), *means, F.count("xco2").alias("n_soundings"))
+    x, y = F.col("xco2").cast("double"), F.col("tropomi_no2").cast("double")
+    count = df.groupBy(*keys).agg(F.count(x).alias("_n"), F.count(y).alias("_m"))
+    found = count.select(F.explode(F.array(F.least(F.col("_n"), F.lit(max_group + 1)), F.when(F.col("_m") > max_group, F.lit(max_group + 1)))).alias("_s")).distinct().collect()
+    sizes = sorted(r[0] for r in found if r[0] is not None)
+    large = count.where(F.greatest("_n", "_m") > max_group) if sizes and sizes[-1] > max_group else None
+    rows = df
+    if large is not None:
+        rows = df.join(F.broadcast(large.select(*keys, F.lit(True).alias("_large"))), keys, "left")  # a row per max_group soundings at most
+        x, y = (F.when(F.col("_large").isNull(), c) for c in (x, y))
+    out = rows.groupBy(*keys).agg(*means, F.count("xco2").alias("n_soundings"), F.sort_array(F.collect_list(x)).alias("_v"), F.sort_array(F.collect_list(y)).alias("_w"))
+    plan = bootstrap_table(df.sparkSession, [n for n in sizes if 3 <= n <= max_group], resamples, seed)
     medians = F.zip_with("_low", "_high", lambda a, b: (F.get("_v", a) + F.get("_v", b)) / 2)
     out = out.join(F.broadcast(plan), F.size("_v") == F.col("_size"), "left")  # at most max_group rows
     first, n = F.get("_v", F.lit(0)), F.size("_v")
     error = F.when(F.col("_low").isNotNull(), _sample_std(medians, first, F.size("_low"))).when(n == 2, _sample_std(F.col("_v"), first, n))
-    out = out.withColumn("xco2_bootstrap_std", error).drop("_v", "_size", "_low", "_high")
-    if large is None:
-        return out
-    found = _large_group_error(df.drop("_large"), large, keys, resamples, seed)
-    return out.join(F.broadcast(found), keys, "left").withColumn("xco2_bootstrap_std", F.coalesce("_error", "xco2_bootstrap_std")).drop("_error")
+    half = lambda v, k: F.get(v, F.floor((F.size(v) - k) / 2).cast("int"))
+    median = lambda v: F.when(F.size(v) > 0, (half(v, 1) + half(v, 0)) / 2)
+    columns = [median("_v").alias("xco2"), median("_w").alias("tropomi_no2"), error.alias("xco2_bootstrap_std")]
+    if large is not None:
+        out = out.join(F.broadcast(_large_groups(df, large, keys, resamples, seed)), keys, "left")
+        columns = [F.coalesce(a, c).alias(n) for a, c, n in zip(("_x", "_no2", "_error"), columns, ("xco2", "tropomi_no2", "xco2_bootstrap_std"))]
+    return out.select(*keys, *columns[:2], *(c for c in MEANS if c in df.columns), "n_soundings", columns[2])
 
 
 def mode_land_counts(df: DataFrame) -> DataFrame:
