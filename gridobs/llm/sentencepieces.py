@@ -313,7 +313,7 @@ def segment_long(atoms: DataFrame, path: str, merges: bool = False) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([codes], pa.list_(pa.int32()))], ["key", "codes"])
 
     codes = edges.select("key", "end", "start", "score", "id").mapInArrow(fold, "key string, codes array<int>")
-    return atoms.join(codes, "key").select("atom", "codes")
+    return atoms.join(codes, "key", "left").select("atom", "codes")  # an inner join would filter below the exchange of the atoms
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, merges: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -324,10 +324,13 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path = path or default_path()
     size = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_chars))
+    # numbers of blocks that hash partitioning deals one to a partition
+    dealt = df.sparkSession.range(40 * n_blocks).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n_blocks))).agg(F.min("id").alias("id"))
+    numbers = sorted(r.id for r in dealt.collect())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of the same block together, compressed. Copies of one row are dealt over blocks by their number, so no row makes a block large."""
-        z, copies, open_, held = zstandard.ZstdCompressor(level=3), Counter(), {}, 0
+        z, copies, open_, held = zstandard.ZstdCompressor(level=6), Counter(), {}, 0
 
         def closed(block: int) -> pa.RecordBatch:
             ids, texts = open_.pop(block)
@@ -338,7 +341,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 row = doc, xxhash.xxh3_64_intdigest(raw or b"")
-                block = xxhash.xxh3_64_intdigest(repr((*row, copies[row] // 64))) % n_blocks
+                block = numbers[xxhash.xxh3_64_intdigest(repr((*row, copies[row] // 64))) % len(numbers)]
                 copies[row] += 1
                 chunk = open_.setdefault(block, ([], []))
                 chunk[0].append(doc)
@@ -355,39 +358,38 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, model, rows = zstandard.ZstdDecompressor(), pieces(path, merges), (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
         for block, chunks in groupby(rows, lambda r: r[0]):
-            known = atoms = pa.array([], pa.string())
+            known = pa.array([], pa.string())
             for part in _parts(z, ((sizes, blob) for _, _, sizes, blob in chunks)):
                 known = pc.unique(pa.concat_arrays([known, index_words(part)[0]]))
-            for at in range(0, len(known), 100_000):
-                atoms = pc.unique(pa.concat_arrays([atoms, model.atoms(known.slice(at, 100_000))[0]]))
+            atoms = _sorted(model.atoms(known)[0])
             for at in range(0, len(atoms), 50_000):
                 part = atoms.slice(at, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], ["block", "atom"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], ["block", "number", "atom"])
 
     # an atom has a row per block at most, so none is hot; all uses of these rows share one exchange, as no
     # filter can go below it: atoms are not null there already, and lengths are looked at after the grouping
-    needs = packed.sortWithinPartitions("block").mapInArrow(split, "block int, atom string").where("atom IS NOT NULL").repartition(max(8, size // ATOM_BYTES), "atom")
-    known = needs.groupBy("atom").agg(F.count("block").alias("blocks"), F.max(F.length("atom")).alias("n")).where("blocks > 0")  # counting keeps the block in the exchange
+    needs = packed.sortWithinPartitions("block").mapInArrow(split, "block int, number int, atom string").where("atom IS NOT NULL").repartition(max(8, size // ATOM_BYTES), "atom")
+    known = needs.groupBy("atom").agg(F.max("block").alias("b"), F.max("number").alias("k"), F.max(F.length("atom")).alias("n")).where("b >= 0 AND k >= 0")  # keeps all columns in the exchange
     short, long = segment(known.where(F.col("n") <= FOLD_CHARS), path, merges), segment_long(known.where(F.col("n") > FOLD_CHARS), path, merges)
-    codes = needs.join(short, "atom", "left").join(long.withColumnRenamed("codes", "of_long"), "atom", "left").select("block", "atom", F.coalesce("codes", "of_long").alias("codes"))
+    codes = needs.join(short, "atom", "left").join(long.withColumnRenamed("codes", "of_long"), "atom", "left").select("block", "number", F.coalesce("codes", "of_long").alias("codes"))
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
         z, model = zstandard.ZstdDecompressor(), pieces(path, merges)
-        codes, names = right.column("codes").combine_chunks(), right.column("atom").combine_chunks()
+        docs = [doc for ids in left.column("ids").to_pylist() for doc in ids]
+        parts = [(texts, *index_words(texts)) for texts in _parts(z, zip(left.column("sizes").to_pylist(), left.column("packed").to_pylist()))]
+        known = pc.unique(pa.concat_arrays([pa.array([], pa.string()), *(p[1] for p in parts)]))
+        atoms, n_atoms = model.atoms(known)
+        names = _sorted(atoms)  # their numbers are those of the split
+        codes = right.sort_by("number").column("codes").combine_chunks()
+        if len(codes) != len(names):
+            raise RuntimeError("an atom of the texts has no segmentation")
         flat, edges = _with_bytes(codes.flatten().to_numpy(zero_copy_only=False), _offsets(codes.value_lengths().to_numpy(zero_copy_only=False)), names, model)
-        docs, out = [], []
-        for ids in left.column("ids").to_pylist():
-            docs += ids
-        at = 0
-        for texts in _parts(z, zip(left.column("sizes").to_pylist(), left.column("packed").to_pylist())):
-            known, places, counts, order = index_words(texts)
-            atoms, n_atoms = model.atoms(known)
-            of = pc.index_in(atoms, value_set=names)
-            if of.null_count:
-                raise RuntimeError("an atom of the texts has no segmentation")
-            of_words, ends = _take(flat, edges, of.to_numpy().astype(np.int64))
-            ids, ends = _take(of_words, ends[_offsets(n_atoms)], places)
-            ids = pa.ListArray.from_arrays(pa.array(ends[_offsets(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+        of_words, ends = _take(flat, edges, pc.index_in(atoms, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends, at, out = ends[_offsets(n_atoms)], 0, []
+        for texts, words_, places, counts, order in parts:
+            of = pc.index_in(words_, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, where = _take(of_words, ends, of[places])
+            ids = pa.ListArray.from_arrays(pa.array(where[_offsets(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
             doc = pa.array([docs[at + i] for i in order], pa.int64())
             out.append(pa.record_batch([doc, pa.array([texts[i] for i in order], pa.binary()).cast(pa.string()), ids], ["doc_id", "text", "ids"]))
             at += len(texts)
@@ -412,6 +414,11 @@ def _with_bytes(flat: np.ndarray, edges: np.ndarray, names: pa.StringArray, mode
     return out, at[edges]
 
 
+def _sorted(atoms: pa.StringArray) -> pa.StringArray:
+    found = pc.unique(atoms)
+    return found.take(pc.sort_indices(found))
+
+
 def _parts(z: zstandard.ZstdDecompressor, chunks: Iterable[tuple[list[int], bytes]]) -> Iterator[list[bytes | None]]:
     """The texts of chunks (sizes, -1 for null, and the packed bytes), some megabytes at a time."""
     out, held = [], 0
