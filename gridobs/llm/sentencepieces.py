@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 #: Bytes of text that meet their dictionary in one Python group, that a task holds before it sends them, and per partition of the atoms.
 BLOCK_CHARS, CHUNK_BYTES, ATOM_BYTES = 24_000_000, 4_000_000, 4_000_000
-#: Characters up to which an atom is folded by an aggregate.
-FOLD_CHARS = 200
+#: Characters up to which an atom is folded by an aggregate; words that are cut at a time.
+FOLD_CHARS, WORDS = 200, 50_000
 _CHUNK = pa.schema([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
 _MARK = BLANK.encode()
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -61,10 +61,12 @@ class Pieces:
 
     def atoms(self, of: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
         """The atoms of all given words, one after the other, and how many each word has."""
-        if not len(of):
-            return of, np.zeros(0, np.int64)
+        parts = [self._atoms(of.slice(at, WORDS)) for at in range(0, len(of), WORDS)]
+        return pa.concat_arrays([pa.array([], pa.string()), *(a for a, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+
+    def _atoms(self, of: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
         ends = np.frombuffer(of.buffers()[1], np.int32)[of.offset : of.offset + len(of) + 1]
-        raw = bytes(of.buffers()[2])[ends[0] : ends[-1]]
+        raw = bytes(memoryview(of.buffers()[2])[ends[0] : ends[-1]])
         ends = ends[1:] - ends[0]
         codes = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         after = np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), dtype=np.int32)  # the byte after each character
@@ -338,7 +340,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             packed = z.compress(b"".join([t or b"" for t in texts]))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, ids, sizes, packed), _CHUNK.types)], schema=_CHUNK)
 
-        for b in batches:
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 row = doc, xxhash.xxh3_64_intdigest(raw or b"")
                 block = numbers[xxhash.xxh3_64_intdigest(repr((*row, copies[row] // 64))) % len(numbers)]
