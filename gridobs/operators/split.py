@@ -71,15 +71,20 @@ def undersample_targets(df: DataFrame, ref: str = "Korea_Japan", multipliers: di
 def undersample(df: DataFrame, key: Sequence[str], ref: str = "Korea_Japan", multipliers: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
     """Keep exactly the targeted number of rows of each region and split, drawn by a hash of ``key`` (unique), so it is repeatable.
 
-    A hash threshold with room to spare first drops what can't be drawn, so that few rows are ranked although there are few groups.
+    There are few groups, so each is ranked in 4096 ranges of the hash: counts tell in which range the draw ends, ranges before it are kept whole.
     """
     targets = undersample_targets(df, ref, multipliers).withColumnsRenamed({"region": "_r", "split": "_s", "n": "_n", "keep": "_keep"})
     draw = F.xxhash64(F.lit(seed), *key)
-    rows = df.join(F.broadcast(targets), F.col("region").eqNullSafe(F.col("_r")) & F.col("split").eqNullSafe(F.col("_s"))).withColumn("_draw", draw)
-    share = (F.col("_draw") / F.lit(2.0**64)) + 0.5
-    rows = rows.where((F.col("_keep") == F.col("_n")) | (share <= (F.col("_keep") + 10 * F.sqrt(F.col("_keep").cast("double")) + 100) / F.col("_n")))
-    rank = F.row_number().over(Window.partitionBy("_r", "_s").orderBy("_draw", *key))
-    return rows.withColumn("_rank", F.when(F.col("_keep") < F.col("_n"), rank).otherwise(0)).where(F.col("_rank") <= F.col("_keep")).drop("_r", "_s", "_n", "_keep", "_draw", "_rank")
+    rows = df.withColumn("_draw", draw).withColumn("_range", F.shiftright("_draw", 52))
+    ranges = rows.groupBy(F.col("region").alias("_r2"), F.col("split").alias("_s2"), F.col("_range").alias("_range2")).agg(F.count("*").alias("_in"))
+    before = F.sum("_in").over(Window.partitionBy("_r2", "_s2").orderBy("_range2")) - F.col("_in")
+    ranges = ranges.withColumn("_before", before).join(F.broadcast(targets), F.col("_r2").eqNullSafe(F.col("_r")) & F.col("_s2").eqNullSafe(F.col("_s")))
+    ranges = ranges.where("_before < _keep").select("_r2", "_s2", "_range2", "_in", "_before", "_keep")
+    # at most 4096 rows for each of a few groups
+    rows = rows.join(F.broadcast(ranges), F.col("region").eqNullSafe(F.col("_r2")) & F.col("split").eqNullSafe(F.col("_s2")) & (F.col("_range") == F.col("_range2")))
+    rank = F.row_number().over(Window.partitionBy("_r2", "_s2", "_range").orderBy("_draw", *key))
+    rows = rows.withColumn("_rank", F.when(F.col("_before") + F.col("_in") > F.col("_keep"), rank).otherwise(0)).where(F.col("_before") + F.col("_rank") <= F.col("_keep"))
+    return rows.drop("_draw", "_range", "_r2", "_s2", "_range2", "_in", "_before", "_keep", "_rank")
 
 
 def train_matrix(df: DataFrame, features: Sequence[str], target: str = "xco2_anomaly", split: str = "train") -> DataFrame:
