@@ -15,15 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, in the folder that the cluster names.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables that the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where ``spark.checkpoint.dir`` is unset (tests).
+    A folder of our own is made only where none is named and driver and tasks share one machine (tests); elsewhere that is an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridobs-checkpoint-"))
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridobs-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, in the folder that the cluster names."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -18,18 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridobs.llm._shared import materialize
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_CODE = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: dict[str, np.ndarray] = {}
-TILE, BAND_GROWTH = 1024, 1.25
+TILE, BAND_GROWTH, TEXT_BYTES = 1024, 1.25, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -47,45 +44,49 @@ class Rule:
         return 100 * common >= self.percent * (a + b - common)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 16, 1 << n.bit_length())
-        ones = np.ones(size, dtype=np.uint64)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            x = ones.copy()
-            x[1:] = base
-            _POWERS[name] = np.cumprod(x)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+def word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, A-Z in lower case. Each distinct word of a batch is hashed once."""
+    words = pc.ascii_split_whitespace(pa.array([(t or b"").lower() for t in texts], pa.large_binary()).cast(pa.large_string(), safe=False))
+    one = words.flatten().dictionary_encode()
+    known = np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in one.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
+    flat = known[one.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.uint64)
+    ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
+    return [w[w != 0] if len(w) and (w[0] == 0 or w[-1] == 0) else w for w in np.split(flat, ends[:-1])] if len(texts) else []
+
+
+def shingle_sets_of(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles. Fewer words than ``width``: one shingle of them all; none: none."""
+    out = []
+    for word in word_hashes(texts):
+        n = min(width, len(word))
+        if not n:
+            out.append(word)
+            continue
+        said = np.zeros(len(word) - n + 1, dtype=np.uint64)
+        for k in range(n):
+            said = _mix(said + word[k : len(word) - n + 1 + k])
+        out.append(np.unique(said + _U(n)))
+    return out
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; A-Z in lower case. Fewer words than ``width``: one shingle of them all."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
-    if not len(raw):
-        return np.zeros(0, dtype=np.uint64)
-    inside = np.concatenate(([False], ~_BLANK[raw], [False]))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _powers(len(raw) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODE[raw] * up[:-1])))
-    word = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    n = min(width, len(word))
-    out = np.zeros(len(word) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        out = _mix(out + word[k : len(word) - n + 1 + k])
-    return np.unique(out + _U(n))
+    return shingle_sets_of([None if text is None else text.encode("utf-8", "surrogatepass")], width)[0]
+
+
+def _sets(batches: Iterator[pa.RecordBatch], column: int, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches cut to some megabytes of text, with the sets of their texts (bytes)."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)) // TEXT_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
+        for at, end in zip(edges[:-1], edges[1:]):
+            part = b.slice(at, end - at)
+            yield part, shingle_sets_of(part.column(column).to_pylist(), width)
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -133,27 +134,36 @@ def block_keys(hashes: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def shingle_sets(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, cls, sketch``: class of equal sets and its parity sketch; null for empty sets, which link with nothing."""
+    """``doc_id, row_key, n_shingles, cls, sketch``: class of equal sets and its parity sketch; null for empty sets, which link with nothing.
+
+    ``row_key`` is a digest of id and text, see ``row_key``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_hashes(t.as_py(), rule.width) for t in b.column(1)]
+        for b, sets in _sets(batches, 2, rule.width):
             cls = [set_id(s) if len(s) else None for s in sets]
             sketch = [parity_sketch(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"]
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary())],
+                ["doc_id", "row_key", "n_shingles", "cls", "sketch"],
             )
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary"))
+    return rows.mapInArrow(run, "doc_id long, row_key binary, n_shingles long, cls long, sketch binary")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Digest of a row's id and text, nulls told apart from every value."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("0"))
+    return F.unhex(F.sha2(F.concat(part(id_col), F.lit(":"), part(text_col)), 256))
 
 
 def _keys(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            keys, classes = [], []
-            for t in b.column(0):
-                s = shingle_hashes(t.as_py(), rule.width)
+        for _, sets in _sets(batches, 0, rule.width):
+            keys, classes, held = [], [], 0
+            for s in sets:
                 c = set_id(s)
                 if len(s) and c not in seen:  # the same rows again, for an equal set
                     if len(seen) < 100_000:
@@ -161,13 +171,14 @@ def _keys(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
                     k = block_keys(s, rule)
                     keys.append(k)
                     classes.append(np.full(len(k), c, dtype=np.int64))
-                if sum(map(len, keys[-64:])) > 50_000 or len(keys) >= 1000:
+                    held += len(k)
+                if held > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, classes)], ["key", "cls"])
-                    keys, classes = [], []
+                    keys, classes, held = [], [], 0
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, classes)], ["key", "cls"])
 
-    return df.select(text_col).mapInArrow(run, "key long, cls long")
+    return df.select(F.col(text_col).cast("binary")).mapInArrow(run, "key long, cls long")
 
 
 def hub_members(df: DataFrame, rule: Rule, text_col: str = "text") -> DataFrame:
@@ -267,11 +278,11 @@ def links(df: DataFrame, sets: DataFrame, rule: Rule, id_col: str = "doc_id", te
     wanted = placed.select("cls").distinct().join(classes.select("_rep", "cls"), "cls").select("_rep", "cls")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [shingle_hashes(t.as_py(), rule.width).view(np.int64) for t in b.column(1)]
+        for _, sets in _sets(batches, 1, rule.width):
+            s = [x.view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["cls", "hashes"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("_doc"), text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("binary").alias(text_col))
     # a class that has no id is found among the rows without one; the join with placed leaves out what is not wanted
     texts = wanted.join(rows, F.col("_rep") == F.col("_doc")).select("cls", text_col).union(rows.where("_doc IS NULL").select("_doc", text_col))
     known = texts.mapInArrow(hashes, "cls long, hashes array<long>").dropDuplicates(["cls"])
@@ -311,6 +322,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def grouped(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """``doc_id, row_key, n_shingles, comp``: per row, the size of its set and the component of its class; null for empty sets, which link with nothing."""
+    sets = materialize(shingle_sets(df, rule, id_col, text_col))
+    comp = components(links(df, sets, rule, id_col, text_col, tile)).withColumnRenamed("cls", "_cls")
+    return sets.join(comp, F.col("cls") == F.col("_cls"), "left").select("doc_id", "row_key", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
+
+
 def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id``: per row, the size of its set and the smallest doc_id reachable by links, itself included.
 
