@@ -29,11 +29,13 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button search fieldset label".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status note".split())
 CONTENT_TAGS = frozenset(("article", "main"))
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|nav\w*|menus?|breadcrumbs?|foot\w*|masthead|topbar|toolbar|sidebar\w*|side|widgets?|"
-    r"related|recommend\w*|share|sharing|social|comments?|commentlist|respond|repl(?:y|ies)|discussion|disqus|cookies?|consent|gdpr|notices?|alerts?|newsletter|"
-    r"subscri\w*|popup|modal|overlay|login|signin|signup|register|search\w*|pag(?:er|ination)|copyright|disclaimer|legal|skip|tags|meta|byline|toc|hidden|form)(?:$|[\s_-])"
+#: Words in class names and ids. The first say almost surely what a block is; the others are also used for parts of articles.
+_SURE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|nav\w*|menus?|breadcrumbs?|masthead|topbar|toolbar|sidebar\w*|widgets?|share|sharing|social|"
+    r"comments?|commentlist|respond|repl(?:y|ies)|discussion|disqus|cookies?|consent|gdpr|newsletter|subscri\w*|popup|modal|overlay|login|signin|signup|pag(?:er|ination)|"
+    r"copyright|disclaimer|skip|hidden)(?:$|[\s_-])"
 )
+_MAYBE = re.compile(r"(?:^|[\s_-])(?:foot\w*|side|related|recommend\w*|notices?|alerts?|register|search\w*|legal|tags|meta|byline|toc|form)(?:$|[\s_-])")
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|post|story|main|body|text|prose|page)(?:$|[\s_-])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\b\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.IGNORECASE)
@@ -41,18 +43,33 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\b\s*+(?:=\
 
 @dataclass(slots=True)
 class Block:
+    """A text block: the numbers of the elements around it, its own tag, its linked characters, and what its elements say: ``region`` of a boilerplate tag
+    or role, ``named`` 1 for doubtful and 2 for sure boilerplate names, one more if it is the block's own name, ``content`` of an article's element."""
+
     text: str
-    parent: int
+    path: tuple[int, ...]
     tag: str
     links: int
-    boiler: bool
+    region: bool
+    named: int
     content: bool
 
 
+@dataclass(slots=True)
+class Element:
+    tag: str
+    number: int
+    region: bool = False
+    named: int = 0
+    own: bool = False
+    content: bool = False
+    link: bool = False
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. Comments, scripts, styles, the head and other elements that show no text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, boilerplate, content
+    stack = [Element("", 0)]
     text: list[str] = []
     state = {"links": 0, "n": 0}
 
@@ -60,23 +77,20 @@ def blocks(page: str) -> list[Block]:
         if text:
             said = " ".join("".join(text).split())
             if said:
-                tag, number, boiler, content = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0])
+                around = [x for x in stack if x.tag in BLOCK or not x.tag]
+                own, last = around[-1], stack[-1]
+                path = tuple(x.number for x in around[:-1]) or (0,)
                 # inline elements can hold the region too
-                boiler = boiler or stack[-1][2]
-                out.append(Block(said, holder(), tag, state["links"], boiler, content or stack[-1][3]))
+                named = max(own.named, last.named)
+                out.append(Block(said, path, own.tag, state["links"], own.region or last.region, named + (1 if named and (own.own or last.own) else 0), own.content or last.content))
             text.clear()
         state["links"] = 0
 
-    def holder() -> int:
-        """The element around the block's own element."""
-        found = [x[1] for x in stack if x[0] in BLOCK or not x[0]]
-        return found[-2] if len(found) > 1 else found[-1]
-
     def say(s: str) -> None:
         if s:
             said = html.unescape(s) if "&" in s else s
             text.append(said)
-            if any(x[0] == "a" for x in stack[-4:]):
+            if stack[-1].link:
                 state["links"] += len("".join(said.split()))
 
     at, size = 0, len(page)
@@ -87,8 +101,9 @@ def blocks(page: str) -> list[Block]:
             break
         say(page[at:i])
         if page.startswith("<!--", i):
+            empty = next((e for e in ("<!-->", "<!--->") if page.startswith(e, i)), "")  # comments that end where they begin
             end = page.find("-->", i + 4)
-            at = size if end < 0 else end + 3
+            at = i + len(empty) if empty else size if end < 0 else end + 3
             continue
         if i + 1 < size and page[i + 1] in "!?":
             end = page.find(">", i)
@@ -110,8 +125,8 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name in BLOCK:
                 flush()
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if depth and (name in BLOCK or all(x[0] not in BLOCK for x in stack[depth + 1 :])):
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name), 0)
+            if depth and (name in BLOCK or all(x.tag not in BLOCK for x in stack[depth + 1 :])):
                 del stack[depth:]
             elif name == "br":
                 text.append(" ")
@@ -122,53 +137,58 @@ def blocks(page: str) -> list[Block]:
                 at = end.end() if end else (size if name in ("script", "style") else at)
             continue
         if name in VOID:
-            text.append(" ")
-            if name == "hr":
+            if name == "br":
+                text.append(" ")
+            elif name == "hr":
                 flush()
             continue
         if name in BLOCK:
             flush()
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or name in CLOSED_BY.get(stack[k][0], ()):
+                if stack[k].tag == "p" or name in CLOSED_BY.get(stack[k].tag, ()):
                     del stack[k:]
                     break
-                if stack[k][0] in BLOCK:
+                if stack[k].tag in BLOCK:
                     break
         marks: dict[str, str] = {}
         if m[3].strip(" /"):
             marks = {a[1].lower(): (a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])}
         named = f"{marks.get('class', '')} {marks.get('id', '')}".lower().strip()
-        boiler, content = stack[-1][2], stack[-1][3]
+        top = stack[-1]
+        region, kind, own, content = top.region, top.named, False, top.content
+        if name in CONTENT_TAGS:
+            kind = 0  # a wrapper of the article may be named after what else it holds
         if name in BLOCK or name in BOILER_TAGS or named:
-            in_article = content and not boiler
-            boiler = boiler or (
-                name in BOILER_TAGS or name == "head" or (name == "header" and not in_article) or marks.get("role", "").lower() in BOILER_ROLES
-                or "hidden" in marks or marks.get("aria-hidden", "").lower() == "true"
-                or bool(named and name not in ("html", "body", "article", "main", "p", "h1") and _BOILER.search(named))
-            )
-            content = content or name in CONTENT_TAGS or marks.get("role", "").lower() == "main" or marks.get("itemprop", "").lower() == "articlebody" or bool(named and name not in ("html", "body") and _CONTENT.search(named))
+            role = marks.get("role", "").lower()
+            in_article = content and not region
+            region = region or name in BOILER_TAGS or name == "head" or (name == "header" and not in_article) or role in BOILER_ROLES or "hidden" in marks or marks.get("aria-hidden", "").lower() == "true"
+            if named and name not in ("html", "body", "article", "main", "p", "h1"):
+                found = 2 if _SURE.search(named) else 1 if _MAYBE.search(named) else 0
+                own, kind = found > 0, max(kind, found)
+            content = content or name in CONTENT_TAGS or role == "main" or marks.get("itemprop", "").lower() == "articlebody" or bool(named and name not in ("html", "body") and _CONTENT.search(named))
         if not m[3].endswith("/") or name in BLOCK:
             state["n"] += 1
-            stack.append((name, state["n"], boiler, content))
+            stack.append(Element(name, state["n"], region, kind, own, content, name == "a" or (top.link and name not in BLOCK)))
     flush()
     return out
 
 
+#: Fixed weights of the classifier.
+WEIGHTS = {"bias": -1.0, "words": 0.1, "linked": -4.0, "text": 1.0, "heading": 0.5, "item": -0.5, "ended": 0.5, "content": 1.5, "region": -8.0, "named": (0.0, -4.0, -7.0, -9.0)}
+
+
 def evidence(b: Block) -> float:
-    """The classifier: positive for content. A linear score of region, tag, link share and length."""
+    """The classifier: positive for content. A linear score of region, names, tag, link share and length."""
+    w = WEIGHTS
     n = b.text.count(" ") + 1
-    linked = min(1.0, b.links / max(1, len(b.text) - n + 1))
-    score = -1.0 + min(n, 40) / 10 - 4.0 * linked
-    score += 1.0 if b.tag in ("p", "blockquote", "pre") else 0.5 if b.tag in ("h1", "h2", "h3") else -0.5 if b.tag in ("li", "td", "option") else 0.0
-    score += 0.5 if b.text[-1] in ".!?…\"”»" else 0.0
-    if b.content:
-        score += 8.0
-    if b.boiler:
-        score -= 24.0
-    return score
+    score = w["bias"] + w["words"] * min(n, 40) + w["linked"] * min(1.0, b.links / max(1, len(b.text) - n + 1))
+    score += w["text"] if b.tag in ("p", "blockquote", "pre") else w["heading"] if b.tag in ("h1", "h2", "h3") else w["item"] if b.tag in ("li", "td", "option") else 0.0
+    score += w["ended"] if b.text[-1] in ".!?…\"”»" else 0.0
+    return score + w["content"] * b.content + w["region"] * b.region + w["named"][b.named]
 
 
-NEXT, SIBLING = 0.8, 1.2
+#: Ties of blocks that follow one another, halved for each element between them, and of blocks of one parent with others between them.
+NEXT, SIBLING = 2.5, 1.0
 
 
 def min_cut(own: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -190,7 +210,8 @@ def min_cut(own: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
                     work.append(j)
     left = [i for i, x in enumerate(label) if x is None]
     if left:
-        for i, x in zip(left, _flow([own[i] for i in left], [(left.index(i), left.index(j), c) for i, j, c in ties if label[i] is None and label[j] is None])):
+        place = {i: k for k, i in enumerate(left)}
+        for i, x in zip(left, _flow([own[i] for i in left], [(place[i], place[j], c) for i, j, c in ties if i in place and j in place])):
             label[i] = x
     return [bool(x) for x in label]
 
@@ -228,24 +249,31 @@ def _flow(own: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
     reach, queue = {sink}, deque([sink])
     while queue:
         b = queue.popleft()
-        for a in range(n + 2):
+        for a in cap[b]:  # every arc has its reverse
             if a not in reach and cap[a].get(b, 0.0) > 1e-9:
                 reach.add(a)
                 queue.append(a)
     return [i not in reach for i in range(n)]
 
 
+def ties(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges of adjacency and of proximity in the page's tree."""
+    out, last = [], {}
+    for i, b in enumerate(found):
+        if i:
+            before = found[i - 1].path
+            common = next((k for k, (x, y) in enumerate(zip(before, b.path)) if x != y), min(len(before), len(b.path)))
+            out.append((i - 1, i, NEXT * 0.5 ** (len(before) + len(b.path) - 2 * common)))
+        if last.get(b.path[-1], i - 1) < i - 1:
+            out.append((last[b.path[-1]], i, SIBLING))
+        last[b.path[-1]] = i
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by newlines; empty if there are none."""
     found = blocks(page or "")
-    ties, last = [], {}
-    for i, b in enumerate(found):
-        if i and found[i - 1].boiler == b.boiler:
-            ties.append((i - 1, i, NEXT))
-        if b.parent in last:
-            ties.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    return "\n".join(b.text for b, keep in zip(found, min_cut([evidence(b) for b in found], ties)) if keep)
+    return "\n".join(b.text for b, keep in zip(found, min_cut([evidence(b) for b in found], ties(found))) if keep)
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -83,6 +84,37 @@ def test_html_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got) and html.extract(df.limit(0)).count() == 0
 
 
+PROSE = "A sentence of the article that goes on for quite a few words, as such sentences do, and then it comes to its end."
+
+
+def test_the_cut_turns_labels():
+    page = f"<body><article><h1>T</h1><p>{PROSE}</p><section class='related-work'><h2>Related work</h2><p>{PROSE}</p></section><p>{PROSE}</p><div class='share'>Share this</div></article>"
+    found = html.blocks(page)
+    assert [html.evidence(b) > 0 for b in found] == [True, True, False, True, True, False]
+    assert html.main_text(page) == "\n".join(["T", PROSE, "Related work", PROSE, PROSE])
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div class='layout has-sidebar'><article><p>{PROSE}</p></article><div class=sidebar><p>{PROSE}</p></div></div>", PROSE),
+    ("<article><p>A super<wbr>cali<img src=x>fragilistic word, of which<br>there are not too many.</p></article>", "A supercalifragilistic word, of which there are not too many."),
+    (f"<article><!--><p>{PROSE}</p><!---><p>{PROSE}</p><!-- <p>no</p> --></article>", f"{PROSE}\n{PROSE}"),
+    (f"<article><p>{PROSE}</p><section id=comments><p>{PROSE}</p><p>{PROSE}</p></section></article>", PROSE),
+])
+def test_pages_by_hand(page, text):
+    assert html.main_text(page) == text
+
+
+def test_deep_links_are_seen():
+    block = html.blocks("<p><a href=x><b><i><u><em><strong>all of this is a link</strong></em></u></i></b></a></p>")[0]
+    assert block.links == len("allofthisisalink")
+
+
+def test_long_undecided_pages_are_not_quadratic():
+    start = time.perf_counter()
+    assert html._flow([0.1 if i % 3 else -0.15 for i in range(4000)], [(i, i + 1, 0.5) for i in range(3999)])
+    assert time.perf_counter() - start < 20
+
+
 def test_min_cut_is_the_best_labelling():
     rng = random.Random(2)
     for _ in range(150):
