@@ -13,7 +13,7 @@ from gridobs.operators.grid import K
 
 
 def daily_frames(df: DataFrame, channels: Sequence[str], grid: Grid = Grid(res=0.25), order: Sequence[str] = ()) -> DataFrame:
-    """One row per date and cell: channel values (NULL becomes 0) and ``observed``; of several rows in a cell the last in ``order`` counts.
+    """One row per date and cell: channel values (NULL becomes 0) and ``observed``, where the first channel is not 0; of several rows in a cell the last in ``order`` counts.
 
     Cells are clipped to the grid. Absent cells are 0 when a frame is made dense.
     """
@@ -22,7 +22,7 @@ def daily_frames(df: DataFrame, channels: Sequence[str], grid: Grid = Grid(res=0
     by = [F.desc_nulls_last(c) for c in order] or [F.desc_nulls_last(c) for c in channels]
     last = F.row_number().over(Window.partitionBy("date", *K).orderBy(*by))
     rows = rows.withColumn("_k", last).where("_k = 1")
-    return rows.select("date", *K, F.col(channels[0]).isNotNull().alias("observed"), *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in channels))
+    return rows.select("date", *K, F.coalesce(F.col(channels[0]) != 0, F.lit(False)).alias("observed"), *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in channels))
 
 
 def dense_frames(frames: DataFrame, channel: str, grid: Grid = Grid(res=0.25)) -> DataFrame:

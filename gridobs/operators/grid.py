@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridobs.functions.columns import LON_BINS, REGIONS, Grid, Region, at_least, lat_band, lat_band_label, lon_bin_label, region_label
+from gridobs.functions.columns import LON_BINS, REGIONS, Grid, Region, at_least, lat_band, lat_band_label, lon_bin_label, parse_time, region_label
 
 K = ["lat_idx", "lon_idx"]
 
@@ -61,6 +61,14 @@ def with_lat_bands(df: DataFrame, width: int = 10) -> DataFrame:
     return df.withColumn("lat_band", lat_band("latitude", width)).withColumn("lat_band_str", lat_band_label("latitude", width))
 
 
+def parse_times(df: DataFrame, date: str = "date") -> DataFrame:
+    """The ``date`` string as a timestamp, rows that can't be read dropped, and ``date_key`` as YYYYMMDD; a numeric ``time`` is renamed ``tai_seconds``."""
+    if dict(df.dtypes).get("time") in ("float", "double"):
+        df = df.withColumnRenamed("time", "tai_seconds")
+    df = df.withColumn(date, parse_time(F.col(date).cast("string"))).where(F.col(date).isNotNull())
+    return df.withColumn("date_key", F.date_format(date, "yyyyMMdd"))
+
+
 def calendar_cols(df: DataFrame, time: str = "date") -> DataFrame:
     """Add ``date, year, month, year_month`` (the month's first day)."""
     d = F.to_date(time)

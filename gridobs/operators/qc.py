@@ -131,13 +131,23 @@ def missing_bias(df: DataFrame, core: Sequence[str], by: Sequence[str] = ("year"
     )
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """``column, min, max, mean, pct_missing`` of every numeric column, in one pass."""
+def column_profile(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
+    """``column, min, max, mean, low, high, n_outside, pct_missing`` of every numeric column, in one pass: what it holds, the range it should keep to, and values out of it."""
+    bounds = PHYSICAL_BOUNDS if bounds is None else bounds
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    aggs = [a for i, c in enumerate(numeric) for a in (F.min(c).cast("double").alias(f"a{i}"), F.max(c).cast("double").alias(f"b{i}"), F.avg(c).alias(f"c{i}"), F.count(c).alias(f"d{i}"))]
+
+    def outside(c: str) -> Column:
+        low, high = bounds.get(c, (None, None))
+        return F.count_if((F.col(c) < F.lit(low) if low is not None else F.lit(False)) | (F.col(c) > F.lit(high) if high is not None else F.lit(False)))
+
+    aggs = [a.alias(f"{n}{i}") for i, c in enumerate(numeric) for n, a in (("a", F.min(c).cast("double")), ("b", F.max(c).cast("double")), ("c", F.avg(c)), ("d", F.count(c)), ("e", outside(c)))]
     one = df.agg(F.count("*").alias("n"), *aggs)
     rows = [
-        F.struct(F.lit(c).alias("column"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"), F.col(f"c{i}").alias("mean"), (F.lit(100.0) * F.try_divide(F.col("n") - F.col(f"d{i}"), F.col("n"))).alias("pct_missing"))
+        F.struct(
+            F.lit(c).alias("column"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"), F.col(f"c{i}").alias("mean"),
+            *(F.lit(x).cast("double").alias(n) for n, x in zip(("low", "high"), bounds.get(c, (None, None)))), F.col(f"e{i}").alias("n_outside"),
+            (F.lit(100.0) * F.try_divide(F.col("n") - F.col(f"d{i}"), F.col("n"))).alias("pct_missing"),
+        )
         for i, c in enumerate(numeric)
     ]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridobs.functions.columns import Grid, lat_band
 from gridobs.functions.special import normal_quantile, pearson_pvalue
 from gridobs.operators.grid import K
 
@@ -53,18 +54,27 @@ def fdr_by(df: DataFrame, p: str = "p", alpha: float = 0.05, parts: int | None =
     return df.withColumn("significant", F.lit(False) if limit is None else F.coalesce(F.col(p) <= F.lit(limit), F.lit(False)))
 
 
-def correlation_summary(df: DataFrame) -> DataFrame:
-    """One row: mean and median r, cells from |r| 0.3 and 0.5, and the place and significance of cells from r 0.5."""
+def correlation_summary(df: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """One row: mean and median r, cells from |r| 0.3 and 0.5, and number, share, significance and place (latitude and longitude of the centres) of cells from r 0.5."""
     r, strong = F.col("r"), F.col("r") >= 0.5
     sig = F.col("significant") if "significant" in df.columns else F.lit(False)
-    at = lambda c: F.when(strong, F.col(c))
+    place = {"lat": F.when(strong, grid.lat_center("lat_idx")), "lon": F.when(strong, grid.lon_center("lon_idx"))}
     return df.agg(
         F.count(r).alias("n_cells"), F.avg(r).alias("mean_r"), F.median(r).alias("median_r"), F.count_if(F.abs(r) >= 0.3).alias("n_r03"), F.count_if(F.abs(r) >= 0.5).alias("n_r05"),
         F.count_if(strong).alias("n_strong"), F.try_divide(F.count_if(strong).cast("double"), F.count(r)).alias("share_strong"), F.count_if(strong & sig).alias("n_strong_significant"),
-        *(f(at(c)).alias(f"{c}_{n}") for c in K for n, f in (("min", F.min), ("max", F.max), ("median", F.median))),
+        *(f(c).alias(f"{k}_{n}") for k, c in place.items() for n, f in (("min", F.min), ("max", F.max), ("median", F.median))),
     )
 
 
+def correlation_bands(df: DataFrame, grid: Grid = Grid(), width: int = 5) -> DataFrame:
+    """``axis, band, n_strong, n_strong_significant``: cells from r 0.5 in each band of ``width`` degrees (its lower edge) of latitude and of longitude."""
+    sig = F.col("significant") if "significant" in df.columns else F.lit(False)
+    band = lambda axis, c: F.struct(F.lit(axis).alias("axis"), lat_band(c, width).alias("band"))
+    both = F.array(band("lat", grid.lat_center("lat_idx")), band("lon", grid.lon_center("lon_idx")))
+    rows = df.where(F.col("r") >= 0.5).select(sig.alias("_s"), F.explode(both).alias("b"))
+    return rows.groupBy("b.axis", "b.band").agg(F.count("*").alias("n_strong"), F.count_if("_s").alias("n_strong_significant"))
+
+
 def fit_scalers(df: DataFrame, features: Sequence[str], split: str = "train") -> DataFrame:
     """One row per feature that exists: mean, population spread, range (0 becomes 1), median, quartile range, rows; NULL ignored, ``split`` only."""
     names = [f for f in features if f in df.columns]
@@ -96,6 +106,11 @@ def apply_scalers(df: DataFrame, params: DataFrame, features: Sequence[str] | No
     return df.withColumns(out)
 
 
+def scaled_summary(df: DataFrame, value: str = "xco2_anomaly") -> DataFrame:
+    """One row on an exported table: rows, cells, mean and sample spread of ``value``."""
+    return df.agg(F.count("*").alias("n_rows"), F.count_distinct(*K).alias("n_cells"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+
+
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
     """R², RMSE, correlation, means, bias and n over rows that have both."""
     a, b = F.col(y), F.col(yhat)

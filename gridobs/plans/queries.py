@@ -179,6 +179,23 @@ def positive_flux(spark, sf):
     return qc.positive_flux(view(spark, sf, "inventory")).groupBy("month", "sector").agg(F.count("*").alias("n"), F.sum("fluxes").alias("total"))
 
 
+@query("event_id date date_key ~tai_seconds", """
+SELECT event_id, CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS date, strftime(ts, '%Y%m%d') AS date_key, value AS tai_seconds FROM events WHERE event_id % 11 <> 0""")
+def parsed_times(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    text = F.when(F.col("event_id") % 11 == 0, "no date").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(".0")))
+    return grid.parse_times(e.select("event_id", text.alias("date"), F.col("value").cast("double").alias("time")))
+
+
+@query("event_id ~mostly rarely", """
+SELECT event_id, CASE WHEN event_id % 20 = 0 THEN NULL ELSE CAST(value AS DOUBLE) END AS mostly, CASE WHEN event_id % 3 = 0 THEN 'n/a' ELSE CAST(user_id AS VARCHAR) END AS rarely FROM events""")
+def numeric_if_mostly(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    mostly = F.when(F.col("event_id") % 20 == 0, "n/a").otherwise(F.col("value").cast("string"))
+    rarely = F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(F.col("user_id").cast("string"))
+    return qc.numeric_if_mostly(e.select("event_id", mostly.alias("mostly"), rarely.alias("rarely")))
+
+
 @query("event_id time granule_date file_year", """
 SELECT event_id, CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS time, strftime(ts, '%Y%m%d') AS granule_date, '20' || strftime(ts, '%y') AS file_year FROM events""")
 def parsed_names(spark, sf):
@@ -349,8 +366,8 @@ def missing_bias(spark, sf):
     return qc.missing_bias(grid.calendar_cols(soundings(spark, sf)), ["xco2", "tropomi_no2"])
 
 
-@query("column ~min ~max ~mean ~pct_missing", cte("soundings") + " " + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", min({c}) AS min, max({c}) AS max, avg({c}) AS mean, 100e0 * (count(*) - count({c})) / count(*) AS pct_missing FROM v_soundings""" for c in ("xco2", "tropomi_no2", "era5_blh")))
+@query("column ~min ~max ~mean ~low ~high #n_outside ~pct_missing", cte("soundings") + " " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", min({c}) AS min, max({c}) AS max, avg({c}) AS mean, {lo} AS low, {hi} AS high, count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS n_outside, 100e0 * (count(*) - count({c})) / count(*) AS pct_missing FROM v_soundings""" for c, lo, hi in (("xco2", 395, 430), ("tropomi_no2", -50, 200), ("era5_blh", 0, "NULL"))))
 def column_profile(spark, sf):
     return qc.column_profile(soundings(spark, sf).select("xco2", "tropomi_no2", "era5_blh"))
 
@@ -386,9 +403,23 @@ def fdr_by(spark, sf):
     return stats.fdr_by(e.select("event_id", p.alias("p")))
 
 
-@query("#n_cells ~mean_r ~median_r #n_r03 #n_r05", _Z + f"SELECT count(r) AS n_cells, avg(r) AS mean_r, median(r) AS median_r, count(*) FILTER (WHERE abs(r) >= 0.3e0) AS n_r03, count(*) FILTER (WHERE abs(r) >= 0.5e0) AS n_r05 FROM ({_R})")
+_STRONG = f"""SELECT *, CASE WHEN r >= 0.5e0 THEN 20 + (lat_idx + 0.5e0) * 5 END AS lat, CASE WHEN r >= 0.5e0 THEN 100 + (lon_idx + 0.5e0) * 5 END AS lon FROM ({_R})"""
+
+
+@query("#n_cells ~mean_r ~median_r #n_r03 #n_r05 #n_strong ~share_strong #n_strong_significant ~lat_min ~lat_max ~lat_median ~lon_min ~lon_max ~lon_median", _Z + f"""
+SELECT count(r) AS n_cells, avg(r) AS mean_r, median(r) AS median_r, count(*) FILTER (WHERE abs(r) >= 0.3e0) AS n_r03, count(*) FILTER (WHERE abs(r) >= 0.5e0) AS n_r05, count(lat) AS n_strong,
+CASE WHEN count(r) > 0 THEN count(lat) / CAST(count(r) AS DOUBLE) END AS share_strong, count(*) FILTER (WHERE lat IS NOT NULL AND n_valid % 2 = 0) AS n_strong_significant,
+min(lat) AS lat_min, max(lat) AS lat_max, median(lat) AS lat_median, min(lon) AS lon_min, max(lon) AS lon_max, median(lon) AS lon_median FROM ({_STRONG})""")
 def correlation_summary(spark, sf):
-    return stats.correlation_summary(stats.cell_correlation(zonal(spark, sf), with_p=False))
+    cells = stats.cell_correlation(zonal(spark, sf), with_p=False).withColumn("significant", F.col("n_valid") % 2 == 0)
+    return stats.correlation_summary(cells, G5)
+
+
+@query("axis %band #n_strong #n_strong_significant", _Z + f""", k AS (SELECT * FROM ({_STRONG}) WHERE lat IS NOT NULL)
+SELECT axis, CAST(floor(place / 5) * 5 AS INT) AS band, count(*) AS n_strong, count(*) FILTER (WHERE n_valid % 2 = 0) AS n_strong_significant FROM (SELECT 'lat' AS axis, lat AS place, n_valid FROM k UNION ALL SELECT 'lon', lon, n_valid FROM k) GROUP BY 1, 2""")
+def correlation_bands(spark, sf):
+    cells = stats.cell_correlation(zonal(spark, sf), with_p=False).withColumn("significant", F.col("n_valid") % 2 == 0)
+    return stats.correlation_bands(cells, G5)
 
 
 @query("feature ~mean ~std_pop ~min ~max ~range ~median ~iqr #n_train", _Z + f", tr AS (SELECT * FROM z WHERE {_SPLIT} = 'train') " + " UNION ALL ".join(
@@ -405,6 +436,11 @@ def scaled_export(spark, sf):
     return stats.apply_scalers(z, stats.fit_scalers(z, ["tropomi_no2"]), ["tropomi_no2", "absent"])
 
 
+@query("#n_rows #n_cells ~mean ~std", _Z + "SELECT count(*) AS n_rows, count(DISTINCT (lat_idx, lon_idx)) AS n_cells, avg(xco2_anomaly) AS mean, stddev_samp(xco2_anomaly) AS std FROM z")
+def scaled_summary(spark, sf):
+    return stats.scaled_summary(zonal(spark, sf))
+
+
 @query("^tropomi_no2 ~era5_blh ~xco2_anomaly", _Z + f", tr AS (SELECT * FROM z WHERE {_SPLIT} = 'train') SELECT coalesce(tropomi_no2, (SELECT median(tropomi_no2) FROM tr)) AS tropomi_no2, era5_blh, xco2_anomaly FROM tr")
 def train_matrix(spark, sf):
     return split.train_matrix(split.temporal_split(zonal(spark, sf)), ["tropomi_no2", "era5_blh"])
@@ -463,6 +499,11 @@ def huber(spark, sf):
     return stats.weighted_huber(predictions(spark, sf), "true_xco2", "pred_xco2")
 
 
+@query("~huber", _P + "SELECT avg((CASE WHEN abs(true_xco2 - pred_xco2) < 0.5e0 THEN 0.5e0 * (true_xco2 - pred_xco2) ** 2 ELSE 0.5e0 * abs(true_xco2 - pred_xco2) - 0.125e0 END) * (1 + lat_idx)) AS huber FROM p")
+def huber_weighted(spark, sf):
+    return stats.weighted_huber(predictions(spark, sf).withColumn("weight", F.col("lat_idx") + F.lit(1)), "true_xco2", "pred_xco2", "weight")
+
+
 @query("%i ~theoretical ~ordered")
 def qq_points(spark, sf):
     return stats.qq_points(zonal(spark, sf), "xco2_anomaly")
@@ -508,6 +549,17 @@ def nearest_join(spark, sf):
     return collocate.nearest_join(view(spark, sf, "probes"), view(spark, sf, "pixels"), ["no2_tvcd_umol"], cell=1.0)
 
 
+_FIVE = {"u_max": "max(u10)", "v_max": "max(v10)", "b_max": "max(blh)", "u_min": "min(u10)", "v_min": "min(v10)"}
+
+
+@query("sounding_id ~distance " + " ".join(f"~{c}" for c in _FIVE), cte("probes", "weather_hourly") + f""", w AS (SELECT date, lat, lon, {", ".join(f"{e} AS {c}" for c, e in _FIVE.items())} FROM v_weather_hourly GROUP BY 1, 2, 3),
+d AS (SELECT q.sounding_id, (w.lat - q.latitude) ** 2 + (w.lon - q.longitude) ** 2 AS d2, w.* FROM v_probes q JOIN w ON w.date = q.date), b AS (SELECT sounding_id, sqrt(d2) AS distance, {", ".join(_FIVE)} FROM d QUALIFY row_number() OVER (PARTITION BY sounding_id ORDER BY d2, lat, lon) = 1)
+SELECT q.sounding_id, distance, {", ".join(_FIVE)} FROM v_probes q LEFT JOIN b USING (sounding_id)""")
+def nearest_weather(spark, sf):
+    daily = view(spark, sf, "weather_hourly").groupBy("date", "lat", "lon").agg(*(F.expr(e).alias(c) for c, e in _FIVE.items()))
+    return collocate.nearest_join(view(spark, sf, "probes"), daily, list(_FIVE), cell=10.0)
+
+
 @query("sounding_id ~u10_daily ~v10_daily", cte("probes", "weather_hourly") + """, g AS (SELECT date, lat, lon, avg(u10) AS u, avg(v10) AS v FROM v_weather_hourly GROUP BY 1, 2, 3)
 SELECT sounding_id, round(u + 0.0000123e0, 3) AS u10_daily, round(v + 0.0000123e0, 3) AS v10_daily FROM v_probes q LEFT JOIN g ON g.date = q.date AND g.lat = 20 + 10 * ceil((latitude - 20) / 10 - 0.5e0) AND g.lon = 100 + 10 * ceil((longitude - 100) / 10 - 0.5e0)""")
 def grid_join(spark, sf):
@@ -591,7 +643,7 @@ def densest_cells(spark, sf):
 # --- frames, equations, files
 
 
-@query("date %lat_idx %lon_idx observed ~xco2_anomaly ^tropomi_no2", _Z + """SELECT date, CAST(trunc((latitude - 20) / 0.25e0) AS INT) AS lat_idx, CAST(trunc((longitude - 100) / 0.25e0) AS INT) AS lon_idx, xco2_anomaly IS NOT NULL AS observed, coalesce(xco2_anomaly, 0) AS xco2_anomaly, coalesce(tropomi_no2, 0) AS tropomi_no2 FROM z
+@query("date %lat_idx %lon_idx observed ~xco2_anomaly ^tropomi_no2", _Z + """SELECT date, CAST(trunc((latitude - 20) / 0.25e0) AS INT) AS lat_idx, CAST(trunc((longitude - 100) / 0.25e0) AS INT) AS lon_idx, coalesce(xco2_anomaly <> 0, false) AS observed, coalesce(xco2_anomaly, 0) AS xco2_anomaly, coalesce(tropomi_no2, 0) AS tropomi_no2 FROM z
 QUALIFY row_number() OVER (PARTITION BY date, trunc((latitude - 20) / 0.25e0), trunc((longitude - 100) / 0.25e0) ORDER BY lat_idx DESC, lon_idx DESC) = 1""".replace("FROM z", "FROM (SELECT date, latitude, longitude, xco2_anomaly, tropomi_no2, lat_idx AS a, lon_idx AS b FROM z)").replace("ORDER BY lat_idx DESC, lon_idx DESC", "ORDER BY a DESC, b DESC"))
 def daily_frames(spark, sf):
     z = zonal(spark, sf).withColumn("a", F.col("lat_idx")).withColumn("b", F.col("lon_idx"))

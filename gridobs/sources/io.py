@@ -42,10 +42,21 @@ def with_file_source(df: DataFrame) -> DataFrame:
     return df.withColumn("file_source", F.lower(F.col("file_name") if "file_name" in df.columns else F.col("_metadata.file_name")))
 
 
+def _dealt(df: DataFrame, keys: Sequence[str], files: int) -> DataFrame:
+    """Rows placed by ``keys``, those of one key over ``files`` tasks."""
+    salt = [F.pmod(F.xxhash64(*df.columns), F.lit(files))] if files > 1 else []
+    return df.repartition(*keys, *salt)
+
+
+def _sorted_files(df: DataFrame) -> DataFrame:
+    """Rows sorted inside each task by time, or else by date and cell, as far as there are such columns; files then have narrow ranges to skip by."""
+    names = next((n for n in (["time"], ["tai_seconds"], ["date", "lat_idx", "lon_idx"]) if set(n) <= set(df.columns)), [])
+    return df.sortWithinPartitions(*(["date"] if "date" in df.columns and "date" not in names else []), *names) if names else df
+
+
 def write_by_date(df: DataFrame, path: str, mode: str = "append", files_per_date: int = 1) -> None:
-    """One folder per date, zstd Parquet; a date too large for one task is dealt out over ``files_per_date`` tasks."""
-    salt = [F.pmod(F.xxhash64(*df.columns), F.lit(files_per_date))] if files_per_date > 1 else []
-    df.repartition("date", *salt).write.mode(mode).partitionBy("date").option("compression", "zstd").parquet(path)
+    """One folder per date, zstd Parquet, files sorted by time; a date too large for one task is dealt out over ``files_per_date`` tasks."""
+    _sorted_files(_dealt(df, ["date"], files_per_date)).write.mode(mode).partitionBy("date").option("compression", "zstd").parquet(path)
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
@@ -82,11 +93,12 @@ def write_ml_ready(df: DataFrame, path: str) -> None:
     bad = {c: n for c, n in missing_counts(df).items() if n}
     if bad:
         raise ValueError(f"missing values left: {bad}")
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    _sorted_files(df).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_by_sensor_year(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    df.repartition("sensor", "year").write.mode("overwrite").partitionBy("sensor", "year").option("header", True).format(fmt).save(path)
+def write_by_sensor_year(df: DataFrame, path: str, fmt: str = "parquet", files: int = 1) -> None:
+    """A folder per sensor and year, each in ``files`` sorted files."""
+    _sorted_files(_dealt(df, ["sensor", "year"], files)).write.mode("overwrite").partitionBy("sensor", "year").option("header", True).format(fmt).save(path)
 
 
 def write_monthly_cube(cube: DataFrame, path: str) -> None:
@@ -110,9 +122,9 @@ def append_new_files(incoming: DataFrame, path: str) -> None:
     new_files_only(incoming, done).write.mode("append").parquet(path)
 
 
-def write_splits(df: DataFrame, path: str) -> None:
-    """Rows by split, and one line of metadata (rows per split) beside them."""
-    df.repartition("split").write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
+def write_splits(df: DataFrame, path: str, files: int = 8) -> None:
+    """Rows by split, each in ``files`` sorted files, and one line of metadata (rows per split) beside them."""
+    _sorted_files(_dealt(df, ["split"], files)).write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
     counts = df.groupBy("split").count()
     counts.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "count"))))).alias("value")).write.mode("overwrite").text(f"{path}/metadata")
 
