@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Bytes of text that meet their dictionary in one Python group, that a task holds before it sends them, and per partition of the atoms.
-BLOCK_CHARS, CHUNK_BYTES, ATOM_BYTES = 24_000_000, 4_000_000, 4_000_000
-#: Characters up to which an atom is folded by an aggregate; words that are cut at a time.
-FOLD_CHARS, WORDS = 200, 50_000
+BLOCK_CHARS, CHUNK_BYTES, ATOM_BYTES = 12_000_000, 4_000_000, 4_000_000
+#: Characters up to which an atom is folded by an aggregate; words that are cut, and codes that a task bundles, at a time.
+FOLD_CHARS, WORDS, HELD_CODES = 200, 50_000, 2_000_000
 _CHUNK = pa.schema([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
 _MARK = BLANK.encode()
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -98,7 +98,7 @@ def index_words(texts: list[bytes | None]) -> tuple[pa.StringArray, np.ndarray,
     known = pa.concat_arrays([pc.binary_join_element_wise(BLANK, one.dictionary.cast(pa.string()), ""), two.dictionary])
     places = np.concatenate((one.indices.to_numpy(zero_copy_only=False), two.indices.to_numpy(zero_copy_only=False) + len(one.dictionary)))
     counts = np.concatenate((cut.value_lengths().to_numpy(zero_copy_only=False), [len(x) for x in others])).astype(np.int64)
-    return known, places.astype(np.int64), counts, order
+    return known, places.astype(np.int32), counts, order
 
 
 def _offsets(sizes: np.ndarray) -> np.ndarray:
@@ -375,6 +375,31 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     short, long = segment(known.where(F.col("n") <= FOLD_CHARS), path, merges), segment_long(known.where(F.col("n") > FOLD_CHARS), path, merges)
     codes = needs.join(short, "atom", "left").join(long.withColumnRenamed("codes", "of_long"), "atom", "left").select("block", "number", F.coalesce("codes", "of_long").alias("codes"))
 
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's codes for each block in one row: differences of the numbers, sizes and codes, compressed."""
+        z, held, n = zstandard.ZstdCompressor(level=3), [], 0
+
+        def bundled() -> Iterator[pa.RecordBatch]:
+            block, number, size, flat = (np.concatenate(x) for x in zip(*held))
+            edges, order = _offsets(size), np.lexsort((number, block))
+            block, number, cuts = block[order], number[order], np.flatnonzero(np.diff(block[order], prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(block)]):
+                codes, ends = _take(flat, edges, order[a:b])
+                said = b"".join(x.astype("<i4").tobytes() for x in (np.diff(number[a:b], prepend=0), np.diff(ends), codes))
+                yield pa.RecordBatch.from_arrays([pa.array([block[a]], pa.int32()), pa.array([b - a], pa.int32()), pa.array([z.compress(said)], pa.binary())], ["block", "n", "packed"])
+
+        for b in batches:
+            size = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), size, b.column(2).flatten().to_numpy()))
+            n += b.num_rows + len(held[-1][3])
+            if n > HELD_CODES:
+                yield from bundled()
+                held, n = [], 0
+        if held:
+            yield from bundled()
+
+    codes = codes.mapInArrow(bundle, "block int, n int, packed binary")
+
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
         z, model = zstandard.ZstdDecompressor(), pieces(path, merges)
         docs = [doc for ids in left.column("ids").to_pylist() for doc in ids]
@@ -382,13 +407,15 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         known = pc.unique(pa.concat_arrays([pa.array([], pa.string()), *(p[1] for p in parts)]))
         atoms, n_atoms = model.atoms(known)
         names = _sorted(atoms)  # their numbers are those of the split
-        codes = right.sort_by("number").column("codes").combine_chunks()
-        if len(codes) != len(names):
+        told = [(n, np.frombuffer(z.decompress(x), "<i4")) for n, x in zip(right.column("n").to_pylist(), right.column("packed").to_pylist())]
+        number, size, flat = (np.concatenate([np.zeros(0, np.int32), *x]) for x in ([np.cumsum(x[:n]) for n, x in told], [x[n : 2 * n] for n, x in told], [x[2 * n :] for n, x in told]))
+        if len(number) != len(names):
             raise RuntimeError("an atom of the texts has no segmentation")
-        flat, edges = _with_bytes(codes.flatten().to_numpy(zero_copy_only=False), _offsets(codes.value_lengths().to_numpy(zero_copy_only=False)), names, model)
+        flat, edges = _with_bytes(*_take(flat, _offsets(size), np.argsort(number)), names, model)
         of_words, ends = _take(flat, edges, pc.index_in(atoms, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64))
         ends, at, out = ends[_offsets(n_atoms)], 0, []
-        for texts, words_, places, counts, order in parts:
+        for k, (texts, words_, places, counts, order) in enumerate(parts):
+            parts[k] = None
             of = pc.index_in(words_, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
             ids, where = _take(of_words, ends, of[places])
             ids = pa.ListArray.from_arrays(pa.array(where[_offsets(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
