@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order of nearness. Per block of vectors, inverted files list for every pivot
-the vectors that have it among their nearest, with its position there. A query reads the files of its own
-pivots, ranks the block by Spearman's footrule on the positions, and reranks the best by exact cosine.
+A vector is represented by its nearest pivots in order of nearness: few of many, so that most inverted files don't concern it. Per block of vectors,
+inverted files list for every pivot the vectors that have it among their nearest, with its position there. A query reads the files of its own
+pivots only, ranks what it finds there by Spearman's footrule on the positions, and reranks the best by exact cosine.
 Blocks of vectors meet blocks of queries by a shuffle join, so neither side has to fit in one place.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridobs.llm._shared import materialize
 
-N_PIVOTS, NEAREST, BLOCK, QUERY_BLOCK, RERANK = 256, 64, 4096, 1024, 0.3
+N_PIVOTS, NEAREST, BLOCK, QUERY_BLOCK, RERANK, AT_LEAST = 2048, 24, 8192, 1024, 0.9, 64
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -53,34 +53,53 @@ def permutations(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST)
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = _matrix(b.column("vec"), width, float)
-            near = np.argsort(-(_unit(m) @ pivots.T), axis=1, kind="stable")[:, :k].astype(np.int32)
+            far = -(_unit(m) @ pivots.T)
+            near = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1)
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1).astype(np.int32)
             perm = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, k, dtype=np.int32)), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), perm], ["vec_id", "vec", "perm"])
 
     return vectors.mapInArrow(index, "vec_id long, vec array<double>, perm array<int>")
 
 
+class Files:
+    """Inverted files of a block: for each pivot the rows that have it among their nearest, and its position there."""
+
+    def __init__(self, perm: np.ndarray, n_pivots: int):
+        self.n, self.k = perm.shape
+        order = np.argsort(perm.ravel(), kind="stable")
+        self.rows, self.position = (order // self.k).astype(np.int32), (order % self.k).astype(np.int32)
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(perm.ravel(), minlength=n_pivots))))
+
+    def found(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in any file of the order ``of``, and their footrule; a pivot missing from one side stands at the end."""
+        a, b = self.ends[of], self.ends[of + 1]
+        at = np.concatenate([np.arange(x, y) for x, y in zip(a, b)])
+        place = np.repeat(np.arange(self.k), b - a)
+        saved = (self.k - place) + (self.k - self.position[at]) - np.abs(self.position[at] - place)  # at least 1
+        total = np.bincount(self.rows[at], weights=saved, minlength=self.n).astype(np.int64)
+        rows = np.flatnonzero(total)
+        return rows, self.k * (self.k + 1) - total[rows]
+
+    def candidates(self, of: np.ndarray, rerank: float) -> np.ndarray:
+        """The share ``rerank`` of rows found with the smallest footrule; at least ``AT_LEAST`` rows if the block has them, the first of the others if too few are found."""
+        rows, far = self.found(of)
+        depth = min(self.n, max(AT_LEAST, int(np.ceil(rerank * len(rows)))))
+        if depth >= len(rows):
+            if depth == len(rows):
+                return rows
+            others = np.ones(self.n, dtype=bool)
+            others[rows] = False
+            return np.concatenate((rows, np.flatnonzero(others)[: depth - len(rows)]))
+        return rows[np.argpartition(far * self.n + rows, depth - 1)[:depth]]
+
+
 def footrule(perm: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Footrule between each row of ``perm`` and the order ``of``; a pivot missing from one side stands at the end."""
-    k = perm.shape[1]
-    files = _files(perm, int(max(perm.max(initial=0), of.max(initial=0))) + 1)
-    return _rank(files, len(perm), k, of)
-
-
-def _files(perm: np.ndarray, n_pivots: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Inverted files: for each pivot, row numbers and positions."""
-    k = perm.shape[1]
-    flat = perm.ravel()
-    order = np.argsort(flat, kind="stable")
-    at = np.searchsorted(flat[order], np.arange(n_pivots + 1))
-    return [(order[a:b] // k, (order[a:b] % k).astype(np.int32)) for a, b in zip(at[:-1], at[1:])]
-
-
-def _rank(files: list, n: int, k: int, of: np.ndarray) -> np.ndarray:
-    out = np.full(n, k * (k + 1), dtype=np.int32)
-    for at, p in enumerate(of):
-        rows, pos = files[p]
-        out[rows] += np.abs(pos - at) - (k - at) - (k - pos)
+    """Footrule between each row of ``perm`` and the order ``of``."""
+    files = Files(perm, int(max(perm.max(initial=0), of.max(initial=0))) + 1)
+    out = np.full(files.n, files.k * (files.k + 1), dtype=np.int64)
+    rows, far = files.found(of)
+    out[rows] = far
     return out
 
 
@@ -88,7 +107,7 @@ def search(index: DataFrame, queries: DataFrame, n_pivots: int, k: int = 5, bloc
     """The ``k`` nearest found per query: ``query_id, rank, vec_id, score``.
 
     ``index`` and ``queries`` are results of ``permutations``. A query's own vec_id is no candidate. Ties go to the smaller vec_id.
-    In every block the share ``rerank`` of best footrules (at least 64) is reranked: a share, not a number, so that it means the same at every size.
+    In every block the share ``rerank`` of the rows found is reranked: a share, not a number, so that it means the same at every size.
     """
     n = index.count()
     n_blocks = max(1, -(-n // block))
@@ -108,11 +127,10 @@ def search(index: DataFrame, queries: DataFrame, n_pivots: int, k: int = 5, bloc
                 vec, q_vec = (_matrix(x.field("vec"), len(x.field("vec")[0]), float) for x in (here, there))
                 perm, q_perm = (_matrix(x.field("perm"), len(x.field("perm")[0]), np.int32) for x in (here, there))
                 norm, q_norm = np.linalg.norm(vec, axis=1), np.linalg.norm(q_vec, axis=1)
-                files, depth = _files(perm, n_pivots), min(len(ids), max(64, int(np.ceil(rerank * len(ids)))))
+                files = Files(perm, n_pivots)
                 found: list[list[np.ndarray]] = [[], [], []]
                 for j, query in enumerate(want):
-                    far = _rank(files, len(ids), perm.shape[1], q_perm[j]).astype(np.int64) * len(ids) + np.arange(len(ids))
-                    near = np.argpartition(far, depth - 1)[:depth] if depth < len(ids) else np.arange(len(ids))
+                    near = files.candidates(q_perm[j], rerank)
                     near = near[ids[near] != query]
                     score = (vec[near] @ q_vec[j]) / (norm[near] * q_norm[j])
                     best = np.lexsort((ids[near], -score))[:k]
@@ -130,10 +148,12 @@ def search(index: DataFrame, queries: DataFrame, n_pivots: int, k: int = 5, bloc
 def nearest(df: DataFrame, is_query, k: int = 5, n_pivots: int = N_PIVOTS, nearest_pivots: int = NEAREST, rerank: float = RERANK, block: int = BLOCK) -> DataFrame:
     """Index all usable vectors and search the rows where ``is_query`` holds. No usable vector: no rows.
 
-    The pivots are the ``n_pivots`` usable vectors first in the order of a hash of vec_id.
+    The pivots are the ``n_pivots`` usable vectors first in the order of a hash of vec_id, at most a third of all; equal ones count once.
     """
-    vectors = usable(df)
-    pivots = [r.vec for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("vec").collect()]
+    vectors = materialize(usable(df))
+    drawn = [tuple(r.vec) for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("vec").collect()]
+    drawn = list(dict.fromkeys(drawn))
+    pivots = drawn[: max(1, vectors.count() // 3)]
     if not pivots:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = materialize(permutations(vectors, np.array(pivots), nearest_pivots))

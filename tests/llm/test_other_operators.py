@@ -137,11 +137,13 @@ def brute(vectors, queries_, k=5):
     return out
 
 
-def test_nearest_neighbours_recall(spark):
+@pytest.mark.parametrize("block", [8192, 300])
+def test_nearest_neighbours_recall(spark, block):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = ann.nearest(e, F.col("vec_id") % 50 == 0).collect()
+    got = ann.nearest(e, F.col("vec_id") % 50 == 0, block=block).collect()
     v = {r.vec_id: np.array(r.embedding, dtype=float) for r in e.collect()}
     want = brute(v, [i for i in v if i % 50 == 0])
+    assert sorted({(r.query_id, r["rank"]) for r in got}) == [(i, k) for i in sorted(want) for k in range(1, 6)] and len(got) == 5 * len(want)
     found = sum(r.vec_id in {i for _, i in want[r.query_id]} for r in got)
     assert found >= 0.9 * sum(map(len, want.values()))
     for r in got:
@@ -149,6 +151,28 @@ def test_nearest_neighbours_recall(spark):
         assert r.score == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12)
 
 
+def test_the_index_prunes():
+    """Vectors in groups, as real ones are: recall and the share of rows that a query touches, at two sizes."""
+    rng = np.random.default_rng(0)
+    shares = []
+    for n, n_pivots in ((4000, 256), (40_000, 2048)):
+        centre = rng.normal(size=(n // 40, 32))
+        vec = ann._unit(centre[rng.integers(0, len(centre), n)] + 0.4 * rng.normal(size=(n, 32)))
+        perm = np.argsort(-(vec @ vec[:n_pivots].T), axis=1, kind="stable")[:, : ann.NEAREST].astype(np.int32)
+        files, asked = ann.Files(perm, n_pivots), rng.choice(n, 100, replace=False)
+        hits = touched = 0
+        for q in asked:
+            near = files.candidates(perm[q], ann.RERANK)
+            near = near[near != q]
+            s = vec @ vec[q]
+            s[q] = -9
+            hits += np.isin(np.argpartition(-s, 5)[:5], near[np.argsort(-s[near])[:5]]).sum()
+            touched += len(near)
+        assert hits >= 0.9 * 500
+        shares.append(touched / 100 / n)
+    assert shares[1] < 0.5 * shares[0] and shares[1] < 0.2, shares
+
+
 def test_nearest_neighbours_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (2, [0.0, 3.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, []), (None, [1.0, 1.0]), (10, [4.0, 0.0])]
