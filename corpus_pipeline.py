@@ -15,8 +15,12 @@ from gridobs.llm._shared import checkpoint_dir, remove, table
 
 
 def _apart(docs: DataFrame) -> DataFrame:
-    """Id, text and the whole row in a struct, so that no column of ``docs`` can clash with one that an operator adds."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole"))
+    """Id, text and all other columns in a struct, so that none of them can clash with a column that an operator adds."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("0"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("_whole"))
+
+
+def _together(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"_whole.`{c}`") for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has the score of the bias alone. Repeated rows share their fate; other columns pass as they are; an empty table stays empty.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
-    return toxicity.score(_apart(docs), model).where(F.col("score") < toxicity.REJECT).select("_whole.*")
+    return _together(toxicity.score(_apart(docs), model).where(F.col("score") < toxicity.REJECT), docs)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null, empty or blank text has fewer than ten words and goes. Repeated rows share their fate; other columns pass as they are; an empty table stays empty.
     """
     weights = quality.bucket_weights(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    return quality.keep(quality.judge(_apart(docs), weights)).select("_whole.*")
+    return _together(quality.keep(quality.judge(_apart(docs), weights)), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keep = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(order).alias("_first")).select(F.col("_first.row_key").alias("_kept"))
     keep = keep.union(found.where("comp IS NULL").select("row_key")).distinct()
     rows = _apart(docs).withColumn("_key", jaccard.row_key()).dropDuplicates(["_key"])
-    return rows.join(keep, F.col("_key") == F.col("_kept"), "left_semi").select("_whole.*")
+    return _together(rows.join(keep, F.col("_key") == F.col("_kept"), "left_semi"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

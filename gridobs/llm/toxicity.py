@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 ORDERS, BITS, MAX_ROWS, MAX_FEATURES = (3, 4, 5, 6, 7), 20, 10_000, 8192
 #: Score from which a text is rejected.
@@ -71,7 +72,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int =
 def train(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """Fit on rows of ``labels`` (doc_id, toxic) where ``learn_from`` holds; of repeated labels of a document the highest counts.
 
-    Null labels and ids are ignored. Without labels of both classes the model gives every text the share of toxic labels (0 without any).
+    Null labels and ids are ignored. Without labelled documents of both classes the model gives every text the label of the one there is (0 without any).
     """
     known = labels.where(learn_from & F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max("toxic") == 1).cast("int").alias("y"))
     draw = [F.xxhash64("_id"), F.col("_id")]
@@ -109,6 +110,8 @@ def train(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["features", "y"])
 
     sample = rows.mapInArrow(featurize, "features binary, y int").orderBy("y", "features").collect()  # at most max_rows rows of 2 * max_features bytes
+    if len({r.y for r in sample}) < 2:  # labelled rows that are no documents
+        return Model(np.zeros(0, np.int64), np.zeros(0), 30.0 if sample and sample[0].y else -30.0)
     w, bias = _fit([np.frombuffer(r.features, dtype="<i2") for r in sample], np.array([r.y for r in sample]), ratio)
     return Model(buckets, w * ratio, bias)
 
@@ -134,8 +137,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score
             z = np.array([bias + weights[_present(t.as_py(), table)].sum() for t in b.column(at)], dtype=float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*b.schema.names, out])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.mapInArrow(run, f"{fields}, `{out}` double")
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
 def learnable(id_col: str = "doc_id") -> Column:

@@ -69,6 +69,53 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs(spark, []), one_class).count() == 0
 
 
+def plain_grams(text):
+    """Buckets of the character n-grams of a text, each hashed for itself."""
+    said = re.sub(r"\s+", " ", f" {text or ''} ".lower())
+    out = set()
+    for n in toxicity.ORDERS:
+        for i in range(len(said) - n + 1):
+            total = sum(ord(c) * int(m) for c, m in zip(said[i : i + n], toxicity._MULTIPLIERS)) % 2**64
+            out.add(((total ^ (total >> 31)) * (0x9E3779B97F4A7C15 + 2 * n) % 2**64) >> (64 - toxicity.BITS))
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "Gamma", "delta", "é漢"], k=6)) + (" blurgh" if i % 4 == 0 else "")) for i in range(80)]
+    labels = [(i, int(i % 4 == 0)) for i in range(60)]
+    df, lab = docs(spark, rows + [(100, None), (101, "")]), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(df, lab, F.lit(True), max_features=50)
+    grams = {i: plain_grams(t) for i, t in rows}
+    n1, n0 = sum(y for _, y in labels), sum(1 - y for _, y in labels)
+    count = {b: [sum(b in grams[i] for i, y in labels if y == k) for k in (0, 1)] for b in set().union(*(grams[i] for i, _ in labels))}
+    chi = {b: (t / n1 - c / n0) ** 2 / (((t + c) / 60) * (1 - (t + c) / 60) + 1e-9) for b, (c, t) in count.items()}
+    best = sorted(chi, key=lambda b: (-chi[b], b))[:50]
+    assert chi[best[-1]] == pytest.approx(min(chi[int(b)] for b in model.buckets)) and len(model.buckets) == 50
+    ratio = np.array([np.log((count[int(b)][1] + 1) / (n1 + 2)) - np.log((count[int(b)][0] + 1) / (n0 + 2)) for b in model.buckets])
+    used = ratio != 0
+    w = np.divide(model.weights, ratio, where=used, out=np.zeros(50))
+    x = np.array([[int(b) in grams[i] for b in model.buckets] for i, _ in labels]) * ratio
+    y = np.array([v for _, v in labels])
+    share = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    slope = x.T @ ((1 / (1 + np.exp(-(x @ w + model.bias))) - y) * share) + 1e-3 * w
+    start = x.T @ ((0.5 - y) * share)
+    assert np.linalg.norm(slope) < 0.05 * np.linalg.norm(start)
+    at = {int(b): v for b, v in zip(model.buckets, model.weights)}
+    for r in toxicity.score(df, model, out="tox").collect():
+        z = model.bias + sum(at.get(b, 0.0) for b in plain_grams(r.text))
+        assert r.tox == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+
+
+def test_toxicity_awkward_rows(spark):
+    rows = [(1, "fine words here"), (1, "fine words here"), (None, "blurgh no id"), (2, "x " * 300_000 + "blurgh"), (3, None)]
+    lab = spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs(spark, rows), toxicity.train(docs(spark, rows), lab, F.lit(True))).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    none = toxicity.train(docs(spark, rows), lab.limit(0), F.lit(True))
+    assert toxicity.score(docs(spark, rows), none).where("score < 0.001").count() == 5
+
+
 # --- operator 6
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href="/">Home</a></header><nav><ul><li><a href=x>One</a></li></ul></nav>
@@ -279,6 +326,28 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(kept[3])
 
 
+def test_pipeline_stages_on_awkward_rows(spark):
+    import corpus_pipeline
+
+    good = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 AND toxic = 0"), "doc_id").select("doc_id", "text").limit(3).collect()
+    long = " ".join(f"word{i} and the" for i in range(30_000))
+    rows = [(r.doc_id, r.text) for r in good] + [(None, good[0].text), (good[1].doc_id, good[1].text), (good[2].doc_id, long), (-5, None), (-6, ""), (-7, " \n "), (-8, long)]
+    schema = "doc_id long, text string, kept string, llr string, score string, _score string, _row int, n_words string, cls string, comp int, row_key string, `odd name` string"
+    df = spark.createDataFrame([(i, t, "k", "l", "s", "t", k, "n", "c", 1, "r", "o") for k, (i, t) in enumerate(rows)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, SF)
+        assert got.dtypes == df.dtypes and got.subtract(df).count() == 0, name
+        assert stage(spark, df.limit(0), SF).count() == 0, name
+    clean = {(r.doc_id, r.text) for r in corpus_pipeline.drop_toxic(spark, df, SF).collect()}
+    assert {(r.doc_id, r.text) for r in good} <= clean and (-5, None) in clean
+    one = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
+    # of equal texts the row with an id, of equal rows one, both texts of an id unless they are in one group; the smallest id of a group
+    want = {(r.doc_id, r.text) for r in good} | {(-8, long), (-5, None), (-6, ""), (-7, " \n ")}
+    assert len(one) == len(want) and {(r.doc_id, r.text) for r in one} == want
+    packed = corpus_pipeline.pack(spark, df, SF)
+    assert packed.where("piece = 0").count() == len(rows)
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 
