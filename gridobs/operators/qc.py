@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from gridobs.functions.columns import col
+from gridobs.operators.quantiles import exact_quantiles
 
 #: Closed physical ranges, the core columns, and the largest aerosol depth.
 PHYSICAL_BOUNDS = {"xco2": (395.0, 430.0), "tropomi_no2": (-50.0, 200.0), "era5_blh": (0.0, None)}
@@ -101,8 +102,9 @@ def medians(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) ->
     """Exact medians by default; with ``accuracy`` the approximate ones, whose state is bounded."""
     if not cols:
         return {}
-    of = (lambda c: F.approx_percentile(c, 0.5, accuracy)) if accuracy else F.median
-    return df.agg(*(of(c).alias(c) for c in cols)).first().asDict()
+    if not accuracy:
+        return {c: m for c, (m,) in exact_quantiles(df, {c: [0.5] for c in cols}).items()}
+    return df.agg(*(F.approx_percentile(c, 0.5, accuracy).alias(c) for c in cols)).first().asDict()
 
 
 def handle_missing(df: DataFrame, core: Sequence[str], max_missing: float = 0.999, zero: Sequence[str] = ("population_density",), accuracy: int | None = None) -> DataFrame:

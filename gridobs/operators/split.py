@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridobs.operators.grid import K
+from gridobs.operators.quantiles import exact_quantiles
 
 
 def _years(df: DataFrame) -> list[int]:
@@ -90,5 +91,5 @@ def undersample(df: DataFrame, key: Sequence[str], ref: str = "Korea_Japan", mul
 def train_matrix(df: DataFrame, features: Sequence[str], target: str = "xco2_anomaly", split: str = "train") -> DataFrame:
     """Training rows: features with NULL replaced by the training median, target as double."""
     rows = df.where(F.col("split") == split)
-    fill = rows.agg(*(F.median(f).alias(f) for f in features)).first().asDict()
+    fill = {f: m for f, (m,) in exact_quantiles(rows, {f: [0.5] for f in features}).items()}
     return rows.select(*(F.coalesce(F.col(f).cast("double"), F.lit(fill[f]).cast("double")).alias(f) for f in features), F.col(target).cast("double").alias(target))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridobs.functions.columns import Grid, lat_band
 from gridobs.functions.special import normal_quantile, pearson_pvalue
 from gridobs.operators.grid import K
+from gridobs.operators.quantiles import exact_quantiles
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -79,14 +80,14 @@ def fit_scalers(df: DataFrame, features: Sequence[str], split: str = "train") ->
     """One row per feature that exists: mean, population spread, range (0 becomes 1), median, quartile range, rows; NULL ignored, ``split`` only."""
     names = [f for f in features if f in df.columns]
     rows = df.where(F.col("split") == split)
-    aggs = [a.alias(f"{n}{i}") for i, f in enumerate(names) for n, a in (
-        ("mean", F.avg(f)), ("std", F.stddev_pop(f)), ("min", F.min(f).cast("double")), ("max", F.max(f).cast("double")), ("median", F.median(f)), ("q", F.percentile(f, F.array(F.lit(0.25), F.lit(0.75)))),
-    )]
+    quartiles = exact_quantiles(rows, {f: [0.25, 0.5, 0.75] for f in names})
+    aggs = [a.alias(f"{n}{i}") for i, f in enumerate(names) for n, a in (("mean", F.avg(f)), ("std", F.stddev_pop(f)), ("min", F.min(f).cast("double")), ("max", F.max(f).cast("double")))]
     one = rows.agg(F.count("*").alias("n_train"), *aggs)
     or_one = lambda c: F.when(c == 0, 1.0).otherwise(c)
+    of = lambda x: F.lit(x).cast("double")
     out = [F.struct(
         F.lit(f).alias("feature"), F.col(f"mean{i}").alias("mean"), or_one(F.col(f"std{i}")).alias("std_pop"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"),
-        or_one(F.col(f"max{i}") - F.col(f"min{i}")).alias("range"), F.col(f"median{i}").alias("median"), or_one(F.get(f"q{i}", F.lit(1)) - F.get(f"q{i}", F.lit(0))).alias("iqr"),
+        or_one(F.col(f"max{i}") - F.col(f"min{i}")).alias("range"), of(quartiles[f][1]).alias("median"), or_one(of(quartiles[f][2]) - of(quartiles[f][0])).alias("iqr"),
     ) for i, f in enumerate(names)]
     return one.select(F.explode(F.array(*out)).alias("r"), "n_train").select("r.*", "n_train")
 
@@ -179,7 +180,7 @@ def weighted_huber(df: DataFrame, y: str, yhat: str, weight: str | None = None,
 def hotspot_weight(df: DataFrame, column: str = "tropomi_no2", q: float = 0.9, weight: float = 5.0, split: str | None = "train") -> DataFrame:
     """Add ``weight``: ``weight`` from the quantile of the training rows on, else 1 (NULL: 1)."""
     rows = df.where(F.col("split") == split) if split else df
-    limit = rows.agg(F.percentile(column, F.lit(q)).alias("x")).first().x
+    (limit,) = exact_quantiles(rows, {column: [q]})[column]
     return df.withColumn("weight", F.lit(1.0) if limit is None else F.when(F.col(column) >= F.lit(limit), weight).otherwise(1.0))
 
 

@@ -259,3 +259,21 @@ def test_super_observation_stream_equals_batch(spark, tmp_path):
 def test_lookups_are_broadcast(spark):
     df = spark.createDataFrame([(1, 400.0)] * 20, "month int, xco2 double")
     assert "BroadcastHashJoin" in qc.outlier_filter(df)._jdf.queryExecution().toString()
+
+
+def test_exact_quantiles_by_narrowing(spark):
+    from gridobs.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    n = 6000
+    cols = {"a": rng.standard_t(2, n), "b": rng.integers(0, 3, n).astype(float), "c": np.full(n, 7.0), "d": np.where(rng.random(n) < 0.5, np.nan, rng.exponential(size=n)), "e": np.full(n, np.nan)}
+    rows = [tuple(None if math.isnan(v) else float(v) for v in r) for r in zip(*cols.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).persist()
+    p = [0.0, 0.1, 0.5, 0.75, 1.0]
+    for few in (200_000, 50):
+        got = exact_quantiles(df, {c: p for c in cols}, few)
+        assert got["e"] == [None] * 5
+        for c in "abcd":
+            v = cols[c][~np.isnan(cols[c])]
+            assert got[c] == pytest.approx(np.quantile(v, p), rel=1e-12, abs=1e-12), (c, few)
+    assert exact_quantiles(df.limit(0), {"a": [0.5]}) == {"a": [None]}
