@@ -388,3 +388,27 @@ def test_sketches_never_hide_a_link():
     want = {k for i in left for j in right if linked(i, j) for k in (i, j)}
     found = set(np.flatnonzero(jaccard.tile_candidates(sketches, size, left, right, rule)))
     assert want and want <= found and len(found) < len(sets)
+
+
+#: Columns of each registered query, and the table that it gives a row of for each of its rows (None: other numbers of rows).
+CONTRACTS = {
+    "op1_sentencepiece": ("doc_id n_ids ids_crc32 lossless", "documents"),
+    "op2_quality_rules": ("doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "documents"),
+    "op3_chat_formatting": ("conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", None),
+    "op4_sharding": ("doc_id size text_crc32 law shard slot grown_shard", "documents"),
+    "op5_toxicity": ("doc_id held_out score predicted", "documents"),
+    "op6_html_extraction": ("page_id url text n_chars", "pages"),
+    "op7_nearest_neighbours": ("query_id rank vec_id score", None),
+    "op8_jaccard_join": ("doc_id n_shingles component_id", "documents"),
+    "op9_best_fit_packing": ("doc_id piece start length ids_crc32 sequence_id offset", None),
+    "op10_token_counts": ("length n_docs docs_at_least tokens_at_least", None),
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_registered_queries_run_whole(spark, name):
+    columns, of = CONTRACTS[name]
+    out = queries.queries()[name](spark, SF)
+    assert set(columns.split()) <= set(out.columns)
+    n = out.count()
+    assert n == spark.read.parquet(f"{SF}/{of}.parquet").count() if of else n > 0
