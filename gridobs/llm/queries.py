@@ -14,7 +14,7 @@ N_SHARDS = 8
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"))).drop("decoded")
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), decoded=True).drop("decoded")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

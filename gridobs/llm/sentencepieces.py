@@ -37,6 +37,7 @@ BLOCK_CHARS, CHUNK_BYTES, ATOM_BYTES = 12_000_000, 4_000_000, 4_000_000
 #: Characters up to which an atom is folded by an aggregate; words that are cut, and codes that a task bundles, at a time.
 FOLD_CHARS, WORDS, HELD_CODES = 200, 50_000, 2_000_000
 _CHUNK = pa.schema([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
+DECODED = "doc_id long, n_ids long, ids_crc32 long, decoded string, lossless boolean"
 _MARK = BLANK.encode()
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -318,9 +319,11 @@ def segment_long(atoms: DataFrame, path: str, merges: bool = False) -> DataFrame
     return atoms.join(codes, "key", "left").select("atom", "codes")  # an inner join would filter below the exchange of the atoms
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, merges: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, merges: bool = False, block_chars: int = BLOCK_CHARS, decoded: bool = False) -> DataFrame:
     """``doc_id, text, ids``: each row's text and its piece ids, byte pieces for characters without a piece.
 
+    With ``decoded`` the columns of ``decode`` instead, worked out where the ids are made.
+
     A null text stays null and has no ids, nor has an empty one. Repeated rows are encoded each. An empty table gives no rows. Other columns are ignored.
     """
     path = path or default_path()
@@ -422,9 +425,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             doc = pa.array([docs[at + i] for i in order], pa.int64())
             out.append(pa.record_batch([doc, pa.array([texts[i] for i in order], pa.binary()).cast(pa.string()), ids], ["doc_id", "text", "ids"]))
             at += len(texts)
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches(list(_decoded(out, path)) if decoded else out)
 
-    return packed.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(write, "doc_id long, text string, ids array<int>")
+    return packed.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(write, DECODED if decoded else "doc_id long, text string, ids array<int>")
 
 
 def _with_bytes(flat: np.ndarray, edges: np.ndarray, names: pa.StringArray, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -462,26 +465,27 @@ def _parts(z: zstandard.ZstdDecompressor, chunks: Iterable[tuple[list[int], byte
         yield out
 
 
+def _decoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    said, edges = said_by(path)
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            ids = part.column(2).flatten().to_numpy(zero_copy_only=False)
+            ends = _offsets(part.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            raw, where = _take(said, edges, ids)
+            raw, of = raw.tobytes(), where[ends].tolist()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(of[:-1], of[1:])]
+            texts = [t[1:] if t.startswith(" ") else t for t in texts]
+            same = [s == (t or "") for s, t in zip(texts, part.column(1).to_pylist())]
+            ids = ids.astype("<u4")
+            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(texts, pa.string()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "decoded", "lossless"]
+            )
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_ids, ids_crc32, decoded, lossless``: the text that the ids say, and whether it is the row's own text (null counts as empty)."""
     path = path or default_path()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said, edges = said_by(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                ids = part.column(2).flatten().to_numpy(zero_copy_only=False)
-                ends = _offsets(part.column(2).value_lengths().to_numpy(zero_copy_only=False))
-                raw, where = _take(said, edges, ids)
-                raw, of = raw.tobytes(), where[ends].tolist()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(of[:-1], of[1:])]
-                texts = [t[1:] if t.startswith(" ") else t for t in texts]
-                same = [s == (t or "") for s, t in zip(texts, part.column(1).to_pylist())]
-                ids = ids.astype("<u4")
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(texts, pa.string()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "decoded", "lossless"]
-                )
-
-    return encoded.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded string, lossless boolean")
+    return encoded.mapInArrow(lambda batches: _decoded(batches, path), DECODED)

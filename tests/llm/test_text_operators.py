@@ -78,6 +78,8 @@ def test_decoding_is_lossless(spark):
     rows = AWKWARD + EXTRA + [(40, "same row")] * 150
     back = sentencepieces.decode(sentencepieces.encode(docs(spark, rows), block_chars=100_000))
     assert back.where("NOT lossless").count() == 0 and back.count() == len(rows)
+    at_once = sentencepieces.encode(docs(spark, rows), decoded=True)
+    assert at_once.columns == back.columns and at_once.exceptAll(back).count() == 0 and at_once.count() == len(rows)
 
 
 def test_encode_empty_table(spark):
