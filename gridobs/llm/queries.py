@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridobs.llm import ann, chat, html, jaccard, lengths, packing, quality, sentencepieces, sharding, toxicity
+from gridobs.llm import ann, chat, html, jaccard, lengths, negatives, packing, quality, sentencepieces, sharding, toxicity
 from gridobs.llm._shared import table
 
 N_SHARDS = 8
@@ -60,12 +60,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limit_table(lengths.length_histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents"))))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", label)), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_sentencepiece, op2_quality_rules, op3_chat_formatting, op4_sharding, op5_toxicity, op6_html_extraction, op7_nearest_neighbours, op8_jaccard_join,
-            op9_best_fit_packing, op10_token_counts,
+            op9_best_fit_packing, op10_token_counts, op13_hard_negatives,
         )
     }
 
@@ -108,5 +113,29 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.
 """
 
 
+_OP13 = """
+WITH one AS (
+  SELECT vec_id, min(struct_pack(label := CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END,
+                                 vec := list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)))) AS r
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), e AS (SELECT vec_id, r.label AS label, r.vec AS vec FROM one),
+scores AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.vec) + 1), lambda i: a.vec[i] * c.vec[i])) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), good AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT g.anchor_id, g.positive_id, CAST(row_number() OVER (PARTITION BY g.anchor_id, g.positive_id ORDER BY s.score DESC, s.other) AS INT) AS rank,
+       s.other AS negative_id, g.positive_score, s.score AS negative_score
+FROM good g JOIN scores s ON s.anchor_id = g.anchor_id AND NOT s.same
+WHERE 80 * g.positive_score <= 100 * s.score AND 100 * s.score <= 100 * g.positive_score
+QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": _OP3, "op8_jaccard_join": _OP8}
+    return {"op3_chat_formatting": _OP3, "op8_jaccard_join": _OP8, "op13_hard_negatives": _OP13}
