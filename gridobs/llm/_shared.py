@@ -66,5 +66,19 @@ def rank_in_group(df: DataFrame, group: str, spread: list[str], out: str, rows_p
     )
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, ways: int = 64, hottest: int = 1000) -> DataFrame:
+    """Inner join on ``key`` that deals hot keys of ``left`` over ``ways`` tasks by a hash of ``by``; ``right`` gives each of them to all of these tasks.
+
+    A key is hot if it has at least one in ``hottest`` of the rows, so there are at most ``hottest`` of them, whatever the size of the tables. ``left`` is read twice and has to be stable.
+    """
+    total = left.count()
+    hot = left.groupBy(F.col(key).alias("_hot")).count().where(F.col("count") >= max(2 * ways, -(-total // hottest))).select("_hot")
+    hot = F.broadcast(hot)
+    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_way", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(ways))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    copied = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_way", F.explode(copies)).drop("_hot")
+    return dealt.join(copied, [key, "_way"]).drop("_way")
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

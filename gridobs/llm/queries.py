@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridobs.llm import ann, chat, html, jaccard, lengths, negatives, packing, quality, sentencepieces, sharding, toxicity
+from gridobs.llm import ann, chat, decontaminate, html, jaccard, lengths, negatives, packing, quality, sentencepieces, sharding, toxicity
 from gridobs.llm._shared import table
 
 N_SHARDS = 8
@@ -60,6 +60,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limit_table(lengths.length_histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents"))))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", label)), F.col("vec_id") % 100 == 0)
@@ -70,7 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_sentencepiece, op2_quality_rules, op3_chat_formatting, op4_sharding, op5_toxicity, op6_html_extraction, op7_nearest_neighbours, op8_jaccard_join,
-            op9_best_fit_packing, op10_token_counts, op13_hard_negatives,
+            op9_best_fit_packing, op10_token_counts, op11_decontamination, op13_hard_negatives,
         )
     }
 
@@ -113,6 +119,30 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark WHERE item_id IS NOT NULL
+), w AS (
+  SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) AS said
+  FROM (SELECT *, CAST(least(10, len(words)) AS INT) AS n FROM b WHERE len(words) > 0)
+), lengths AS (SELECT DISTINCT n FROM w),
+s AS (
+  SELECT row, n, unnest(range(1, len(words) - n + 2)) AS pos, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) AS said
+  FROM d JOIN lengths ON len(words) >= n
+), hits AS (SELECT s.row, s.pos, s.n, w.item_id FROM s JOIN w ON s.said = w.said AND s.n = w.n),
+covered AS (SELECT row, count(DISTINCT i) AS n_hit FROM (SELECT row, unnest(range(pos, pos + n)) AS i FROM (SELECT DISTINCT row, pos, n FROM hits)) GROUP BY row),
+named AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY row
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+"""
+
 _OP13 = """
 WITH one AS (
   SELECT vec_id, min(struct_pack(label := CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END,
@@ -138,4 +168,4 @@ QUALIFY rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": _OP3, "op8_jaccard_join": _OP8, "op13_hard_negatives": _OP13}
+    return {"op3_chat_formatting": _OP3, "op8_jaccard_join": _OP8, "op11_decontamination": _OP11, "op13_hard_negatives": _OP13}
