@@ -14,16 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridobs.llm._shared import materialize, spread_join
+from gridobs.llm.words import Words, text_parts
 
 _U = np.uint64
-TEXT_BYTES, ROWS_OUT = 4_000_000, 20_000
+ROWS_OUT = 20_000
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 27, 64
 #: Bytes of words: a-z from either case, digits, and all that is not ASCII; the other ASCII bytes become blanks.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -48,23 +48,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Words:
-    """The words of some texts (bytes or None) one after the other, their hashes, and the row of each."""
-
-    def __init__(self, texts: list[bytes | None]):
-        plain = pa.array([(t or b"").translate(_WORD_BYTES) for t in texts], pa.large_binary()).cast(pa.large_string(), safe=False)
-        lists = pc.ascii_split_whitespace(plain)
-        flat = lists.flatten()
-        row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
-        said = np.flatnonzero(pc.binary_length(flat).to_numpy(zero_copy_only=False))  # blanks at the ends leave empty strings
-        if len(said) < len(flat):
-            flat, row = flat.take(pa.array(said)), row[said]
-        one = flat.dictionary_encode()
-        known = np.array([xxhash.xxh3_64_intdigest(w) for w in one.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
-        self.text, self.row = flat, row
-        self.hash = known[one.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.uint64)
-        self.count = np.bincount(row, minlength=len(texts))
-        self.start = np.cumsum(self.count) - self.count
+class Hashed(Words):
+    """Words of texts and the hashes of their shingles."""
+
+    def __init__(self, texts: list[bytes]):
+        super().__init__([t.translate(_WORD_BYTES) for t in texts])
+        known = np.array([xxhash.xxh3_64_intdigest(w) for w in self.spelled.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
+        self.hash = known[self.number] if len(known) else np.zeros(0, np.uint64)
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Places (in ``text``) of all shingles of ``width`` words inside a text, and their hashes."""
@@ -81,17 +71,6 @@ class Words:
         return " ".join(self.text.slice(a, b - a).to_pylist())
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Batches (text second) cut to some megabytes of text."""
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)) // TEXT_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
-        for at, end in zip(edges[:-1], edges[1:]):
-            if end > at:
-                part = b.slice(at, end - at)
-                yield part, Words(part.column(1).to_pylist())
-
-
 def item_windows(items: DataFrame, rule: Rule = Rule(), id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``item, window, n, shingles``: the windows of all items as words joined by blanks, their number of words, the hashes of their shingles in order.
 
@@ -99,7 +78,8 @@ def item_windows(items: DataFrame, rule: Rule = Rule(), id_col: str = "item_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, words in _parts(batches):
+        for b, texts in text_parts(batches, 1):
+            words = Hashed(texts)
             for i in range(b.num_rows):
                 start, count = int(words.start[i]), int(words.count[i])
                 n = min(rule.window, count)
@@ -143,7 +123,8 @@ def occurrences(docs: DataFrame, log: int, packed: np.ndarray, widths: list[int]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(packed.view(np.uint8), bitorder="little")
         row = TaskContext.get().partitionId() << 40
-        for b, words in _parts(batches):
+        for b, texts in text_parts(batches, 1):
+            words = Hashed(texts)
             rows, none = np.arange(row, row + b.num_rows), pa.nulls(b.num_rows, pa.int32())
             row += b.num_rows
             yield pa.RecordBatch.from_arrays(

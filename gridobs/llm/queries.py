@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridobs.llm import ann, chat, decontaminate, html, jaccard, lengths, negatives, packing, quality, sentencepieces, sharding, toxicity
+from gridobs.llm import ann, chat, decontaminate, html, jaccard, lengths, negatives, packing, quality, runs, sentencepieces, sharding, toxicity
 from gridobs.llm._shared import table
 
 N_SHARDS = 8
@@ -66,6 +66,26 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The contract's texts: every tenth document, by a hash of its id, repeats a stretch of its words from word ``a`` on to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, quality.words(F.col("text"))).alias("_w"), F.floor(h / 10).alias("_g"))
+    rows = rows.withColumn("_n", F.size("_w").cast("long")).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    rows = rows.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int")).withColumn("_a", F.col("_a").cast("int"))
+    rest = F.col("_n").cast("int") - F.col("_a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
+    return rows.select("doc_id", F.when(F.col("_a").isNotNull(), F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_with_periods(table(spark, sf_dir, "documents"))).withColumn("best", runs.strongest("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", label)), F.col("vec_id") % 100 == 0)
@@ -76,7 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_sentencepiece, op2_quality_rules, op3_chat_formatting, op4_sharding, op5_toxicity, op6_html_extraction, op7_nearest_neighbours, op8_jaccard_join,
-            op9_best_fit_packing, op10_token_counts, op11_decontamination, op13_hard_negatives,
+            op9_best_fit_packing, op10_token_counts, op11_decontamination, op12_periodic_runs, op13_hard_negatives,
         )
     }
 
