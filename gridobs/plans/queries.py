@@ -187,6 +187,20 @@ def parsed_times(spark, sf):
     return grid.parse_times(e.select("event_id", text.alias("date"), F.col("value").cast("double").alias("time")))
 
 
+@query("sounding_id ~latitude ~longitude ~xco2 %ret_snow_flag ~tai_seconds file_kind", cte("soundings") + """
+SELECT sounding_id, latitude, CASE WHEN sounding_id % 3 < 2 THEN longitude END AS longitude, CASE WHEN sounding_id % 3 < 2 THEN xco2 END AS xco2,
+  CASE WHEN sounding_id % 3 = 2 THEN ret_snow_flag END AS ret_snow_flag, CASE WHEN sounding_id % 3 = 2 THEN CAST(sounding_id % 1000 AS DOUBLE) END AS tai_seconds, 'part' AS file_kind
+FROM v_soundings""")
+def read_by_header(spark, sf):
+    """Soundings written as CSV files of three headers into one folder, and read again by header (A1, A2, G1)."""
+    folder, rows = io.scratch_dir(spark), view(spark, sf, "soundings")
+    headers = [["sounding_id", "latitude", "longitude", "xco2"], ["xco2", "odiac_emission", "longitude", "sounding_id", "latitude"], ["time", "latitude", "ret_snow_flag", "sounding_id"]]
+    for k, names in enumerate(headers):
+        some = rows.where(F.col("sounding_id") % 3 == k).withColumn("time", F.col("sounding_id") % 1000)
+        some.select(*names).repartition(3).write.mode("append").option("header", True).csv(folder)
+    return io.read_soundings(spark, [folder]).withColumn("file_kind", F.substring("file_source", 1, 4))
+
+
 @query("event_id ~mostly rarely", """
 SELECT event_id, CASE WHEN event_id % 20 = 0 THEN NULL ELSE CAST(value AS DOUBLE) END AS mostly, CASE WHEN event_id % 3 = 0 THEN 'n/a' ELSE CAST(user_id AS VARCHAR) END AS rarely FROM events""")
 def numeric_if_mostly(spark, sf):

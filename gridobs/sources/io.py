@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, DoubleType, NumericType
 
@@ -24,22 +30,94 @@ SOUNDING_COLUMNS = {
 WEATHER_COLUMNS = {"u10_daily": "era5_u10", "v10_daily": "era5_v10", "blh_daily": "era5_blh", "wind_speed_daily": "era5_wind_speed", "wind_dir_deg_daily": "era5_wind_dir"}
 
 
-def read_soundings(spark: SparkSession, paths: Sequence[str], keep: dict[str, str] | None = None) -> DataFrame:
-    """CSV files below ``paths`` (each path: files of one header), kept columns only, united; absent columns are NULL. Adds ``file_source``."""
-    keep = keep or SOUNDING_COLUMNS
-    parts = []
-    for p in paths:
-        raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(p)
-        cols = [F.expr(f"try_cast(`{c}` AS {t})").alias(c) for c, t in keep.items() if c in raw.columns]
-        parts.append(with_file_source(raw.select(*cols, "_metadata.file_name")).drop("file_name"))
-    all_rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    absent = [c for c in keep if c not in all_rows.columns]
-    return all_rows.withColumns({c: F.lit(None).cast(keep[c]) for c in absent}).select(*keep, "file_source")
+#: Columns that some files name otherwise: a sounding file's float ``time`` holds TAI seconds.
+OTHER_NAMES = {"time": "tai_seconds"}
+
+
+def file_headers(spark: SparkSession, paths: Sequence[str], pattern: str = "*.csv", at_once: int = 32) -> dict[str, list[str]]:
+    """The files below ``paths`` by their first line; empty files are left out.
+
+    Spark lists the files and its file systems open them, ``at_once`` at a time, for the first line only. A job would have to read the files through: tasks can't stop after a line.
+    """
+    files = sorted(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(list(paths)).inputFiles())
+    conf = spark._jsc.hadoopConfiguration()
+
+    def header(file: str) -> str | None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        stream = where.getFileSystem(conf).open(where)
+        try:
+            line = stream.readLine()  # a character a byte
+        finally:
+            stream.close()
+        return None if line is None else line.encode("latin-1").decode("utf-8", "replace")
+
+    found: dict[str, list[str]] = {}
+    with ThreadPool(at_once) as pool:
+        for file, line in zip(files, pool.map(header, files)):
+            if line is not None:
+                found.setdefault(line, []).append(file)
+    return found
+
+
+def header_names(header: str) -> list[str]:
+    """Column names of a header line, without byte-order mark and blanks around."""
+    return [n.strip() for n in next(csv.reader([header.lstrip("\ufeff")]), [])]
+
+
+def _literal(path: str) -> str:
+    """A file's URI as a path that the reader takes word for word, not as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
+
+
+def read_soundings(spark: SparkSession, paths: Sequence[str], keep: dict[str, str] | None = None, other_names: dict[str, str] | None = None) -> DataFrame:
+    """CSV files below ``paths``, whatever their headers: kept columns only, united by name; absent columns are NULL, values that don't fit their type too. Adds ``file_source``.
+
+    Every file's header is read first. Files of one header are one typed scan, so there are as many scans as headers, and files may differ in order and set of columns.
+    A name that occurs twice in a header counts where it stands first; ``other_names`` are taken for the kept name unless the file has that as well. No files: no rows.
+    """
+    keep, other = keep or SOUNDING_COLUMNS, OTHER_NAMES if other_names is None else other_names
+    found: dict[tuple[str, ...], list[str]] = {}
+    for header, files in file_headers(spark, paths).items():
+        found.setdefault(tuple(header_names(header)), []).extend(map(_literal, files))
+    parts = [_read_header(spark, names, files, keep, other) for names, files in found.items()]
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in keep.items()) + ", file_source string")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_header(spark: SparkSession, names: Sequence[str], files: list[str], keep: dict[str, str], other: dict[str, str]) -> DataFrame:
+    """All kept columns of files with this header; columns are read by their place."""
+    at: dict[str, int] = {}
+    for i, n in enumerate(names):
+        at.setdefault(n, i)
+    for n, kept in other.items():
+        if n in at and n not in keep:
+            at.setdefault(kept, at[n])
+    schema = ", ".join(f"`_{i}` string" for i in range(len(names)))
+    raw = spark.read.schema(schema).option("header", True).csv(files)
+    columns = [(F.expr(f"try_cast(`_{at[c]}` AS {t})") if c in at else F.lit(None).cast(t)).alias(c) for c, t in keep.items()]
+    return raw.select(*columns, _base_name().alias("file_source"))
+
+
+def _base_name() -> Column:
+    """Lower-case base name of the file that a row is read from, without the escapes of its URI."""
+    return F.lower(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))))
 
 
 def with_file_source(df: DataFrame) -> DataFrame:
     """Lower-case base name of the source file; ``file_name`` if there, else the reader's own metadata."""
-    return df.withColumn("file_source", F.lower(F.col("file_name") if "file_name" in df.columns else F.col("_metadata.file_name")))
+    return df.withColumn("file_source", F.lower(F.col("file_name")) if "file_name" in df.columns else _base_name())
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder's path for intermediate files, below the one that ``spark.checkpoint.dir`` names and driver and executors share.
+
+    A folder of our own is taken only where none is named and driver and tasks share one machine; elsewhere that is an error.
+    """
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"{named or tempfile.mkdtemp(prefix='gridobs-')}/{uuid.uuid4().hex}"
 
 
 def _dealt(df: DataFrame, keys: Sequence[str], files: int) -> DataFrame:

@@ -217,6 +217,32 @@ def test_files(spark, tmp_path):
     assert [r.era5_u10 for r in io.daily_weather(daily).collect()] == [5.0]
 
 
+def test_files_of_differing_headers(spark, tmp_path):
+    (tmp_path / "x y").mkdir()
+    write = lambda name, text: (tmp_path / name).write_text(text)
+    write("a.csv", "sounding_id,latitude,longitude,xco2\n1,30,110,400\n2,31,111,x\n")
+    write("b.csv", "sounding_id,xco2,latitude,longitude,extra\n3,402,32,112,9\n")
+    write("x y/C[1] {z}+%20.csv", '\ufefflatitude, sounding_id ,time,latitude,"xco2, raw"\n33,4,5.5,99,"1,2"\n')
+    write("empty.csv", "")
+    write("only_header.csv", "sounding_id,xco2\n")
+    write("other.txt", "sounding_id,xco2\n7,7\n")
+    for k in range(40):
+        write(f"n{k}.csv", ["xco2,sounding_id\n0.5,100\n", "sounding_id,xco2\n100,0.5\n"][k % 2])
+    got = io.read_soundings(spark, [str(tmp_path)])
+    rows = {r.sounding_id: r for r in got.collect()}
+    at = lambda i: tuple(rows[i][c] for c in ("latitude", "longitude", "xco2", "tai_seconds", "file_source"))
+    assert at(1) == (30, 110, 400, None, "a.csv") and at(2) == (31, 111, None, None, "a.csv") and at(3) == (32, 112, 402, None, "b.csv")
+    assert at(4) == (33, None, None, 5.5, "c[1] {z}+%20.csv")
+    assert got.count() == 44 and got.where("sounding_id = 100 AND xco2 = 0.5").count() == 40
+    scans = got._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    assert scans == 5 and got.columns == [*io.SOUNDING_COLUMNS, "file_source"]  # headers, not files
+    assert got.select("xco2")._jdf.queryExecution().executedPlan().toString().count("ReadSchema: struct<_0:string>") >= 1  # one column is parsed
+    (tmp_path / "none").mkdir()
+    assert io.read_soundings(spark, [str(tmp_path / "none")]).count() == 0
+    renamed = io.read_soundings(spark, [str(tmp_path / "b.csv")], {"x": "double", "extra": "int"}, {"xco2": "x"}).first()
+    assert (renamed.x, renamed.extra) == (402, 9)
+
+
 def test_equations(spark):
     df = spark.createDataFrame([("no2 / (WS_eff + 1)",), ("tropomi_no2 * WS_eff",), ("tropomi_no2 / BLH_eff",)], "equation string")
     assert [r.valid for r in equations.audit_equations(df).collect()] == [True, False, True]
