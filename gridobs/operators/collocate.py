@@ -9,11 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridobs.functions.columns import wind_direction, wind_speed
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint if the session has a folder for it, else keep the rows in the session's storage."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from gridobs.operators.tables import cut
 
 
 def nearest_join(left: DataFrame, right: DataFrame, values: Sequence[str], on: str = "date", key: str = "sounding_id", cell: float = 0.25, grow: float = 4.0, span: float = 360.0) -> DataFrame:
@@ -27,7 +23,7 @@ def nearest_join(left: DataFrame, right: DataFrame, values: Sequence[str], on: s
     have = [v for v in values if v in right.columns]
     points = right.dropna(subset=[on, "lat", "lon"]).where(~F.isnan("lat") & ~F.isnan("lon")).select(on, "lat", "lon", *have).distinct()
     places = left.dropna(subset=[on, "latitude", "longitude"]).where(~F.isnan("latitude") & ~F.isnan("longitude")).select(key, on, F.col("latitude").alias("_y"), F.col("longitude").alias("_x"))
-    todo, found = _cut(places.join(points.select(on).distinct(), on, "left_semi")), None
+    todo, found = cut(places.join(points.select(on).distinct(), on, "left_semi")), None
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     while True:
         last = cell >= span
@@ -44,11 +40,11 @@ def nearest_join(left: DataFrame, right: DataFrame, values: Sequence[str], on: s
         best = pairs.groupBy(key, on, "_y", "_x").agg(F.min(F.struct(d2.alias("d2"), "lat", "lon", *have)).alias("_best"))
         edge = F.least(F.col("_y") - (by - 1) * size, (by + 2) * size - F.col("_y"), F.col("_x") - (bx - 1) * size, (bx + 2) * size - F.col("_x"))
         sure = best if last else best.where(F.sqrt("_best.d2") <= edge)
-        sure = _cut(sure.select(F.col(key).alias("_key"), "_best"))
+        sure = cut(sure.select(F.col(key).alias("_key"), "_best"))
         found = sure if found is None else found.unionByName(sure)
         if last:
             break
-        todo = _cut(todo.join(sure, F.col(key) == F.col("_key"), "left_anti"))
+        todo = cut(todo.join(sure, F.col(key) == F.col("_key"), "left_anti"))
         if not todo.limit(1).count():
             break
         cell = cell * grow if cell * grow < span / 8 else span

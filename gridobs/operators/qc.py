@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from gridobs.functions.columns import col
-from gridobs.operators.quantiles import exact_quantiles
+from gridobs.operators.quantiles import exact_quantiles, grouped_quantiles
 
 #: Closed physical ranges, the core columns, and the largest aerosol depth.
 PHYSICAL_BOUNDS = {"xco2": (395.0, 430.0), "tropomi_no2": (-50.0, 200.0), "era5_blh": (0.0, None)}
@@ -70,8 +70,9 @@ def outlier_bounds(df: DataFrame, column: str, method: str = "sigma", factor: fl
         y = F.log1p(F.when(x.isNotNull(), F.greatest(x, F.lit(-0.9))))
         low, high = F.expm1(F.avg(y) - factor * F.stddev_samp(y)), F.expm1(F.avg(y) + factor * F.stddev_samp(y))
     elif method == "iqr":
-        q1, q3 = F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75))
-        low, high = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
+        found = grouped_quantiles(df, [by], column, [0.25, 0.75]).where(F.col("n") >= least)
+        q1, q3 = F.get("quantiles", F.lit(0)), F.get("quantiles", F.lit(1))
+        return found.select(by, (q1 - factor * (q3 - q1)).alias("_low"), (q3 + factor * (q3 - q1)).alias("_high"))
     else:
         raise ValueError(f"no outlier method {method!r}")
     return df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(x).alias("_n"), low.alias("_low"), high.alias("_high")).where(F.col("_n") >= least).drop("_n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridobs.functions.columns import Grid, lat_band
 from gridobs.functions.special import normal_quantile, pearson_pvalue
 from gridobs.operators.grid import K
-from gridobs.operators.quantiles import exact_quantiles
+from gridobs.operators.quantiles import exact_quantiles, grouped_quantiles
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -190,8 +190,7 @@ def qq_points(df: DataFrame, column: str, n: int = 200) -> DataFrame:
     The sample's quantiles are the linear ones at the positions (i - 1) / (n - 1), so only the ``n`` of them leave the aggregation.
     """
     shares = [k / (n - 1) for k in range(n)] if n > 1 else [0.5]
-    values = df.agg(F.percentile(column, F.array(*map(F.lit, shares))).alias("v"))
-    rows = values.select(F.posexplode("v").alias("i", "ordered"))
+    rows = grouped_quantiles(df, [], column, shares).select(F.posexplode("quantiles").alias("i", "ordered"))
     end = 0.5 ** (1.0 / n)
     p = F.when(F.col("i") == 0, 1 - end).when(F.col("i") == n - 1, end).otherwise((F.col("i") + 1 - 0.3175) / F.lit(n + 0.365))
     return rows.withColumn("theoretical", normal_quantile(p)).select("i", "theoretical", "ordered")

@@ -2,92 +2,90 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridobs.operators.grid import K
+from gridobs.operators.quantiles import values_at_ranks
+from gridobs.operators.tables import cut, with_rows_of
 
-MEANS = ("era5_wind_speed", "era5_blh", "era5_u10", "era5_v10", "latitude", "longitude", "population_density", "odiac_emission")
+#: Soundings of a date and cell that are collected into one row.
+FEW = 10_000
 
+MEANS = ("era5_wind_speed", "era5_blh", "era5_u10", "era5_v10", "latitude", "longitude", "population_density", "odiac_emission")
 
-@lru_cache(maxsize=8)
-def bootstrap_ranks(n: int, resamples: int = 100, seed: int = 42) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Ranks (from 0) of the two middle values of each resample of ``n`` sorted values; they depend on ``n`` alone."""
-    drawn = np.sort(np.random.RandomState(seed).randint(0, n, (resamples, n)), axis=1)
-    return tuple(drawn[:, (n - 1) // 2].tolist()), tuple(drawn[:, n // 2].tolist())
 
+@lru_cache(maxsize=4096)
+def middle_ranks(n: int, resamples: int = 100, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks (from 0) of the two middle values of each resample of ``n`` sorted values: a pure function of size, number of resamples and seed, of the same cost at every size.
 
-def drawn_ranks(n: int, resamples: int = 100, seed: int = 42) -> tuple[list[int], list[int]]:
-    """The ranks of ``bootstrap_ranks`` for a large ``n``, drawn from their own distribution: a middle value of n uniform draws is a beta variate."""
-    rng = np.random.RandomState(seed)
+    A resample draws n ranks with equal chance. The k-th smallest of n uniform draws is a beta variate, the one after it lies a beta share of the rest higher, and
+    the rank of a draw grows with it, so nothing has to be drawn n times.
+    """
+    rng = np.random.default_rng([seed, n])
     k = (n + 1) // 2
     low = rng.beta(k, n - k + 1, resamples)
     high = low if n % 2 else low + (1 - low) * rng.beta(1, n - k, resamples)
-    return tuple(np.minimum((u * n).astype(np.int64), n - 1).tolist() for u in (low, high))
+    return tuple(np.minimum((u * n).astype(np.int64), n - 1) for u in (low, high))
 
 
-def bootstrap_table(spark, sizes: Sequence[int], resamples: int = 100, seed: int = 42) -> DataFrame:
-    rows = [(int(n), *map(list, bootstrap_ranks(int(n), resamples, seed))) for n in sizes]
-    return spark.createDataFrame(rows, "_size int, _low array<int>, _high array<int>")
+def bootstrap_errors(values: pa.ListArray, resamples: int, seed: int) -> np.ndarray:
+    """Sample spread of the resamples' medians for each list of sorted values; of two values their own, NaN below two. Lists of one length are worked on together."""
+    size = values.value_lengths().to_numpy(zero_copy_only=False)
+    flat, start = values.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+    out = np.full(len(values), np.nan)
+    for n in np.unique(size[size > 1]).tolist():
+        at = np.flatnonzero(size == n)
+        low, high = middle_ranks(n, resamples, seed) if n > 2 else (np.arange(2), np.arange(2))
+        step = max(1, 1_000_000 // len(low))
+        for part in np.split(at, range(step, len(at), step)):
+            first = flat[start[part]][:, None]  # equal values have a spread of exactly 0
+            out[part] = np.std((flat[start[part][:, None] + low] - first + flat[start[part][:, None] + high] - first) / 2, axis=1, ddof=1)
+    return out
 
 
-def _sample_std(a: Column, near: Column, n: Column) -> Column:
-    """Sample spread in one pass over the array, with values taken from ``near`` so that equal values give exactly 0."""
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    add = lambda t, x: F.struct((t["s"] + (x - near)).alias("s"), (t["q"] + (x - near) * (x - near)).alias("q"))
-    return F.aggregate(a, zero, add, lambda t: F.sqrt(F.greatest(F.lit(0.0), (t["q"] - t["s"] * t["s"] / n) / (n - 1))))
-
-
-def _values_by_rank(df: DataFrame, wanted: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """``keys, _at``: map from rank to value for the groups and ranks of ``wanted`` (``keys, _ranks``), without collecting a group's values.
+def _middle(n: Column) -> Column:
+    return F.array(F.floor((n - 1) / 2), F.floor(n / 2))
 
-    A group's values fall into buckets around its median; counts tell which buckets hold the ranks, and only these are numbered. Bounds of buckets are
-    approximate, which moves work between tasks but no rank. Equal values are counted first.
-    """
-    rows = df.select(*keys, F.col(column).cast("double").alias("_x")).where("_x IS NOT NULL").join(F.broadcast(wanted.select(*keys)), keys)
-    widths = [0.001 * 2**k for k in range(9)]
-    bounds = rows.groupBy(*keys).agg(F.percentile_approx("_x", [0.5 - w for w in reversed(widths)] + [0.5 + w for w in widths], 10_000).alias("_bounds"))
-    rows = rows.join(F.broadcast(bounds), keys).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_x"))))
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_in"))
-    counts = counts.withColumn("_before", F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_in"))  # a row per bucket
-    here = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
-    found = counts.join(wanted, keys).select(*keys, "_bucket", "_before", here.alias("_ranks")).where("size(_ranks) > 0")
-    values = rows.join(F.broadcast(found.select(*keys, "_bucket")), [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_x").agg(F.count("*").alias("_c"))
-    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_bucket").orderBy("_x"))
-    hit = F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_c")) & (r < F.col("_end")))
-    values = values.join(found, [*keys, "_bucket"]).withColumn("_end", end).select(*keys, F.explode(hit).alias("_rank"), "_x")
-    return values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
 
+def _large_groups(df: DataFrame, large: DataFrame, keys: Sequence[str], resamples: int, seed: int, few: int) -> DataFrame:
+    """``keys, _x, _no2, _error`` of the groups in ``large`` (``keys, _n, _m``: values of xco2 and no2), whose values are found by rank, not collected."""
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            drawn = [middle_ranks(int(n), resamples, seed) if n > 2 else (np.zeros(0, np.int64),) * 2 for n in b.column("_n").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([d[k] for d in drawn], pa.list_(pa.int64())) for k in range(2))], [*b.schema.names, "_low", "_high"])
 
-def _middle(n: Column) -> Column:
-    return F.array(F.floor((n - 1) / 2), F.floor(n / 2))
+    types = ", ".join(f"`{c}` {t}" for c, t in large.dtypes)
+    large = cut(large.mapInArrow(ranks, f"{types}, _low array<long>, _high array<long>"))
 
+    def at(column: str, wanted: Column) -> DataFrame:
+        x = F.col(column).cast("double")
+        rows = cut(with_rows_of(df.where(x.isNotNull()).select(*keys, x.alias("_x")), large.select(*keys), keys, "left_semi"))
+        found = values_at_ranks(rows, large.select(*keys, F.explode(F.array_distinct(wanted)).alias("_rank")), keys, few)
+        return found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias(f"_{column}"))
 
-def _large_groups(df: DataFrame, large: DataFrame, keys: Sequence[str], resamples: int, seed: int) -> DataFrame:
-    """``keys, _x, _no2, _error``: both medians and the bootstrap error of the groups in ``large`` (``keys, _n, _m``: values of xco2 and no2)."""
-    ranks = F.udf(lambda n: drawn_ranks(n, resamples, seed), "struct<low: array<long>, high: array<long>>")
-    large = large.withColumn("_r", ranks("_n")).select(*keys, "_n", "_m", F.col("_r.low").alias("_low"), F.col("_r.high").alias("_high")).persist()
-    x = _values_by_rank(df, large.select(*keys, F.array_distinct(F.concat("_low", "_high", _middle(F.col("_n")))).alias("_ranks")), keys, "xco2")
-    y = _values_by_rank(df, large.select(*keys, F.array_distinct(_middle(F.col("_m"))).alias("_ranks")), keys, "tropomi_no2")
-    at = lambda of, r: F.try_element_at(of, r)
-    median = lambda of, n: (at(of, _middle(n)[0]) + at(of, _middle(n)[1])) / 2
-    medians = F.zip_with("_low", "_high", lambda a, b: (at("_at", a) + at("_at", b)) / 2)
-    out = large.join(x, keys, "left").join(y.withColumnRenamed("_at", "_no2_at"), keys, "left").withColumn("_medians", F.when(F.col("_n") > 2, medians))
-    error = _sample_std(F.col("_medians"), F.get("_medians", F.lit(0)), F.size("_medians"))
-    return out.select(*keys, median("_at", F.col("_n")).alias("_x"), median("_no2_at", F.col("_m")).alias("_no2"), error.alias("_error"))
+    known = large.join(at("xco2", F.concat("_low", "_high", _middle(F.col("_n")))), keys, "left").join(at("tropomi_no2", _middle(F.col("_m"))), keys, "left")
+    value = lambda of, r: F.try_element_at(of, r)
+    median = lambda of, n: (value(of, _middle(n)[0]) + value(of, _middle(n)[1])) / 2
+    first = value("_xco2", _middle(F.col("_n"))[0])
+    medians = F.zip_with("_low", "_high", lambda a, b: (value("_xco2", a) - first + value("_xco2", b) - first) / 2)
+    total = lambda f: F.aggregate(medians, F.lit(0.0), lambda s, m: s + f(m))
+    n = F.size("_low")
+    spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (total(lambda m: m * m) - total(lambda m: m) * total(lambda m: m) / n) / (n - 1))))
+    return known.select(*keys, median("_xco2", F.col("_n")).alias("_x"), median("_tropomi_no2", F.col("_m")).alias("_no2"), spread.alias("_error"))
 
 
-def super_observation(df: DataFrame, by: Sequence[str] = (), with_error: bool = True, resamples: int = 100, seed: int = 42, max_group: int = 10_000) -> DataFrame:
+def super_observation(df: DataFrame, by: Sequence[str] = (), with_error: bool = True, resamples: int = 100, seed: int = 42, few: int = FEW) -> DataFrame:
     """Per date and cell (and ``by``, e.g. a sensor): medians of xco2 and no2, means of the rest, ``n_soundings``, ``xco2_bootstrap_std``.
 
-    The error is NULL below two values, the sample spread for two, and from three on the spread of the medians of the resamples.
-    Values of a group are sorted, so the error doesn't depend on the order of rows, and medians are read from the sorted values. The ranks of the resamples are a
-    table with a row per group size that occurs; for groups of more than ``max_group`` soundings they are drawn from their own distribution, and the values are
-    found by rank, not collected. NULL keys are dropped.
+    The error is NULL below two values, the sample spread for two, and from three on the spread of the medians of the resamples. Values of a group are sorted, so
+    the error doesn't depend on the order of rows; the resamples' ranks are a function of the group's size, drawn where they are used. Groups of more than ``few`` soundings
+    are not collected: their medians and the values at their ranks are found by narrowing, which gives the same numbers. NULL keys are dropped.
     """
     keys = ["date", *K, *by]
     df = df.dropna(subset=keys)
@@ -95,26 +93,25 @@ def super_observation(df: DataFrame, by: Sequence[str] = (), with_error: bool =
     if not with_error:
         return df.groupBy(*keys).agg(F.median("xco2").alias("xco2"), F.median("tropomi_no2").alias("tropomi_no2"), *means, F.count("xco2").alias("n_soundings"))
     x, y = F.col("xco2").cast("double"), F.col("tropomi_no2").cast("double")
-    count = df.groupBy(*keys).agg(F.count(x).alias("_n"), F.count(y).alias("_m"))
-    found = count.select(F.explode(F.array(F.least(F.col("_n"), F.lit(max_group + 1)), F.when(F.col("_m") > max_group, F.lit(max_group + 1)))).alias("_s")).distinct().collect()
-    sizes = sorted(r[0] for r in found if r[0] is not None)
-    large = count.where(F.greatest("_n", "_m") > max_group) if sizes and sizes[-1] > max_group else None
+    large = df.groupBy(*keys).agg(F.count(x).alias("_n"), F.count(y).alias("_m")).where(F.greatest("_n", "_m") > few)
+    large = cut(large)
+    some = large.limit(1).count()
     rows = df
-    if large is not None:
-        rows = df.join(F.broadcast(large.select(*keys, F.lit(True).alias("_large"))), keys, "left")  # a row per max_group soundings at most
+    if some:
+        rows = with_rows_of(df, large.select(*keys, F.lit(True).alias("_large")), keys, "left")
         x, y = (F.when(F.col("_large").isNull(), c) for c in (x, y))
     out = rows.groupBy(*keys).agg(*means, F.count("xco2").alias("n_soundings"), F.sort_array(F.collect_list(x)).alias("_v"), F.sort_array(F.collect_list(y)).alias("_w"))
-    plan = bootstrap_table(df.sparkSession, [n for n in sizes if 3 <= n <= max_group], resamples, seed)
-    medians = F.zip_with("_low", "_high", lambda a, b: (F.get("_v", a) + F.get("_v", b)) / 2)
-    out = out.join(F.broadcast(plan), F.size("_v") == F.col("_size"), "left")  # at most max_group rows
-    first, n = F.get("_v", F.lit(0)), F.size("_v")
-    error = F.when(F.col("_low").isNotNull(), _sample_std(medians, first, F.size("_low"))).when(n == 2, _sample_std(F.col("_v"), first, n))
+
+    @F.arrow_udf("double")
+    def error(values: pa.Array) -> pa.Array:
+        return pa.array(bootstrap_errors(values, resamples, seed), from_pandas=True)
+
     half = lambda v, k: F.get(v, F.floor((F.size(v) - k) / 2).cast("int"))
     median = lambda v: F.when(F.size(v) > 0, (half(v, 1) + half(v, 0)) / 2)
-    columns = [median("_v").alias("xco2"), median("_w").alias("tropomi_no2"), error.alias("xco2_bootstrap_std")]
-    if large is not None:
-        out = out.join(F.broadcast(_large_groups(df, large, keys, resamples, seed)), keys, "left")
-        columns = [F.coalesce(a, c).alias(n) for a, c, n in zip(("_x", "_no2", "_error"), columns, ("xco2", "tropomi_no2", "xco2_bootstrap_std"))]
+    columns = [median("_v").alias("xco2"), median("_w").alias("tropomi_no2"), error("_v").alias("xco2_bootstrap_std")]
+    if some:
+        out = out.withColumn("_e", columns[2]).join(_large_groups(df, large, keys, resamples, seed, few), keys, "left")
+        columns = [F.coalesce(a, c).alias(n) for a, c, n in zip(("_x", "_no2", "_error"), (*columns[:2], F.col("_e")), ("xco2", "tropomi_no2", "xco2_bootstrap_std"))]
     return out.select(*keys, *columns[:2], *(c for c in MEANS if c in df.columns), "n_soundings", columns[2])
 
 

@@ -8,6 +8,7 @@ tested in tests/ only.
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -518,9 +519,21 @@ def huber_weighted(spark, sf):
     return stats.weighted_huber(predictions(spark, sf).withColumn("weight", F.col("lat_idx") + F.lit(1)), "true_xco2", "pred_xco2", "weight")
 
 
-@query("%i ~theoretical ~ordered")
+_QQ = 200
+_NORMAL = ", ".join(  # the normal side, from the order statistics' medians
+    f"({k}, {NormalDist().inv_cdf(1 - 0.5 ** (1 / _QQ) if k == 0 else 0.5 ** (1 / _QQ) if k == _QQ - 1 else (k + 1 - 0.3175) / (_QQ + 0.365))!r}e0)" for k in range(_QQ))
+
+
+@query("%i ~theoretical ~ordered", _Z + f""", q AS (SELECT quantile_cont(xco2_anomaly, [{", ".join(repr(k / (_QQ - 1)) for k in range(_QQ))}]) AS v FROM z)
+SELECT i, theoretical, v[i + 1] AS ordered FROM (VALUES {_NORMAL}) AS t(i, theoretical), q""")
 def qq_points(spark, sf):
-    return stats.qq_points(zonal(spark, sf), "xco2_anomaly")
+    return stats.qq_points(zonal(spark, sf), "xco2_anomaly", _QQ)
+
+
+@query("~slope ~intercept ~r2", _Z + f""", q AS (SELECT quantile_cont(xco2_anomaly, [{", ".join(repr(k / (_QQ - 1)) for k in range(_QQ))}]) AS v FROM z)
+SELECT regr_slope(v[i + 1], theoretical) AS slope, regr_intercept(v[i + 1], theoretical) AS intercept, regr_r2(v[i + 1], theoretical) AS r2 FROM (VALUES {_NORMAL}) AS t(i, theoretical), q""")
+def qq_fit(spark, sf):
+    return stats.qq_fit(stats.qq_points(zonal(spark, sf), "xco2_anomaly", _QQ))
 
 
 @query("first last #n_dates #n_months #n_rows", cte("soundings") + "SELECT min(date) AS first, max(date) AS last, count(DISTINCT date) AS n_dates, count(DISTINCT date_trunc('month', date)) AS n_months, count(*) AS n_rows FROM v_soundings")

@@ -49,17 +49,31 @@ def test_bootstrap_is_one_statistic_at_every_size(spark):
     groups = {0: rng.standard_t(2, 3000), 1: rng.standard_t(2, 3001), 2: rng.choice([400.0, 410.0], 2500, p=[0.49, 0.51]), 3: np.full(2000, 400.0), 4: rng.normal(400, 3, 12), 5: [1.0, 2.0]}
     rows = [(D, 0, k, float(v), 1.0, 20.0, 100.0) for k, vs in groups.items() for v in vs] + [(D, 0, 0, None, 1.0, 20.0, 100.0)]
     df = spark.createDataFrame(rows, "date date, lat_idx int, lon_idx int, xco2 double, tropomi_no2 double, latitude double, longitude double")
-    run = lambda m: {r.lon_idx: r for r in superobs.super_observation(df, resamples=1000, max_group=m).drop("date").collect()}
+    run = lambda m: {r.lon_idx: r for r in superobs.super_observation(df, resamples=1000, few=m).drop("date").collect()}
     few, many = run(10_000), run(100)
     assert len(few) == len(many) == 6
     for k, vs in groups.items():
         assert [x for c, x in many[k].asDict().items() if c != "xco2_bootstrap_std"] == [x for c, x in few[k].asDict().items() if c != "xco2_bootstrap_std"]
-        assert many[k].xco2_bootstrap_std == pytest.approx(few[k].xco2_bootstrap_std, rel=0.12)
-        if len(vs) > 100:
-            x, (low, high) = np.sort(vs), superobs.drawn_ranks(len(vs), 1000)
+        assert many[k].xco2_bootstrap_std == pytest.approx(few[k].xco2_bootstrap_std, rel=1e-9, abs=1e-9)
+        if len(vs) > 2:
+            x, (low, high) = np.sort(vs), superobs.middle_ranks(len(vs), 1000)
             assert many[k].xco2_bootstrap_std == pytest.approx(np.std((x[low] + x[high]) / 2, ddof=1), rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("n", [3, 4, 28, 9_999, 10_001])
+def test_ranks_are_those_of_resamples(n):
+    """Mean and spread of the drawn middle ranks against resamples that draw every value."""
+    rng = np.random.default_rng(n)
+    drawn = np.sort(rng.integers(0, n, (4000, n)), axis=1)[:, [(n - 1) // 2, n // 2]]
+    ranks = np.stack(superobs.middle_ranks(n, 20_000), axis=1)
+    assert ranks.min() >= 0 and ranks.max() < n and (ranks[:, 0] <= ranks[:, 1]).all()
+    spread = drawn.std(axis=0)
+    assert np.abs(ranks.mean(axis=0) - drawn.mean(axis=0)).max() <= 5 * (spread / math.sqrt(4000)).max() and ranks.std(axis=0) == pytest.approx(spread, rel=0.06)
+    assert (ranks[:, 1] - ranks[:, 0]).mean() == pytest.approx((drawn[:, 1] - drawn[:, 0]).mean(), rel=0.1, abs=0.05)
+    again = superobs.middle_ranks.__wrapped__(n, 20_000)
+    assert (again[0] == ranks[:, 0]).all()  # a pure function of its arguments
+
+
 def zonal(spark, rows, columns):
     df = spark.createDataFrame([(D, 0, i, *r) for i, r in enumerate(rows)], f"date date, lat_idx int, lon_idx int, {columns}")
     return {r.lon_idx: r.xco2_background for r in baseline.daily_zonal_background(df).collect()}[0]
@@ -287,6 +301,46 @@ def test_lookups_are_broadcast(spark):
     assert "BroadcastHashJoin" in qc.outlier_filter(df)._jdf.queryExecution().toString()
 
 
+def test_grouped_quantiles(spark):
+    from gridobs.operators.quantiles import grouped_quantiles
+
+    rng = np.random.default_rng(6)
+    n = 8000
+    g = rng.choice(5, n, p=[0.6, 0.2, 0.1, 0.0995, 0.0005])
+    x = rng.standard_t(2, n)
+    x[rng.random(n) < 0.3] = 7.0
+    x[g == 2] = 1.5
+    rows = [(int(a), float(b)) for a, b in zip(g, x)] + [(0, None), (0, float("nan")), (None, 1.0), (9, None)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    p = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
+    for few in (50_000, 60):
+        got = {r.g: r for r in grouped_quantiles(df, ["g"], "x", p, few).collect()}
+        assert set(got) == set(g.tolist())
+        for k, r in got.items():
+            assert r.n == (g == k).sum() and r.quantiles == pytest.approx(np.quantile(x[g == k], p), rel=1e-12, abs=1e-12), (k, few)
+    whole = grouped_quantiles(df.where("g IS NOT NULL"), [], "x", p, 60).first()
+    assert whole.quantiles == pytest.approx(np.quantile(x, p), rel=1e-12) and grouped_quantiles(df.limit(0), ["g"], "x", p).count() == 0
+
+
+def test_a_hot_group_is_not_held_by_a_task(spark, monkeypatch):
+    """A million distinct values of one group: no window or aggregate behind the narrowing gets more than ``few`` of them."""
+    from gridobs.operators import quantiles
+
+    df = spark.range(1_000_000).select(F.when(F.col("id") % 100 == 0, F.col("id") % 7).otherwise(99).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(10**15)) / 1e3).alias("x"))
+    seen = []
+    keep = quantiles.cut
+    monkeypatch.setattr(quantiles, "cut", lambda d: (seen.append(d.columns), keep(d))[1])
+    few = 20_000
+    got = {r.g: r.quantiles for r in quantiles.grouped_quantiles(df, ["g"], "x", [0.25, 0.75], few).collect()}
+    want = {r.g: list(r.q) for r in df.groupBy("g").agg(F.percentile("x", F.lit([0.25, 0.75])).alias("q")).collect()}
+    assert all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want) and len(got) == 8
+    rows = df.withColumnRenamed("x", "_x")
+    wanted = rows.groupBy("g").agg(F.count("*").alias("n")).select("g", F.floor(0.25 * (F.col("n") - 1)).cast("long").alias("_rank"))
+    found = quantiles.values_at_ranks(rows.persist(), wanted, ["g"], few)
+    plan = found._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and seen.count(["g", "_rank", "_low", "_high", "_before", "_in"]) >= 2  # narrowed at least once
+
+
 def test_exact_quantiles_by_narrowing(spark):
     from gridobs.operators.quantiles import exact_quantiles
 
