@@ -5,50 +5,102 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridobs.functions.columns import wind_direction, wind_speed
 from gridobs.operators.tables import cut
 
 
-def nearest_join(left: DataFrame, right: DataFrame, values: Sequence[str], on: str = "date", key: str = "sounding_id", cell: float = 0.25, grow: float = 4.0, span: float = 360.0) -> DataFrame:
+#: Points of a bucket that a point may be compared with one by one; points of a cell that is not divided any more.
+DENSE, LEAF, FINEST = 256, 16, 8
+
+
+def _distance2(y: str | Column, x: str | Column) -> Column:
+    """Square of the distance in degrees from the asking point (``_y, _x``)."""
+    y, x = (F.col(c) if isinstance(c, str) else c for c in (y, x))
+    return (y - F.col("_y")) * (y - F.col("_y")) + (x - F.col("_x")) * (x - F.col("_x"))
+
+
+def _levels(points: DataFrame, on: str, cell: float, grow: int, span: float) -> tuple[list[DataFrame], float]:
+    """The pyramid of occupied cells and the size of its finest: a table a level, the coarsest first: ``on, _cy, _cx`` (cell), ``_py, _px`` (cell of the level above), and the box around its points.
+
+    The finest cells hold ``LEAF`` points at most, unless points are nearer to each other than ``cell / grow ** FINEST``. A level is made from the one below, so only the finest reads points.
+    """
+    size, deeper = cell, 0
+    while True:
+        finest = points.groupBy(on, F.floor(F.col("lat") / F.lit(size)).alias("_cy"), F.floor(F.col("lon") / F.lit(size)).alias("_cx")).agg(
+            F.min("lat").alias("_south"), F.max("lat").alias("_north"), F.min("lon").alias("_west"), F.max("lon").alias("_east"), F.count("*").alias("_n"))
+        finest = cut(finest)
+        most = finest.agg(F.max("_n")).first()[0] or 0
+        if most <= LEAF or deeper == FINEST:
+            break
+        size, deeper = size / grow, deeper + 1
+    up = lambda c: F.floor(F.col(c) / F.lit(grow))
+    levels, smallest = [finest.drop("_n")], size
+    while size < span:
+        size *= grow
+        above = levels[-1].groupBy(on, up("_cy").alias("_cy"), up("_cx").alias("_cx")).agg(
+            F.min("_south").alias("_south"), F.max("_north").alias("_north"), F.min("_west").alias("_west"), F.max("_east").alias("_east"))
+        levels.append(cut(above))
+    return [level.withColumn("_py", up("_cy")).withColumn("_px", up("_cx")) for level in reversed(levels)], smallest
+
+
+def _nearest_cells(asked: DataFrame, levels: list[DataFrame], on: str, key: str) -> DataFrame:
+    """``asked`` with the finest cells (``_cy, _cx``) that may hold its nearest point: from level to level only cells that begin nearer than some point of another surely lies.
+
+    A box with a point on each side has one no farther than the nearer side of one axis at the farther end of the other.
+    """
+    y, x = F.col("_y"), F.col("_x")
+    outside = lambda a, b, v: F.greatest(F.col(a) - v, v - F.col(b), F.lit(0.0))
+    nearer = lambda a, b, v: F.when(v <= (F.col(a) + F.col(b)) / 2, F.col(a)).otherwise(F.col(b))
+    farther = lambda a, b, v: F.when(F.abs(F.col(a) - v) >= F.abs(F.col(b) - v), F.col(a)).otherwise(F.col(b))
+    sides = ("_south", "_north", y), ("_west", "_east", x)
+    least = outside(*sides[0]) * outside(*sides[0]) + outside(*sides[1]) * outside(*sides[1])
+    surely = F.least(_distance2(nearer(*sides[0]), farther(*sides[1])), _distance2(farther(*sides[0]), nearer(*sides[1])))
+    found = asked
+    for k, level in enumerate(levels):
+        if k:
+            found = found.withColumnsRenamed({"_cy": "_py", "_cx": "_px"}).join(level, [on, "_py", "_px"])
+        else:
+            found = found.join(level, on)  # the top: a cell or a few a date
+        found = found.select(key, on, "_y", "_x", "_cy", "_cx", least.alias("_least"), surely.alias("_surely"))
+        found = found.withColumn("_bound", F.min("_surely").over(Window.partitionBy(key))).where("_least <= _bound").select(key, on, "_y", "_x", "_cy", "_cx")
+    return found
+
+
+def nearest_join(left: DataFrame, right: DataFrame, values: Sequence[str], on: str = "date", key: str = "sounding_id", cell: float = 0.25, grow: int = 4, span: float = 360.0) -> DataFrame:
     """Each row of ``left`` with ``values`` of the point of ``right`` of the same date at the least distance in degrees, and ``distance``.
 
-    As-of join in space, by equi-joins in rounds: buckets of ``cell`` degrees, each left point looks at its 3 x 3 buckets, and an answer
-    counts if it is no farther than the edge of that block; what is left goes on with ``grow`` times larger buckets, so the pairs of a round stay few where points are dense.
-    The last round has a bucket as large as ``span`` and is exact. Ties go to the smaller (lat, lon, values). Dates without points and NULL coordinates give NULL.
-    ``key`` must be unique in ``left``; ``left`` has ``latitude, longitude``, ``right`` has ``lat, lon``.
+    As-of join in space by equi-joins. First each left point looks at its 3 x 3 buckets of ``cell`` degrees; an answer counts if it is nearer than the edge of that block.
+    Where that finds nothing sure, or a bucket of more than ``DENSE`` points, a pyramid of occupied cells leads to the answer: from the largest cells of the date down to
+    cells of a few points, keeping only those that can still hold the nearest. So the pairs of a left point stay few, wherever the points lie. Ties go to the smaller (lat, lon, values).
+    Dates without points and NULL coordinates give NULL. ``key`` must be unique in ``left``; ``left`` has ``latitude, longitude``, ``right`` has ``lat, lon``.
     """
     have = [v for v in values if v in right.columns]
-    points = right.dropna(subset=[on, "lat", "lon"]).where(~F.isnan("lat") & ~F.isnan("lon")).select(on, "lat", "lon", *have).distinct()
+    points = right.dropna(subset=[on, "lat", "lon"]).where(~F.isnan("lat") & ~F.isnan("lon")).groupBy(on, "lat", "lon").agg(F.min(F.struct(*have) if have else F.lit(0)).alias("_v"))
     places = left.dropna(subset=[on, "latitude", "longitude"]).where(~F.isnan("latitude") & ~F.isnan("longitude")).select(key, on, F.col("latitude").alias("_y"), F.col("longitude").alias("_x"))
-    todo, found = cut(places.join(points.select(on).distinct(), on, "left_semi")), None
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    while True:
-        last = cell >= span
-        size = F.lit(cell)
-        by, bx = F.floor(F.col("_y") / size), F.floor(F.col("_x") / size)
-        if last:  # one bucket a date
-            asked, there = todo, points
-            pairs = asked.join(there, on)
-        else:
-            asked = todo.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)).withColumn("_by", by + F.col("_dy")).withColumn("_bx", bx + F.col("_dx")).drop("_dy", "_dx")
-            there = points.withColumn("_by", F.floor(F.col("lat") / size)).withColumn("_bx", F.floor(F.col("lon") / size))
-            pairs = asked.join(there, [on, "_by", "_bx"])
-        d2 = (F.col("lat") - F.col("_y")) * (F.col("lat") - F.col("_y")) + (F.col("lon") - F.col("_x")) * (F.col("lon") - F.col("_x"))
-        best = pairs.groupBy(key, on, "_y", "_x").agg(F.min(F.struct(d2.alias("d2"), "lat", "lon", *have)).alias("_best"))
-        edge = F.least(F.col("_y") - (by - 1) * size, (by + 2) * size - F.col("_y"), F.col("_x") - (bx - 1) * size, (bx + 2) * size - F.col("_x"))
-        sure = best if last else best.where(F.sqrt("_best.d2") <= edge)
-        sure = cut(sure.select(F.col(key).alias("_key"), "_best"))
-        found = sure if found is None else found.unionByName(sure)
-        if last:
-            break
-        todo = cut(todo.join(sure, F.col(key) == F.col("_key"), "left_anti"))
-        if not todo.limit(1).count():
-            break
-        cell = cell * grow if cell * grow < span / 8 else span
-    out = found.select("_key", *(F.col(f"_best.{v}").alias(f"_v{i}") for i, v in enumerate(have)), F.sqrt("_best.d2").alias("distance"))
+    points, places = cut(points), cut(places)
+    size, near, bucket = F.lit(cell), F.array(F.lit(-1), F.lit(0), F.lit(1)), [on, "_by", "_bx"]
+    by, bx = F.floor(F.col("_y") / size), F.floor(F.col("_x") / size)
+    asked = places.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)).withColumn("_by", by + F.col("_dy")).withColumn("_bx", bx + F.col("_dx")).drop("_dy", "_dx")
+    there = points.withColumn("_by", F.floor(F.col("lat") / size)).withColumn("_bx", F.floor(F.col("lon") / size))
+    counts = there.groupBy(*bucket).agg(F.count("*").alias("_n"))
+    few = there.join(counts.where(F.col("_n") <= DENSE), bucket).drop("_n")
+    dense = counts.where(F.col("_n") > DENSE).drop("_n")  # a bucket of many points stands as one row without a place
+    here = few.unionByName(dense, allowMissingColumns=True)
+    answer = F.min(F.when(F.col("lat").isNotNull(), F.struct(_distance2("lat", "lon").alias("d2"), "lat", "lon", "_v")))
+    best = asked.join(here, bucket).groupBy(key, on, "_y", "_x").agg(answer.alias("_best"), F.max(F.col("lat").isNull()).alias("_dense"))
+    edge = F.least(F.col("_y") - (by - 1) * size, (by + 2) * size - F.col("_y"), F.col("_x") - (bx - 1) * size, (bx + 2) * size - F.col("_x"))
+    found = cut(best.where(~F.col("_dense") & (F.sqrt("_best.d2") < edge)).select(F.col(key).alias("_key"), "_best"))
+    todo = cut(places.join(found, F.col(key) == F.col("_key"), "left_anti").join(points.select(on).distinct(), on, "left_semi"))
+    if todo.limit(1).count():
+        levels, finest = _levels(points.join(todo.select(on).distinct(), on, "left_semi"), on, cell, grow, span)
+        cells = _nearest_cells(todo, levels, on, key)
+        there = points.withColumn("_cy", F.floor(F.col("lat") / F.lit(finest))).withColumn("_cx", F.floor(F.col("lon") / F.lit(finest)))
+        rest = cells.join(there, [on, "_cy", "_cx"]).groupBy(key).agg(F.min(F.struct(_distance2("lat", "lon").alias("d2"), "lat", "lon", "_v")).alias("_best"))
+        found = found.unionByName(cut(rest.select(F.col(key).alias("_key"), "_best")))
+    out = found.select("_key", *(F.col(f"_best._v.{v}").alias(f"_v{i}") for i, v in enumerate(have)), F.sqrt("_best.d2").alias("distance"))
     joined = left.drop(*values, "distance").join(out, F.col(key) == F.col("_key"), "left")
     joined = joined.withColumns({v: F.col(f"_v{have.index(v)}") if v in have else F.lit(None).cast("double") for v in values})
     return joined.drop("_key", *(f"_v{i}" for i in range(len(have))))

@@ -164,7 +164,7 @@ def test_cap_and_sequences(spark):
     assert len(dense.frame) == 15 and dense.frame[1:] == [0.0] * 14
 
 
-@pytest.mark.parametrize("cell", [0.25, 2.0])
+@pytest.mark.parametrize("cell", [0.25, 0.1])
 def test_nearest_join_is_exact(spark, cell):
     rng = np.random.default_rng(3)
     days = [D + dt.timedelta(k) for k in range(3)]
@@ -181,6 +181,38 @@ def test_nearest_join_is_exact(spark, cell):
         assert (got[i].v is None) if near is None else (got[i].v == near[1] and got[i].distance == pytest.approx(near[0])), i
 
 
+def test_nearest_join_on_clustered_points(spark):
+    """All points in one corner, all probes in another or amid the points: exact, and few pairs a probe at every step."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    p = np.stack([rng.normal(21, 0.05, n), rng.normal(101, 0.3, n)], axis=1)
+    p[:400] = p[400:800]  # repeated places
+    q = np.concatenate([rng.uniform([45, 145], [50, 150], (150, 2)), rng.normal([21, 101], [0.1, 0.5], (100, 2)), rng.uniform([20.9, 110], [21.1, 150], (50, 2))])
+    right = spark.createDataFrame([(D, float(y), float(x), float(i)) for i, (y, x) in enumerate(p)], "date date, lat double, lon double, v double")
+    left = spark.createDataFrame([(i, D, float(y), float(x)) for i, (y, x) in enumerate(q)], "sounding_id long, date date, latitude double, longitude double")
+    got = {r.sounding_id: r for r in collocate.nearest_join(left, right, ["v"]).collect()}
+    d2 = (q[:, None, 0] - p[None, :, 0]) ** 2 + (q[:, None, 1] - p[None, :, 1]) ** 2
+    for i in range(len(q)):
+        best = min((d2[i, j], *p[j], j) for j in np.flatnonzero(d2[i] <= d2[i].min() * (1 + 1e-12)))
+        assert got[i].v == best[3] and got[i].distance == pytest.approx(math.sqrt(best[0]), rel=1e-12), i
+    points = right.groupBy("date", "lat", "lon").agg(F.min(F.struct("v")).alias("_v"))
+    levels, finest = collocate._levels(points, "date", 0.25, 4, 360.0)
+    asked = left.select("sounding_id", "date", F.col("latitude").alias("_y"), F.col("longitude").alias("_x"))
+    for k in range(1, len(levels) + 1):
+        cells = collocate._nearest_cells(asked, levels[:k], "date", "sounding_id")
+        assert cells.groupBy("sounding_id").count().agg(F.max("count")).first()[0] <= 100
+    there = points.withColumn("_cy", F.floor(F.col("lat") / finest)).withColumn("_cx", F.floor(F.col("lon") / finest))
+    pairs = cells.join(there, ["date", "_cy", "_cx"]).groupBy("sounding_id").count().agg(F.avg("count"), F.max("count")).first()
+    assert pairs[0] < 100 and pairs[1] < 400, pairs
+
+
+def test_nearest_join_keeps_ties(spark):
+    """A point just outside the first block is as near as one inside: the smaller place counts."""
+    right = spark.createDataFrame([(D, 0.5, 1.125, 1.0), (D, 0.125, 1.5, 2.0), (D, 0.125, 0.75, 3.0)], "date date, lat double, lon double, v double")
+    left = spark.createDataFrame([(1, D, 0.125, 1.125)], "sounding_id long, date date, latitude double, longitude double")
+    assert collocate.nearest_join(left, right, ["v"]).first().v == 3.0
+
+
 def test_rasters_and_hours(spark):
     pts = spark.createDataFrame([(1, 50.0, 100.0, 2020, 1), (2, 45.0, 105.0, 2020, 2), (3, 10.0, 99.0, 2020, 1)], "id int, latitude double, longitude double, year int, month int")
     raster = spark.createDataFrame([(0, 0, 7.0, 2020, 1), (1, 1, 8.0, 2020, 1)], "row int, col int, value double, year int, month int")
