@@ -1,17 +1,22 @@
 """Byte-level BPE token ids of whole texts.
 
 The ids are those of the public tokenizer file by the tokenizers library with ``add_special_tokens=False``: none is added, and the string of a
-special token in a text is that token. tiktoken runs the same vocabulary and merge ranks about four times as fast, and a test compares the two.
+special token in a text is that token. tiktoken runs the same vocabulary and merge ranks about four times as fast, and a test compares the two; its pattern engine overflows its stack on blank runs
+of some hundred thousand characters, so texts with a run of ``LONG_BLANK`` or more are left to tokenizers. The ids are the same either way.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import public_tokenizers
 import tiktoken
+import tokenizers
 
+LONG_BLANK = 50_000
+_LONG_BLANK = re.compile(rf"\s{{{LONG_BLANK}}}")
 DEFAULT = "byte_bpe_50k.json"
 
 
@@ -37,8 +42,15 @@ def byte_bpe(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=4)
+def _plain(path: str) -> tokenizers.Tokenizer:
+    return tokenizers.Tokenizer.from_file(path)
+
+
 def encode(text: str | None, path: str) -> list[int]:
     if not text:
         return []
+    if len(text) >= LONG_BLANK and _LONG_BLANK.search(text):
+        return _plain(path).encode(text, add_special_tokens=False).ids
     bpe = byte_bpe(path)
     return bpe.encode(text, allowed_special="all") if any(s in text for s in bpe.special_tokens_set) else bpe.encode_ordinary(text)

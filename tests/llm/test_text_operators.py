@@ -283,3 +283,24 @@ def test_shard_files(spark, tmp_path):
     sharding.write_shards(df, sharding.shard_by_bytes(df.select("doc_id", "text"), 3), str(tmp_path / "s")) if "shard" not in df.columns else sharding.write_shards(df.drop("shard"), sharding.shard_by_bytes(df, 3), str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 50 and back.select("shard").distinct().count() == 3
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "　", "\t ", "a", "^", " x"])
+def test_long_runs_of_one_character(run):
+    """Blank runs overflow the faster library's stack; the ids are those of tokenizers at every length."""
+    import tokenizers
+
+    path = tokens.default_path()
+    plain = tokenizers.Tokenizer.from_file(path)
+    for n in (tokens.LONG_BLANK - 1, tokens.LONG_BLANK, 1_000_000):
+        text = "x" + run * (n // len(run)) + "y"
+        assert tokens.encode(text, path) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_of_a_blank_document(spark):
+    rows = [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 5_000_000), (3, "c d")]
+    df = docs(spark, rows)
+    n = {i: len(tokens.encode(t, tokens.default_path())) for i, t in rows}
+    pieces = packing.cut_pieces(df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in pieces} == {i: k + 1 for i, k in n.items()}
+    assert sorted(r.n_tokens for r in lengths.encoded_lengths(df).collect()) == sorted(n.values())
