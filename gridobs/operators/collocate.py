@@ -25,7 +25,8 @@ def _distance2(y: str | Column, x: str | Column) -> Column:
 def _levels(points: DataFrame, on: str, cell: float, grow: int, span: float) -> tuple[list[DataFrame], float]:
     """The pyramid of occupied cells and the size of its finest: a table a level, the coarsest first: ``on, _cy, _cx`` (cell), ``_py, _px`` (cell of the level above), and the box around its points.
 
-    The finest cells hold ``LEAF`` points at most, unless points are nearer to each other than ``cell / grow ** FINEST``. A level is made from the one below, so only the finest reads points.
+    The finest cells hold ``LEAF`` points at most, unless points are nearer to each other than ``cell / grow ** FINEST``; the coarsest are ``LEAF`` a date at most, unless larger than ``span``.
+    A level is made from the one below, so only the finest reads points.
     """
     size, deeper = cell, 0
     while True:
@@ -37,13 +38,20 @@ def _levels(points: DataFrame, on: str, cell: float, grow: int, span: float) ->
             break
         size, deeper = size / grow, deeper + 1
     up = lambda c: F.floor(F.col(c) / F.lit(grow))
-    levels, smallest = [finest.drop("_n")], size
+    levels, smallest = [finest], size
     while size < span:
         size *= grow
         above = levels[-1].groupBy(on, up("_cy").alias("_cy"), up("_cx").alias("_cx")).agg(
-            F.min("_south").alias("_south"), F.max("_north").alias("_north"), F.min("_west").alias("_west"), F.max("_east").alias("_east"))
-        levels.append(cut(above))
-    return [level.withColumn("_py", up("_cy")).withColumn("_px", up("_cx")) for level in reversed(levels)], smallest
+            F.min("_south").alias("_south"), F.max("_north").alias("_north"), F.min("_west").alias("_west"), F.max("_east").alias("_east"), F.sum("_n").alias("_n"))
+        above = cut(above)
+        cells, most = above.groupBy(on).agg(F.count("*").alias("c"), F.max("_n").alias("m")).agg(F.max("c"), F.max("m")).first()
+        if most is not None and most <= LEAF:  # these are fine enough
+            levels, smallest = [above], size
+        else:
+            levels.append(above)
+        if cells is None or cells <= LEAF:
+            break
+    return [level.drop("_n").withColumn("_py", up("_cy")).withColumn("_px", up("_cx")) for level in reversed(levels)], smallest
 
 
 def _nearest_cells(asked: DataFrame, levels: list[DataFrame], on: str, key: str) -> DataFrame:
