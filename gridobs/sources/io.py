@@ -120,10 +120,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{named or tempfile.mkdtemp(prefix='gridobs-')}/{uuid.uuid4().hex}"
 
 
-def _dealt(df: DataFrame, keys: Sequence[str], files: int) -> DataFrame:
-    """Rows placed by ``keys``, those of one key over ``files`` tasks."""
-    salt = [F.pmod(F.xxhash64(*df.columns), F.lit(files))] if files > 1 else []
-    return df.repartition(*keys, *salt)
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows placed by ``keys`` in tasks of about the session's advisory size: Spark measures the shuffle, deals a key of many rows over several tasks and puts small keys together."""
+    return df.sparkSession.sql(f"SELECT /*+ REBALANCE({', '.join(f'`{k}`' for k in keys)}) */ * FROM {{df}}", df=df)
 
 
 def _sorted_files(df: DataFrame) -> DataFrame:
@@ -132,9 +131,9 @@ def _sorted_files(df: DataFrame) -> DataFrame:
     return df.sortWithinPartitions(*(["date"] if "date" in df.columns and "date" not in names else []), *names) if names else df
 
 
-def write_by_date(df: DataFrame, path: str, mode: str = "append", files_per_date: int = 1) -> None:
-    """One folder per date, zstd Parquet, files sorted by time; a date too large for one task is dealt out over ``files_per_date`` tasks."""
-    _sorted_files(_dealt(df, ["date"], files_per_date)).write.mode(mode).partitionBy("date").option("compression", "zstd").parquet(path)
+def write_by_date(df: DataFrame, path: str, mode: str = "append") -> None:
+    """One folder per date, zstd Parquet, files sorted by time; as many files as the date's size asks for."""
+    _sorted_files(_dealt(df, "date")).write.mode(mode).partitionBy("date").option("compression", "zstd").parquet(path)
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
@@ -174,13 +173,13 @@ def write_ml_ready(df: DataFrame, path: str) -> None:
     _sorted_files(df).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_by_sensor_year(df: DataFrame, path: str, fmt: str = "parquet", files: int = 1) -> None:
-    """A folder per sensor and year, each in ``files`` sorted files."""
-    _sorted_files(_dealt(df, ["sensor", "year"], files)).write.mode("overwrite").partitionBy("sensor", "year").option("header", True).format(fmt).save(path)
+def write_by_sensor_year(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """A folder per sensor and year, in sorted files of about equal size."""
+    _sorted_files(_dealt(df, "sensor", "year")).write.mode("overwrite").partitionBy("sensor", "year").option("header", True).format(fmt).save(path)
 
 
 def write_monthly_cube(cube: DataFrame, path: str) -> None:
-    cube.repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+    _dealt(cube, "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def new_files_only(incoming: DataFrame, done: DataFrame) -> DataFrame:
@@ -188,27 +187,58 @@ def new_files_only(incoming: DataFrame, done: DataFrame) -> DataFrame:
     return incoming.join(done.select("filename").distinct(), "filename", "left_anti")
 
 
+def finished_runs(spark: SparkSession, path: str) -> list[str]:
+    """Runs below ``path`` whose manifest is whole: Spark's committer writes its mark last."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/*/_SUCCESS")
+    marks = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found)
+    return sorted(m.getPath().getParent().getName() for m in marks or [])
+
+
+def finished_files(spark: SparkSession, path: str, key: str = "filename") -> DataFrame:
+    """Names of the files whose rows ``path`` holds, from the manifests alone."""
+    runs = finished_runs(spark, path)
+    return spark.read.schema(f"`{key}` string").parquet(*(f"{path}/manifest/{r}" for r in runs)) if runs else spark.createDataFrame([], f"`{key}` string")
+
+
+def _write_manifest(spark: SparkSession, path: str, run: str, key: str) -> None:
+    written = spark.read.parquet(f"{path}/data/run={run}").select(F.col(key).cast("string").alias(key))
+    written.distinct().coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{run}")
+
+
+def append_run(rows: DataFrame, path: str, run: str, partition_by: Sequence[str] = (), key: str = "filename") -> None:
+    """Write ``rows`` as the run ``run`` of ``path``: data first, then the manifest of their files, which makes the run count.
+
+    A run that has its manifest is left as it is; one that broke off before is written anew, so a repeated call gives every row once.
+    """
+    spark = rows.sparkSession
+    if run in finished_runs(spark, path):
+        return
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/data/run={run}")
+    _write_manifest(spark, path, run, key)
+
+
 def append_new_files(incoming: DataFrame, path: str) -> None:
-    """Append the rows of files that ``path`` doesn't hold yet."""
-    spark = incoming.sparkSession
-    try:
-        done = spark.read.parquet(path)
-    except Exception as e:  # the first run
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = incoming.limit(0)
-    new_files_only(incoming, done).write.mode("append").parquet(path)
-
-
-def write_splits(df: DataFrame, path: str, files: int = 8) -> None:
-    """Rows by split, each in ``files`` sorted files, and one line of metadata (rows per split) beside them."""
-    _sorted_files(_dealt(df, ["split"], files)).write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
+    """Append the rows of files that no finished run of ``path`` holds yet."""
+    append_run(new_files_only(incoming, finished_files(incoming.sparkSession, path)), path, f"files-{uuid.uuid4().hex}")
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the finished runs of ``path``; what an unfinished run left is not read. Without finished runs there is nothing to read (ValueError)."""
+    runs = finished_runs(spark, path)
+    if not runs:
+        raise ValueError(f"no finished run below {path}")
+    return spark.read.option("basePath", f"{path}/data").parquet(*(f"{path}/data/run={r}" for r in runs)).drop("run")
+
+
+def write_splits(df: DataFrame, path: str) -> None:
+    """Rows by split in sorted files of about equal size, and one line of metadata (rows per split) beside them."""
+    _sorted_files(_dealt(df, "split")).write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
     counts = df.groupBy("split").count()
     counts.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "count"))))).alias("value")).write.mode("overwrite").text(f"{path}/metadata")
 
 
 def write_inventory(df: DataFrame, path: str) -> None:
-    df.repartition("year", "sector").write.mode("overwrite").partitionBy("year", "sector").option("header", True).csv(path)
+    _dealt(df, "year", "sector").write.mode("overwrite").partitionBy("year", "sector").option("header", True).csv(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

@@ -244,11 +244,11 @@ def test_files(spark, tmp_path):
     df = spark.createDataFrame([("20200101", "f1", 1, "s", 2020, "train", 1.0), ("20200102", "f2", 2, "t", 2021, "test", 2.0)], "date string, filename string, v int, sensor string, year int, split string, fluxes double").withColumn("sector", F.col("sensor"))
     out = str(tmp_path / "out")
     io.write_by_date(df, out)
-    io.write_by_date(df, out, files_per_date=2)
+    io.write_by_date(df, out)
     assert spark.read.parquet(out).count() == 4 and spark.read.parquet(out).where("date = 20200101").count() == 2
     io.append_new_files(df.limit(1), out + "new")
     io.append_new_files(df, out + "new")
-    assert spark.read.parquet(out + "new").count() == 2
+    assert io.read_appended(spark, out + "new").count() == 2 and sorted(r[0] for r in io.finished_files(spark, out + "new").collect()) == ["f1", "f2"]
     io.write_by_sensor_year(df, out + "sy")
     io.write_splits(df, out + "splits")
     io.write_inventory(df, out + "inv")
@@ -310,11 +310,89 @@ def test_pixel_stream_takes_each_file_once(spark, tmp_path):
     batch.write.parquet(src)
     for _ in range(2):
         stream.ingest_pixels_stream(spark, src, out, check, batch.schema).awaitTermination()
-        got = spark.read.parquet(out).collect()
+        got = io.read_appended(spark, out).collect()
         assert [(str(r.date), r.time_end, r.no2_tvcd_umol) for r in got] == [("20200101", "20200101T020304", 1.0)]
     batch.write.mode("append").parquet(src)
     stream.ingest_pixels_stream(spark, src, out, check, batch.schema).awaitTermination()
-    assert spark.read.parquet(out).count() == 2
+    assert io.read_appended(spark, out).count() == 2
+
+
+def test_append_that_breaks_off_gives_every_file_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame([(f"f{i // 3}", i) for i in range(9)], "filename string, v int")
+    keep = io._write_manifest
+
+    def breaks(*a):
+        raise OSError("lost between data and manifest")
+
+    io.append_new_files(df.where("filename = 'f0'"), path)
+    monkeypatch.setattr(io, "_write_manifest", breaks)
+    with pytest.raises(OSError):
+        io.append_new_files(df.where("filename <> 'f2'"), path)
+    assert io.read_appended(spark, path).count() == 3  # what the broken run left does not count
+    monkeypatch.setattr(io, "_write_manifest", keep)
+    io.append_new_files(df, path)
+    io.append_new_files(df, path)
+    assert sorted(r.v for r in io.read_appended(spark, path).collect()) == list(range(9))
+    with pytest.raises(ValueError, match="no finished run"):
+        io.read_appended(spark, str(tmp_path / "none"))
+
+
+def test_stream_batch_that_breaks_off_gives_every_file_once(spark, tmp_path, monkeypatch):
+    schema = "filename string, lat double, lon double, no2_tvcd double, qa double"
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    rows = [(f"S5P____2020010{d}T010203_2020010{d}T020304.nc", 30.0, 120.0, 1e-6, 0.9) for d in (1, 2, 3)]
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    keep, calls = io._write_manifest, []
+
+    def breaks_once(*a):
+        calls.append(a)
+        if len(calls) == 1:
+            raise OSError("lost between data and manifest")
+        keep(*a)
+
+    monkeypatch.setattr(io, "_write_manifest", breaks_once)
+    with pytest.raises(Exception, match="lost between"):
+        stream.ingest_pixels_stream(spark, src, out, check, spark.createDataFrame([], schema).schema).awaitTermination()
+    for _ in range(2):
+        stream.ingest_pixels_stream(spark, src, out, check, spark.createDataFrame([], schema).schema).awaitTermination()
+    assert sorted(str(r.date) for r in io.read_appended(spark, out).collect()) == ["20200101", "20200102", "20200103"] and len(calls) == 2
+
+
+def test_super_observations_are_appended_once(spark, tmp_path):
+    """Three micro-batches with a stop in between, one row behind the watermark: what is written equals a batch over the rows in time."""
+    schema = "time timestamp, lat_idx int, lon_idx int, xco2 double, tropomi_no2 double"
+    day = lambda d, k: (dt.datetime(2020, 1, d, 6 + k), k % 2, 0, 400.0 + d + k, float(d * k))
+    batches = [[day(d, k) for d in (1, 2, 3) for k in range(4)], [day(d, k) for d in (2, 3, 6, 8) for k in range(5)], [day(1, 9), *(day(d, k) for d in (7, 8, 20) for k in range(3))]]
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    late, sizes = 0, []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        q = stream.write_super_observations(spark.readStream.schema(schema).parquet(src), out, check)
+        q.awaitTermination()
+        late += stream.late_rows(q)
+        sizes.append(spark.read.parquet(out).count())
+    in_time = spark.createDataFrame([r for b in batches for r in b if r != day(1, 9)], schema)
+    batch = in_time.withColumn("date", F.to_date("time")).groupBy("date", "lat_idx", "lon_idx").agg(F.median("xco2").alias("xco2"), F.median("tropomi_no2").alias("tropomi_no2"), F.count("xco2").alias("n_soundings"))
+    want = sorted(map(tuple, batch.where("date < '2020-01-18'").collect()))  # the last day's watermark is two days before it
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == want and len(want) == 12
+    assert late == 1 and sizes == [0, 6, 12]
+
+
+def test_files_follow_the_size_of_a_date(spark, tmp_path):
+    """One hot date goes into several files, sparse ones into one each."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 1000 == 0, F.concat(F.lit("2020010"), F.col("id") % 7 + 2)).otherwise("20200101").alias("date"), F.col("id").alias("time"), F.hex(F.xxhash64("id")).alias("v"))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500k")
+    try:
+        io.write_by_date(df, str(tmp_path / "d"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    files = {r.d: r.n for r in spark.read.parquet(str(tmp_path / "d")).select(F.regexp_extract("_metadata.file_path", "date=([0-9]+)", 1).alias("d"), F.col("_metadata.file_name").alias("f")).distinct().groupBy("d").agg(F.count("*").alias("n")).collect()}
+    assert files["20200101"] >= 3 and max(n for d, n in files.items() if d != "20200101") == 1 and len(files) == 8
+    for path in {r[0] for r in spark.read.parquet(str(tmp_path / "d")).select("_metadata.file_path").distinct().collect()}:
+        times = [r.time for r in spark.read.parquet(path).collect()]
+        assert times == sorted(times)
 
 
 def test_super_observation_stream_equals_batch(spark, tmp_path):
