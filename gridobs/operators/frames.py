@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +58,52 @@ def score(df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series], out: str
             yield b.assign(**{out: predict(b)})
 
     return df.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out}` double")
+
+
+def score_sequences(windows: DataFrame, predict: Callable[[np.ndarray], np.ndarray], channels: Sequence[str], grid: Grid = Grid(res=0.25), length: int = 3, batch: int = 8, out: str = "prediction") -> DataFrame:
+    """``seq, date, lat_idx, lon_idx, <out>``: a user's grid model on every window of ``sequences``, for the cells observed in its last step.
+
+    ``predict`` gets up to ``batch`` windows as a dense array (window, step, channel, latitude, longitude), absent cells 0, and returns (window, latitude, longitude). A window's rows
+    meet in one task, sorted, so a task holds ``batch`` dense windows at a time, whose size the grid gives, whatever the number of windows.
+    """
+    shape = (batch, length, len(channels), grid.n_lat, grid.n_lon)
+    names = ["seq", "date", *K, out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense, seen = np.zeros(shape), np.zeros((batch, *shape[3:]), dtype=bool)
+        ids: list[int] = []
+        dates: list = []
+
+        def scored() -> pa.RecordBatch:
+            n = len(ids)
+            which, lat, lon = np.nonzero(seen[:n])
+            value = np.asarray(predict(dense[:n]), dtype=float)[which, lat, lon]
+            columns = [pa.array(np.array(ids)[which]), pa.array(dates, pa.date32()).take(pa.array(which)), pa.array(lat.astype(np.int32)), pa.array(lon.astype(np.int32)), pa.array(value)]
+            dense[:n], seen[:n] = 0, False
+            ids.clear()
+            dates.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for b in batches:
+            seq, step, lat, lon = (b.column(c).to_numpy() for c in ("seq", "step", *K))
+            mark, values = b.column("_mark").to_numpy(zero_copy_only=False), [b.column(f"_c{i}").to_numpy() for i in range(len(channels))]
+            starts = np.flatnonzero(np.concatenate(([True], seq[1:] != seq[:-1]))) if len(seq) else []
+            for a, z in zip(starts, [*starts[1:], len(seq)]):
+                if not ids or ids[-1] != seq[a]:
+                    if len(ids) == batch:
+                        yield scored()
+                    ids.append(int(seq[a]))
+                    dates.append(None)
+                at = len(ids) - 1
+                for i, v in enumerate(values):
+                    dense[at, step[a:z], i, lat[a:z], lon[a:z]] = v[a:z]
+                seen[at, lat[a:z][mark[a:z]], lon[a:z][mark[a:z]]] = True
+                last = np.flatnonzero(step[a:z] == length - 1)
+                if len(last):
+                    dates[at] = b.column("date")[int(a + last[0])].as_py()
+        if ids:
+            yield scored()
+
+    mark = F.coalesce(F.col("observed") & F.col("is_target"), F.lit(False)).alias("_mark")
+    rows = windows.select(F.col("seq").cast("long"), F.col("step").cast("int"), "date", *(F.col(k).cast("int") for k in K), mark, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_c{i}") for i, c in enumerate(channels)))
+    return rows.repartition("seq").sortWithinPartitions("seq").mapInArrow(run, f"seq long, date date, lat_idx int, lon_idx int, `{out}` double")

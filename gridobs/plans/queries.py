@@ -683,6 +683,23 @@ def sequences(spark, sf):
     return frames.sequences(zonal(spark, sf)).groupBy("seq", "step", "date").agg(F.count("*").alias("n"), F.sum("xco2_anomaly").alias("total"))
 
 
+def _grid_model(x):
+    """A fixed linear model: two channels of three days, and the western neighbour's first channel on the last."""
+    out = 0.25 + 0.01 * x[:, 2, 0] + 0.005 * x[:, 1, 0] - 0.003 * x[:, 0, 0] + 0.1 * x[:, 2, 1]
+    out[:, :, 1:] += 0.02 * x[:, 2, 0, :, :-1]
+    return out
+
+
+@query("#seq date %lat_idx %lon_idx ^prediction", _Z + """, f AS (SELECT date, lat_idx, lon_idx, coalesce(xco2_anomaly <> 0, false) AS observed, coalesce(tropomi_no2, 0) AS no2, coalesce(era5_u10, 0) AS u FROM z),
+t AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t, count(*) OVER () AS k FROM (SELECT DISTINCT date FROM f)), w AS (SELECT c.t - 2 AS seq, a.date AS d0, b.date AS d1, c.date AS d2 FROM t c JOIN t b ON b.t = c.t - 1 JOIN t a ON a.t = c.t - 2 WHERE c.t - 2 < c.k - 3)
+SELECT seq, d2 AS date, c.lat_idx, c.lon_idx, 0.25e0 + 0.01e0 * c.no2 + 0.005e0 * coalesce(b.no2, 0) - 0.003e0 * coalesce(a.no2, 0) + 0.1e0 * c.u + 0.02e0 * coalesce(e.no2, 0) AS prediction
+FROM w JOIN f c ON c.date = d2 LEFT JOIN f b ON b.date = d1 AND b.lat_idx = c.lat_idx AND b.lon_idx = c.lon_idx LEFT JOIN f a ON a.date = d0 AND a.lat_idx = c.lat_idx AND a.lon_idx = c.lon_idx
+LEFT JOIN f e ON e.date = d2 AND e.lat_idx = c.lat_idx AND e.lon_idx = c.lon_idx - 1 WHERE c.observed""")
+def score_sequences(spark, sf):
+    made = frames.daily_frames(zonal(spark, sf), ["xco2_anomaly", "tropomi_no2", "era5_u10"], G5)
+    return frames.score_sequences(frames.sequences(made), _grid_model, ["tropomi_no2", "era5_u10"], G5)
+
+
 EQUATIONS = {
     "mean": ("0.5D + 0 * tropomi_no2", 3), "linear": ("tropomi_no2 / 100D", 5), "wind": ("tropomi_no2 / (era5_blh + 1000D)", 9),
     "root": ("sqrt(abs(tropomi_no2)) / 10D - 0.5D", 15), "long": ("(tropomi_no2 - 50D) / 50D + era5_u10 / 10D", 22),

@@ -302,6 +302,28 @@ def test_score_and_weights(spark):
     assert stats.hotspot_weight(df, "x").where("weight = 5").count() == 1
 
 
+@pytest.mark.parametrize("batch", [1, 4, 100])
+def test_sequences_are_scored_as_dense_frames(spark, batch):
+    rng = np.random.default_rng(9)
+    g = C.Grid(res=10.0)
+    rows = [(D + dt.timedelta(int(d)), int(k // g.n_lon), int(k % g.n_lon), bool(rng.random() < 0.7), float(rng.normal()), float(rng.normal()) if rng.random() < 0.9 else None)
+            for d in (0, 1, 2, 4, 5, 9, 12, 13) for k in rng.choice(g.n_lat * g.n_lon, rng.integers(1, 9), replace=False)]
+    df = spark.createDataFrame(rows, "date date, lat_idx int, lon_idx int, observed boolean, a double, b double")
+    model = lambda x: np.cumsum(x[:, 0, 0] - 2 * x[:, 1, 1] + x[:, 2, 0] * 3, axis=1) + x.sum(axis=(1, 2, 3, 4))[:, None, None]
+    got = {(r.seq, r.date, r.lat_idx, r.lon_idx): r.prediction for r in frames.score_sequences(frames.sequences(df), model, ["a", "b"], g, batch=batch).collect()}
+    days = sorted({r[0] for r in rows})
+    want = {}
+    for s in range(len(days) - 3):
+        x = np.zeros((1, 3, 2, g.n_lat, g.n_lon))
+        for d, i, j, _, a, b in rows:
+            if d in days[s : s + 3]:
+                x[0, days[s : s + 3].index(d), :, i, j] = a, b or 0
+        y = model(x)[0]
+        want |= {(s, d, i, j): pytest.approx(y[i, j]) for d, i, j, seen, *_ in rows if d == days[s + 2] and seen}
+    assert got == want and len(want) > 5
+    assert frames.score_sequences(frames.sequences(df.limit(0)), model, ["a", "b"], g).count() == 0
+
+
 def test_pixel_stream_takes_each_file_once(spark, tmp_path):
     schema = "filename string, lat double, lon double, no2_tvcd double, qa double"
     name = "S5P____20200101T010203_20200101T020304.nc"
