@@ -83,11 +83,11 @@ def apply_tiered_baseline(df: DataFrame, grid_clim: DataFrame, region_clim: Data
     return out.where("xco2_anomaly IS NOT NULL").drop("clim", "region_clim", "global_clim", "delta", "region_delta")
 
 
-def tiered_anomaly(df: DataFrame, regions: tuple[Region, ...] = REGIONS, apply_to: DataFrame | None = None) -> DataFrame:
-    """Fit all lookups on ``df`` (labelled, with calendar columns) and apply them to it, or to another sensor's rows."""
+def tiered_anomaly(df: DataFrame, regions: tuple[Region, ...] = REGIONS, apply_to: DataFrame | None = None, with_tier: bool | None = None) -> DataFrame:
+    """Fit all lookups on ``df`` (labelled, with calendar columns) and apply them to it, or to another sensor's rows (then without ``baseline_tier`` unless asked for)."""
     cells = valid_cells_by_region(df, regions)
     lookups = (monthly_climatology(df, cells), region_climatology(df), global_climatology(df), yearly_deviation_by_region(df, cells, regions), region_deviation(df))
-    return apply_tiered_baseline(df if apply_to is None else apply_to, *lookups, with_tier=apply_to is None)
+    return apply_tiered_baseline(df if apply_to is None else apply_to, *lookups, with_tier=apply_to is None if with_tier is None else with_tier)
 
 
 def tier_distribution(df: DataFrame) -> DataFrame:

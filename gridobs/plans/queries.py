@@ -7,6 +7,7 @@ tested in tests/ only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from statistics import NormalDist
 
@@ -305,6 +306,27 @@ def tier_distribution(spark, sf):
     return baseline.tier_distribution(baseline.tiered_anomaly(supers(spark, sf)))
 
 
+# A sensor that misses months, years and cells, so that every tier is needed for the rows of the other.
+_SPARSE = """NOT (eaic_region IN ('NCP', 'JKT') AND month <= 3) AND NOT (eaic_region = 'KCR' AND year = 2000) AND year <> 2001 AND NOT (month = 12 AND lat_idx >= 2)
+ AND ((lat_idx + lon_idx) % 3 <> 0 OR month = 5) AND NOT (year = 1996 AND (lat_idx * 3 + lon_idx) % 4 = 0)"""
+_TB = _O + f",\nob AS (SELECT * FROM o WHERE {_SPARSE})" + (lambda lookups, applied: re.sub(r"\bo\b", "ob", lookups) + "\nt AS (" + applied)(*_T[len(_O):].split("\nt AS ("))
+
+
+def _sparse_tiers(spark, sf, with_tier):
+    rows = supers(spark, sf)
+    return baseline.tiered_anomaly(rows.where(_SPARSE), apply_to=rows, with_tier=with_tier)
+
+
+@query("date %lat_idx %lon_idx eaic_region ~xco2_baseline ~xco2_anomaly", _TB + "SELECT *, xco2 - xco2_baseline AS xco2_anomaly FROM t WHERE xco2 - xco2_baseline IS NOT NULL")
+def tiered_cross_sensor(spark, sf):
+    return _sparse_tiers(spark, sf, None)
+
+
+@query("%baseline_tier eaic_region #n ~mean_baseline", _TB + "SELECT baseline_tier, eaic_region, count(*) AS n, avg(xco2_baseline) AS mean_baseline FROM t WHERE xco2 - xco2_baseline IS NOT NULL GROUP BY 1, 2")
+def tiers_of_a_sparse_sensor(spark, sf):
+    return _sparse_tiers(spark, sf, True).groupBy("baseline_tier", "eaic_region").agg(F.count("*").alias("n"), F.avg("xco2_baseline").alias("mean_baseline"))
+
+
 @query("date %lat_idx %lon_idx ~xco2_background ~xco2_anomaly", _Z + "SELECT * FROM z")
 def zonal_background(spark, sf):
     return zonal(spark, sf)
