@@ -6,6 +6,7 @@ Missing is NULL everywhere (see ``null_if_missing``); functions keep NULL as NUL
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -180,3 +181,9 @@ def granule_part(name: str | Column, part: str) -> Column:
     times = F.element_at(F.split(col(name), "____"), -1)
     begin, n = {"date": (1, 8), "time_start": (1, 15), "time_end": (17, 15)}[part]
     return F.substring(times, begin, n)
+
+
+def tile_name(row: Column, col: Column, tile: int, by: Sequence[str] = ()) -> Column:
+    """Name of the tile of ``tile`` x ``tile`` pixels, one text for its ``by`` and place: a scan prunes partitions column by column, so one column is pruned exactly. NULL without a place."""
+    place = [F.floor(c / F.lit(tile)).cast("string") for c in (row, col)]
+    return F.when(row.isNotNull() & col.isNotNull(), F.concat_ws("_", *(F.col(b).cast("string") for b in by), *place))

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridobs.functions.columns import wind_direction, wind_speed
-from gridobs.operators.tables import cut
+from gridobs.functions.columns import tile_name, wind_direction, wind_speed
+from gridobs.operators.tables import cut, with_rows_of
 
 
 #: Points of a bucket that a point may be compared with one by one; points of a cell that is not divided any more.
@@ -142,6 +142,18 @@ def sample_raster(df: DataFrame, raster: DataFrame, transform: Transform, out: s
     return points.join(pixels, same, "left").withColumn(out, F.col("_value")).drop("_row", "_col", "_r", "_c", "_value", *(f"_{b}" for b in by))
 
 
+def sample_tiles(df: DataFrame, tiles: DataFrame, transform: Transform, out: str, tile: int = 1024, by: Sequence[str] = ("year", "month")) -> DataFrame:
+    """The same from a table that ``io.write_raster_tiles`` wrote: of a raster of any size only the tiles of the months that points lie in are read.
+
+    The touched tiles are found first, a row each; the scan of the raster prunes its partitions by them while it runs.
+    """
+    row = F.floor((F.lit(transform.lat_top) - F.col("latitude")) / F.lit(transform.step))
+    column = F.floor((F.col("longitude") - F.lit(transform.lon_left)) / F.lit(transform.step))
+    touched = df.select(tile_name(row, column, tile, by).alias("tile")).distinct()
+    read = with_rows_of(tiles, cut(touched).where("tile > ''"), ["tile"], "left_semi")
+    return sample_raster(df, read, transform, out, by)
+
+
 def overpass_hours(granules: DataFrame) -> DataFrame:
     """``date, hour``: every whole hour from start to end of a distinct granule; none if the end's hour is before the start's."""
     h0, h1 = F.hour("time_start"), F.hour("time_end")

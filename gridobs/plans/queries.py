@@ -625,6 +625,14 @@ def raster_sample(spark, sf):
     return collocate.sample_raster(s, view(spark, sf, "raster_monthly"), collocate.Transform(), "emission", by=["year", "month"])
 
 
+@query("sounding_id ~emission", cte("soundings", "raster_monthly") + """
+SELECT s.sounding_id, b.value AS emission FROM v_soundings s LEFT JOIN v_raster_monthly b ON b."row" = floor((50 - latitude) / 5) AND b.col = floor((longitude - 100) / 5) AND b.year = year(s.date) AND b.month = month(s.date)""")
+def raster_tiles(spark, sf):
+    folder = io.scratch_dir(spark)
+    io.write_raster_tiles(view(spark, sf, "raster_monthly"), folder, 3)
+    return collocate.sample_tiles(grid.calendar_cols(soundings(spark, sf)), spark.read.parquet(folder), collocate.Transform(), "emission", 3)
+
+
 @query("date %hour", cte("granules") + "SELECT DISTINCT date, unnest(range(hour(time_start), hour(time_end) + 1)) AS hour FROM v_granules WHERE hour(time_end) >= hour(time_start)")
 def overpass_hours(spark, sf):
     return collocate.overpass_hours(view(spark, sf, "granules"))

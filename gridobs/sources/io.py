@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, DoubleType, NumericType
 
-from gridobs.functions.columns import null_if_missing
+from gridobs.functions.columns import null_if_missing, tile_name
 
 #: Columns kept of a sounding file, with the types to read them as.
 SOUNDING_COLUMNS = {
@@ -182,6 +182,12 @@ def write_monthly_cube(cube: DataFrame, path: str) -> None:
     _dealt(cube, "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def write_raster_tiles(raster: DataFrame, path: str, tile: int = 1024, by: Sequence[str] = ("year", "month")) -> None:
+    """A raster's pixels (``row, col, value`` and ``by``) in a folder per month and tile of ``tile`` x ``tile`` pixels, for ``collocate.sample_tiles``."""
+    tiled = raster.select(*by, "row", "col", "value", tile_name(F.col("row"), F.col("col"), tile, by).alias("tile"))
+    _dealt(tiled, "tile").sortWithinPartitions("tile", "row", "col").write.mode("overwrite").partitionBy("tile").option("compression", "zstd").parquet(path)
+
+
 def new_files_only(incoming: DataFrame, done: DataFrame) -> DataFrame:
     """Rows of files that the output doesn't have yet."""
     return incoming.join(done.select("filename").distinct(), "filename", "left_anti")

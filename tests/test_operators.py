@@ -223,6 +223,23 @@ def test_rasters_and_hours(spark):
     assert sorted(r.hour for r in collocate.overpass_hours(gr).collect()) == [3, 4, 5]
 
 
+def test_only_touched_tiles_are_read(spark, tmp_path):
+    path, t = str(tmp_path / "tiles"), collocate.Transform(50.0, 100.0, 0.5)
+    raster = spark.range(60 * 100 * 2).select((F.col("id") % 60).cast("int").alias("row"), (F.floor(F.col("id") / 60) % 100).cast("int").alias("col"), F.lit(2020).alias("year"), (F.floor(F.col("id") / 6000) + 1).cast("int").alias("month"), F.col("id").cast("double").alias("value"))
+    io.write_raster_tiles(raster, path, 16)
+    rows = [(1, 49.9, 100.1, 2020, 1), (2, 45.0, 101.0, 2020, 1), (3, 30.2, 140.3, 2020, 2), (4, 10.0, 99.0, 2020, 1), (5, None, 100.0, 2020, 1), (6, 30.2, 140.3, 2021, 2)]
+    pts = spark.createDataFrame(rows, "id int, latitude double, longitude double, year int, month int")
+    got = collocate.sample_tiles(pts, spark.read.parquet(path), t, "v", 16)
+    assert "dynamicpruning" in got._jdf.queryExecution().toString()
+    touched = {"tile=2020_1_0_0", "tile=2020_2_2_5"}
+    files = list((tmp_path / "tiles").rglob("*.parquet"))
+    for f in files:  # a tile that no point lies in can't be read any more
+        if f.parent.name not in touched:
+            f.write_bytes(b"not a file of columns")
+    want = {r.id: r.v for r in collocate.sample_raster(pts, raster, t, "v", ["year", "month"]).collect()}
+    assert {r.id: r.v for r in got.collect()} == want and want[1] == 0.0 and want[2] is not None and want[3] is not None and len(files) > 40
+
+
 def test_missing_values(spark, tmp_path):
     df = spark.createDataFrame([(1.0, -9999, -5.0, "1.5"), (float("nan"), 3, 2.0, "x"), (None, 4, None, "2")], "a double, b int, population_density double, s string")
     got = [tuple(r) for r in io.normalize_missing(df, {"b": -9999}).collect()]
