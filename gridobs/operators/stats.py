@@ -202,3 +202,20 @@ def qq_fit(points: DataFrame) -> DataFrame:
 
 def date_coverage(df: DataFrame) -> DataFrame:
     return df.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count_distinct("date").alias("n_dates"), F.count_distinct(F.trunc("date", "MM")).alias("n_months"), F.count("*").alias("n_rows"))
+
+
+def distinct_partials(df: DataFrame, number: Column, by: Sequence[str] = ("date",)) -> DataFrame:
+    """``by, bucket, bits``: which values of ``number`` (a whole number from 0) occur in each part, as bitmaps of 32,768 values; NULL is left out. Kept by day, they are merged without the rows."""
+    n = number.cast("long")
+    rows = df.where(n.isNotNull()).select(*by, F.bitmap_bucket_number(n).alias("bucket"), F.bitmap_bit_position(n).alias("_bit"))
+    return rows.groupBy(*by, "bucket").agg(F.bitmap_construct_agg("_bit").alias("bits"))
+
+
+def merged_distinct(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by, n_distinct``: exact number of values in all the parts together."""
+    merged = partials.groupBy(*by, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("_n"))
+    return merged.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_distinct"))
+
+
+def month_number(date: str = "date") -> Column:
+    return F.year(date) * 12 + F.month(date) - 1

@@ -541,6 +541,14 @@ def huber_weighted(spark, sf):
     return stats.weighted_huber(predictions(spark, sf).withColumn("weight", F.col("lat_idx") + F.lit(1)), "true_xco2", "pred_xco2", "weight")
 
 
+@query("%lat_idx #n_months #n_cells", _O + "SELECT lat_idx, count(DISTINCT year_month) AS n_months, count(DISTINCT (lat_idx, lon_idx)) AS n_cells FROM o GROUP BY 1")
+def distinct_from_days(spark, sf):
+    """Distinct months and cells by latitude row, merged from partial results by day (D5, D6, D32)."""
+    rows = supers(spark, sf)
+    months, cells = (stats.merged_distinct(stats.distinct_partials(rows, n, ["date", "lat_idx"]), ["lat_idx"]) for n in (stats.month_number(), F.col("lat_idx") * G5.n_lon + F.col("lon_idx")))
+    return months.withColumnRenamed("n_distinct", "n_months").join(cells.withColumnRenamed("n_distinct", "n_cells"), "lat_idx")
+
+
 _QQ = 200
 _NORMAL = ", ".join(  # the normal side, from the order statistics' medians
     f"({k}, {NormalDist().inv_cdf(1 - 0.5 ** (1 / _QQ) if k == 0 else 0.5 ** (1 / _QQ) if k == _QQ - 1 else (k + 1 - 0.3175) / (_QQ + 0.365))!r}e0)" for k in range(_QQ))

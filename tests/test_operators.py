@@ -450,6 +450,15 @@ def test_lookups_are_broadcast(spark):
     assert "BroadcastHashJoin" in qc.outlier_filter(df)._jdf.queryExecution().toString()
 
 
+def test_distinct_values_merge_from_partial_results(spark):
+    rows = [(D + dt.timedelta(int(i) % 2), int(v)) for i, v in enumerate(np.random.default_rng(1).integers(0, 100_000, 3000))] + [(D, 0), (D, 32_767), (D, 32_768), (D + dt.timedelta(1), 0), (D, None)]
+    df = spark.createDataFrame(rows, "date date, v long")
+    days = [stats.distinct_partials(df.where(F.col("date") == D + dt.timedelta(k)), F.col("v")) for k in range(2)]
+    n = len({v for _, v in rows if v is not None})
+    assert stats.merged_distinct(days[0].union(days[1])).first().n_distinct == stats.merged_distinct(stats.distinct_partials(df, F.col("v"))).first().n_distinct == n
+    assert stats.merged_distinct(stats.distinct_partials(df.limit(0), F.col("v"))).first().n_distinct == 0
+
+
 def test_grouped_quantiles(spark):
     from gridobs.operators.quantiles import grouped_quantiles
 
