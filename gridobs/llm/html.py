@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea title noscript iframe noembed xmp svg math object canvas select datalist".split())
+#: Elements whose text is never shown, or belongs to a picture or a form.
+RAW = frozenset("script style template textarea title noscript iframe noembed xmp svg select datalist annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -37,61 +38,93 @@ _SURE = re.compile(
 )
 _MAYBE = re.compile(r"(?:^|[\s_-])(?:foot\w*|side|related|recommend\w*|notices?|alerts?|register|search\w*|legal|tags|meta|byline|toc|form)(?:$|[\s_-])")
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|post|story|main|body|text|prose|page)(?:$|[\s_-])")
+#: What readers wrote; of the sure words, those that an article can also be about; and names that tell of another element.
+_COMMENT = re.compile(r"(?:^|\s)(?:comments?|commentlist|respond|repl(?:y|ies)|disqus)(?:$|[\s_-])")
+_READERS_ARTICLE = re.compile(r"(?:^|\s)(?:comment|comment-body|reply)(?:$|\s)")
+_TOPIC = re.compile(r"(?:^|[\s_-])(?:share|sharing|social|discussion|banners?|menus?|widgets?|copyright|disclaimer|login|skip)(?=$|[\s_-])")
+_OF_ANOTHER = re.compile(r"(?:^|(?<=\s))(?:has|no|not|with|without)[_-]\S+")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\b\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.IGNORECASE)
+#: Unlinked words of a finished sentence that make a block prose.
+PROSE_WORDS = 20
 
 
-@dataclass(slots=True)
-class Block:
-    """A text block: the numbers of the elements around it, its own tag, its linked characters, and what its elements say: ``region`` of a boilerplate tag
-    or role, ``named`` 1 for doubtful and 2 for sure boilerplate names, one more if it is the block's own name, ``content`` of an article's element."""
+@dataclass(slots=True, eq=False)
+class Element:
+    """An open or closed element. ``at`` is its place among the open ones, ``block`` the nearest block element (itself included), ``depth`` the number of
+    block elements around it. ``judge`` sets the rest."""
 
-    text: str
-    path: tuple[int, ...]
     tag: str
-    links: int
-    region: bool
-    named: int
-    content: bool
+    parent: Element | None
+    at: int = 0
+    block: Element | None = None
+    depth: int = 0
+    marks: dict[str, str] | None = None
+    link: bool = False
+    prose: int = 0
+    long: bool = False
+    anchor: int = 0
+    region: bool = False
+    hidden: bool = False
+    named: int = 0
+    own: bool = False
+    content: bool = False
+    readers: bool = False
 
 
 @dataclass(slots=True)
-class Element:
+class Block:
+    """A text block: the element that its text stands in, the block element around its own, its own tag, its linked characters, and what its elements say:
+    ``region`` of a boilerplate tag or role, ``named`` 1 for doubtful and 2 for sure boilerplate names, one more if it is the block's own name, ``content`` of
+    an article's element."""
+
+    text: str
+    last: Element
+    around: Element
     tag: str
-    number: int
+    links: int
     region: bool = False
     named: int = 0
-    own: bool = False
     content: bool = False
-    link: bool = False
 
+    @property
+    def prose(self) -> int:
+        """Its words, if it is a finished sentence of some length without many links; else 0."""
+        n = self.text.count(" ") + 1
+        return n if n >= PROSE_WORDS and self.text[-1] in ".!?…\"”»" and self.links <= 0.2 * (len(self.text) - n + 1) else 0
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. Comments, scripts, styles, the head and other elements that show no text are left out."""
-    out: list[Block] = []
-    stack = [Element("", 0)]
+
+def parse(page: str) -> tuple[list[Element], list[Block]]:
+    """All elements, each after its parent, and the text blocks in page order. Comments, scripts, styles and other elements that show no text are left out."""
+    root = Element("", None)
+    root.block = root
+    elements, out, stack = [root], [], [root]
+    open_: dict[str, list[int]] = {}
     text: list[str] = []
-    state = {"links": 0, "n": 0}
+    links = 0
+
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            open_[x.tag].pop()
+        del stack[k:]
 
     def flush() -> None:
+        nonlocal links
         if text:
             said = " ".join("".join(text).split())
             if said:
-                around = [x for x in stack if x.tag in BLOCK or not x.tag]
-                own, last = around[-1], stack[-1]
-                path = tuple(x.number for x in around[:-1]) or (0,)
-                # inline elements can hold the region too
-                named = max(own.named, last.named)
-                out.append(Block(said, path, own.tag, state["links"], own.region or last.region, named + (1 if named and (own.own or last.own) else 0), own.content or last.content))
+                own = stack[-1].block
+                out.append(Block(said, stack[-1], own.parent.block if own.parent else own, own.tag, links))
             text.clear()
-        state["links"] = 0
+        links = 0
 
     def say(s: str) -> None:
+        nonlocal links
         if s:
             said = html.unescape(s) if "&" in s else s
             text.append(said)
             if stack[-1].link:
-                state["links"] += len("".join(said.split()))
+                links += len("".join(said.split()))
 
     at, size = 0, len(page)
     while at < size:
@@ -125,9 +158,9 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name in BLOCK:
                 flush()
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name), 0)
-            if depth and (name in BLOCK or all(x.tag not in BLOCK for x in stack[depth + 1 :])):
-                del stack[depth:]
+            k = open_[name][-1] if open_.get(name) else 0
+            if k and (name in BLOCK or k > stack[-1].block.at):
+                cut(k)
             elif name == "br":
                 text.append(" ")
             continue
@@ -144,33 +177,96 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" or name in CLOSED_BY.get(stack[k].tag, ()):
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-        marks: dict[str, str] = {}
-        if m[3].strip(" /"):
-            marks = {a[1].lower(): (a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])}
-        named = f"{marks.get('class', '')} {marks.get('id', '')}".lower().strip()
-        top = stack[-1]
-        region, kind, own, content = top.region, top.named, False, top.content
-        if name in CONTENT_TAGS:
+            around = stack[-1].block
+            if around.tag == "p" or name in CLOSED_BY.get(around.tag, ()):
+                cut(around.at)
+        if not m[3].endswith("/") or name in BLOCK:
+            top = stack[-1]
+            e = Element(name, top, len(stack))
+            e.block, e.depth = (e, top.depth + 1) if name in BLOCK else (top.block, top.depth)
+            e.link = name == "a" or (top.link and name not in BLOCK)
+            if m[3].strip(" /"):
+                e.marks = {x[1].lower(): (x[2] or x[3] or x[4] or "") for x in _ATTRIBUTE.finditer(m[3])}
+            open_.setdefault(name, []).append(e.at)
+            elements.append(e)
+            stack.append(e)
+    flush()
+    return elements, out
+
+
+def _names(e: Element) -> str:
+    """Class names and id, without those of the kind ``has-sidebar``."""
+    said = f"{e.marks.get('class', '')} {e.marks.get('id', '')}".lower() if e.marks else ""
+    return _OF_ANOTHER.sub("", said).strip() if said else ""
+
+
+def judge(elements: list[Element], found: list[Block]) -> None:
+    """What tags, roles and names say of every element, and of the blocks below it.
+
+    An element that holds most of the page's prose and its article (``main`` or the heading; if there is neither, an ``article`` or a content name) is a
+    wrapper: its names say nothing, and a form around it is no form. Of what readers wrote, only ``main`` or the heading makes a wrapper.
+    """
+    names = [_names(e) for e in elements]
+    for b in found:
+        n = b.prose
+        b.last.prose += n
+        b.last.long |= n > 0
+    aside = [False] * len(elements)  # in an element that holds no heading of the page
+    number = {id(e): k for k, e in enumerate(elements)}
+    for k, e in enumerate(elements):
+        role = e.marks.get("role", "").lower() if e.marks else ""
+        if e.parent:
+            aside[k] = aside[number[id(e.parent)]]
+        aside[k] = (aside[k] and e.tag not in CONTENT_TAGS) or e.tag in ("header", "nav", "aside", "footer")
+        if e.tag == "main" or role == "main" or (e.tag == "h1" and not aside[k]):
+            e.anchor = 2
+        elif e.tag == "article" or (e.marks and e.marks.get("itemprop", "").lower() == "articlebody") or (names[k] and e.tag not in ("html", "body") and _CONTENT.search(names[k])):
+            e.anchor = 1
+    for e in reversed(elements[1:]):
+        e.parent.prose += e.prose
+        e.parent.long |= e.long
+        e.parent.anchor = max(e.parent.anchor, e.anchor)
+    prose, anchor = elements[0].prose, elements[0].anchor
+    for k, e in enumerate(elements[1:], 1):
+        top, named, marks = e.parent, names[k], e.marks or {}
+        region, kind, content, e.readers, e.hidden = top.region, top.named, top.content, top.readers, top.hidden
+        most = 2 * e.prose > prose
+        wrapper = most and e.anchor == anchor > 0
+        if e.tag == "article" and named and _READERS_ARTICLE.search(named):
+            e.readers = True
+            kind, e.own = 2, True
+        if e.tag in CONTENT_TAGS and not e.readers:
             kind = 0  # a wrapper of the article may be named after what else it holds
-        if name in BLOCK or name in BOILER_TAGS or named:
+        if e.tag in BLOCK or e.tag in BOILER_TAGS or named:
             role = marks.get("role", "").lower()
             in_article = content and not region
-            region = region or name in BOILER_TAGS or name == "head" or (name == "header" and not in_article) or role in BOILER_ROLES or "hidden" in marks or marks.get("aria-hidden", "").lower() == "true"
-            if named and name not in ("html", "body", "article", "main", "p", "h1"):
-                found = 2 if _SURE.search(named) else 1 if _MAYBE.search(named) else 0
-                own, kind = found > 0, max(kind, found)
-            content = content or name in CONTENT_TAGS or role == "main" or marks.get("itemprop", "").lower() == "articlebody" or bool(named and name not in ("html", "body") and _CONTENT.search(named))
-        if not m[3].endswith("/") or name in BLOCK:
-            state["n"] += 1
-            stack.append(Element(name, state["n"], region, kind, own, content, name == "a" or (top.link and name not in BLOCK)))
-    flush()
-    return out
+            e.hidden = e.hidden or "hidden" in marks or marks.get("aria-hidden", "").lower() == "true"
+            if e.tag in BOILER_TAGS or role in BOILER_ROLES:
+                region = region or not (wrapper and (e.tag == "form" or e.tag not in BOILER_TAGS) and role in ("", "form"))
+            region = region or e.hidden or e.tag == "head" or (e.tag == "header" and not in_article)
+            if named and e.tag not in ("html", "body", "article", "main", "p", "h1"):
+                readers = bool(_COMMENT.search(named))
+                if not (wrapper and (not readers or anchor == 2)):
+                    e.readers |= readers
+                    sure = _SURE.search(named)
+                    if sure and in_article and e.long and not _SURE.search(_TOPIC.sub(" ", named)):
+                        kind = max(kind, 1)  # the article may be about such a thing
+                    else:
+                        is_named = 2 if sure else 1 if _MAYBE.search(named) else 0
+                        e.own, kind = is_named > 0, max(kind, is_named)
+            content = content or e.tag in CONTENT_TAGS or role == "main" or marks.get("itemprop", "").lower() == "articlebody" or bool(named and e.tag not in ("html", "body") and _CONTENT.search(named))
+        e.region, e.named, e.content = region, kind, content and not e.readers
+    for b in found:
+        own, last = b.last.block, b.last  # inline elements can hold the region too
+        named = max(own.named, last.named)
+        b.region, b.named, b.content = own.region or last.region, named + (1 if named and (own.own or last.own) else 0), own.content or last.content
+
+
+def blocks(page: str) -> list[Block]:
+    """Text blocks in page order, with what their elements say."""
+    elements, found = parse(page)
+    judge(elements, found)
+    return found
 
 
 #: Fixed weights of the classifier.
@@ -256,17 +352,27 @@ def _flow(own: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
     return [i not in reach for i in range(n)]
 
 
+def _between(a: Element, b: Element) -> int:
+    """Block elements on the way from one to the other; beyond 40 no tie is left to speak of, so it ends there."""
+    steps = 0
+    while a is not b and steps < 40:
+        if a.depth >= b.depth:
+            a = a.parent.block
+        else:
+            b = b.parent.block
+        steps += 1
+    return steps
+
+
 def ties(found: list[Block]) -> list[tuple[int, int, float]]:
     """Edges of adjacency and of proximity in the page's tree."""
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            before = found[i - 1].path
-            common = next((k for k, (x, y) in enumerate(zip(before, b.path)) if x != y), min(len(before), len(b.path)))
-            out.append((i - 1, i, NEXT * 0.5 ** (len(before) + len(b.path) - 2 * common)))
-        if last.get(b.path[-1], i - 1) < i - 1:
-            out.append((last[b.path[-1]], i, SIBLING))
-        last[b.path[-1]] = i
+            out.append((i - 1, i, NEXT * 0.5 ** _between(found[i - 1].around, b.around)))
+        if last.get(id(b.around), i - 1) < i - 1:
+            out.append((last[id(b.around)], i, SIBLING))
+        last[id(b.around)] = i
     return out
 
 
