@@ -165,9 +165,13 @@ def restrict_to_hours(weather: DataFrame, hours: DataFrame) -> DataFrame:
     return weather.join(hours, ["date", "hour"], "left_semi")
 
 
+def _mean(c: str) -> Column:
+    return F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None)))
+
+
 def weather_daily(hourly: DataFrame) -> DataFrame:
-    """Per date and point the means of wind and boundary layer over the day's hours, and speed and direction of the mean vector; half-even rounding."""
-    d = hourly.groupBy("date", "lat", "lon").agg(F.avg("u10").alias("u"), F.avg("v10").alias("v"), F.avg("blh").alias("b"))
+    """Per date and point the means of wind and boundary layer over the day's hours (NULL and NaN ignored), and speed and direction of the mean vector; half-even rounding."""
+    d = hourly.groupBy("date", "lat", "lon").agg(_mean("u10").alias("u"), _mean("v10").alias("v"), _mean("blh").alias("b"))
     return d.select(
         "date", F.bround("lat", 4).alias("lat"), F.bround("lon", 4).alias("lon"), F.bround("u", 6).alias("u10_daily"), F.bround("v", 6).alias("v10_daily"), F.bround("b", 4).alias("blh_daily"),
         F.bround(wind_speed("u", "v"), 4).alias("wind_speed_daily"), F.bround(wind_direction("u", "v"), 2).alias("wind_dir_deg_daily"),
@@ -177,7 +181,7 @@ def weather_daily(hourly: DataFrame) -> DataFrame:
 def weather_at_overpass(hourly: DataFrame, hours: DataFrame) -> DataFrame:
     """Instant values of the overpass hours beside the day's means; one exchange, as window and join share their keys."""
     day = Window.partitionBy("date", "lat", "lon")
-    with_day = hourly.select("date", "hour", "lat", "lon", F.col("u10").alias("u10_obs"), F.col("v10").alias("v10_obs"), F.col("blh").alias("blh_obs"), *(F.avg(c).over(day).alias(f"{c}_daily") for c in ("u10", "v10", "blh")))
+    with_day = hourly.select("date", "hour", "lat", "lon", F.col("u10").alias("u10_obs"), F.col("v10").alias("v10_obs"), F.col("blh").alias("blh_obs"), *(_mean(c).over(day).alias(f"{c}_daily") for c in ("u10", "v10", "blh")))
     return restrict_to_hours(with_day, hours).withColumn("obs_time", F.concat(F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit(":00")))
 
 

@@ -167,14 +167,24 @@ def yield_funnel(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFram
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def missing_counts(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """``name, present, n_rows, n_missing``: a row per required column, in one pass; NULL and NaN are missing, and all of a column that is absent."""
+    kinds = dict(df.dtypes)
+    known = {c: F.count(F.nanvl(c, F.lit(None)) if kinds[c] in ("float", "double") else F.col(f"`{c}`")) for c in required if c in kinds}
+    one = df.agg(F.count("*").alias("_n"), *(v.alias(f"_{i}") for i, v in enumerate(known.values())))
+    place = {c: i for i, c in enumerate(known)}
+    rows = [F.struct(F.lit(c).alias("name"), F.lit(c in known).alias("present"), F.col("_n").alias("n_rows"), (F.col("_n") - (F.col(f"_{place[c]}") if c in place else 0)).alias("n_missing")) for c in required]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def validate_table(df: DataFrame, required: Sequence[str], min_rows: int = 10, max_null_ratio: float = 0.99) -> list[str]:
-    """What is wrong with a table: absent columns, too few rows, columns with too many NULLs. Empty if fine."""
-    wrong = [f"no column {c}" for c in required if c not in df.columns]
-    have = [c for c in required if c in df.columns]
-    row = df.agg(F.count("*").alias("_n"), *(F.count(c).alias(c) for c in have)).first()
-    if row["_n"] < min_rows:
-        wrong.append(f"{row['_n']} rows, at least {min_rows} are needed")
-    return wrong + [f"{c}: {1 - row[c] / row['_n']:.1%} missing" for c in have if row["_n"] and 1 - row[c] / row["_n"] > max_null_ratio]
+    """What is wrong with a table: absent columns, too few rows, columns with too many missing values. Empty if fine."""
+    rows = missing_counts(df, required).collect() if required else []
+    n = rows[0].n_rows if rows else df.count()
+    wrong = [f"no column {r.name}" for r in rows if not r.present]
+    if n < min_rows:
+        wrong.append(f"{n} rows, at least {min_rows} are needed")
+    return wrong + [f"{r.name}: {r.n_missing / n:.1%} missing" for r in rows if r.present and n and r.n_missing / n > max_null_ratio]
 
 
 def numeric_if_mostly(df: DataFrame, threshold: float = 0.9, cols: Sequence[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,29 +31,44 @@ def cell_correlation(df: DataFrame, x: str = "tropomi_no2", y: str = "xco2_anoma
     return out.withColumn("p", pearson_pvalue("r", "n_valid")) if with_p else out
 
 
-def fdr_by(df: DataFrame, p: str = "p", alpha: float = 0.05, parts: int | None = None) -> DataFrame:
+#: Value ranges that one pass over the p-values tells apart.
+RANGES = 1_000
+
+
+def fdr_by(df: DataFrame, p: str = "p", alpha: float = 0.05, ranges: int = RANGES) -> DataFrame:
     """Add ``significant`` by Benjamini, Hochberg and Yekutieli; rows without p count in m and are never significant.
 
-    Ranks come from range partitions: the rank inside a partition plus the rows of the partitions before it, so no task sees
-    all rows. Only m, the harmonic sum and the largest p that passes are single values.
+    Only the largest p that passes is looked for. A pass over the values counts them in ``ranges`` equal ranges, with the least and greatest value of each: the greatest value's rank is
+    then known, so it passes or not, and a range whose least value would not even pass with that rank is out. From above, the first range that passes ends the search; one that is open is
+    looked at in the same way by itself. No value is ranked, plans and what reaches the driver stay the same at any size, and three passes tell a billion values apart.
     """
     m = df.count()
     if not m:
         return df.withColumn("significant", F.lit(False))
-    harmonic = sum(1.0 / i for i in range(1, m + 1)) if m < 10**6 else 0.5772156649015329 + __import__("math").log(m) + 0.5 / m
-    parts = parts or max(1, m // 100_000)
-    values = df.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(F.col(p).alias("_p")).count()
-    cuts = values.approxQuantile("_p", [k / parts for k in range(1, parts)], 0.001) if parts > 1 else []
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col("_p") > c).cast("int")
-    values = values.withColumn("_part", part)
-    sizes = values.groupBy("_part").agg(F.sum("count").alias("_n"))
-    before = sizes.select(F.col("_part").alias("_q"), (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_before"))
-    ranked = values.withColumn("_up", F.sum("count").over(Window.partitionBy("_part").orderBy("_p"))).join(F.broadcast(before), F.col("_part") == F.col("_q"))
-    passing = F.max(F.when(F.col("_p") <= (F.col("_up") + F.col("_before")) / F.lit(m) * F.lit(alpha / harmonic), F.col("_p")))
-    limit = ranked.agg(passing.alias("x")).first().x
-    return df.withColumn("significant", F.lit(False) if limit is None else F.coalesce(F.col(p) <= F.lit(limit), F.lit(False)))
+    harmonic = sum(1.0 / i for i in range(1, m + 1)) if m < 10**6 else 0.5772156649015329 + math.log(m) + 0.5 / m
+    values = df.select(F.col(p).cast("double").alias("_p")).where("_p IS NOT NULL AND NOT isnan(_p)")
+
+    def passes(x: float, rank: int) -> bool:
+        return x <= rank / m * (alpha / harmonic)
+
+    def largest(low: float, high: float, before: int) -> float | None:
+        """The largest value of the range that passes, with ``before`` values below the range."""
+        share = (F.col("_p") - F.lit(low)) / F.lit(high - low) if high > low else F.lit(0.0)
+        place = F.least(F.lit(ranges - 1), F.floor(share * F.lit(ranges)))
+        inside = values.where(F.col("_p").between(low, high)).groupBy(place.alias("place"))
+        rows = sorted(inside.agg(F.count("*").alias("n"), F.min("_p").alias("least"), F.max("_p").alias("most")).collect())
+        below = before + sum(r.n for r in rows)
+        for r in reversed(rows):  # at most ``ranges``
+            if passes(r.most, below):
+                return r.most
+            if r.least < r.most and passes(r.least, below) and (found := largest(r.least, r.most, below - r.n)) is not None:
+                return found
+            below -= r.n
+        return None
+
+    least = values.agg(F.min("_p").alias("x")).first().x
+    limit = largest(least, alpha / harmonic, 0) if least is not None and least <= alpha / harmonic else None
+    return df.withColumn("significant", F.lit(False) if limit is None else F.coalesce((F.col(p) <= F.lit(limit)) & ~F.isnan(F.col(p).cast("double")), F.lit(False)))
 
 
 def correlation_summary(df: DataFrame, grid: Grid = Grid()) -> DataFrame:

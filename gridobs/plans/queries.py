@@ -142,6 +142,34 @@ def satellite_split(spark, sf):
     return grid.detect_satellite(soundings(spark, sf)).groupBy("satellite_id").agg(F.count("*").alias("n"), F.avg("xco2").alias("mean_xco2"))
 
 
+_SENSOR = {
+    "satellite": "CASE CAST(sounding_id % 5 AS INT) WHEN 0 THEN 'OCO-2' WHEN 1 THEN 'oco3' WHEN 2 THEN 'Orbiting OCO 3' WHEN 3 THEN 'GOSAT' END",
+    "time": "CAST(date AS TIMESTAMP) + INTERVAL '24' YEAR",
+    "snd_operation_mode": "CASE CAST(sounding_id % 5 AS INT) WHEN 0 THEN 'sam' WHEN 1 THEN 'ND' WHEN 2 THEN '3' WHEN 3 THEN '33' END",
+}
+
+
+@query("rule %satellite_id #n ~mean_xco2", cte("soundings") + f""", k AS (SELECT xco2, {", ".join(f'{e} AS {c}' for c, e in _SENSOR.items())} FROM v_soundings),
+r AS (SELECT 'name' AS rule, CASE WHEN satellite IN ('oco3', 'Orbiting OCO 3') THEN 1 WHEN satellite = 'OCO-2' THEN 0 ELSE -1 END AS satellite_id, xco2 FROM k
+UNION ALL SELECT 'launch', CASE WHEN time < TIMESTAMP '2019-08-06' THEN 0 WHEN snd_operation_mode IN ('sam', '3') THEN 1 ELSE -1 END, xco2 FROM k UNION ALL SELECT 'none', -1, xco2 FROM k)
+SELECT rule, satellite_id, count(*) AS n, avg(xco2) AS mean_xco2 FROM r GROUP BY 1, 2""")
+def satellite_rules(spark, sf):
+    s = soundings(spark, sf).select("xco2", *(F.expr(e).alias(c) for c, e in _SENSOR.items()), F.lit("oco2.csv").alias("file_source"))
+    by_rule = {"name": grid.detect_satellite(s), "launch": grid.detect_satellite(s.drop("satellite", "file_source")), "none": grid.detect_satellite(s.drop("satellite", "file_source"), names_only=True)}
+    name, launch, none = (d.select(F.lit(rule).alias("rule"), "satellite_id", "xco2") for rule, d in by_rule.items())
+    return name.unionByName(launch).unionByName(none).groupBy("rule", "satellite_id").agg(F.count("*").alias("n"), F.avg("xco2").alias("mean_xco2"))
+
+
+_NEEDED = ("date", "xco2", "tropomi_no2", "ret_aod_total", "dp_abp")
+
+
+@query("name present #n_rows #n_missing", cte("soundings") + """, k AS (SELECT count(*) AS n, count(date) AS date, count(xco2) AS xco2, count(tropomi_no2) AS tropomi_no2, count(ret_aod_total) AS ret_aod_total FROM v_soundings)
+SELECT 'dp_abp' AS name, false AS present, n AS n_rows, n AS n_missing FROM k UNION ALL SELECT 'date', true, n, n - date FROM k UNION ALL SELECT 'xco2', true, n, n - xco2 FROM k
+UNION ALL SELECT 'tropomi_no2', true, n, n - tropomi_no2 FROM k UNION ALL SELECT 'ret_aod_total', true, n, n - ret_aod_total FROM k""")
+def missing_counts(spark, sf):
+    return qc.missing_counts(soundings(spark, sf), _NEEDED)
+
+
 @query("eaic_region #n", cte("soundings") + f"SELECT {_REGION} AS eaic_region, count(*) AS n FROM v_soundings GROUP BY 1")
 def region_label(spark, sf):
     return grid.label_regions(soundings(spark, sf)).groupBy("eaic_region").agg(F.count("*").alias("n"))
@@ -617,11 +645,16 @@ def nearest_weather(spark, sf):
     return collocate.nearest_join(view(spark, sf, "probes"), daily, list(_FIVE), cell=10.0)
 
 
-@query("sounding_id ~u10_daily ~v10_daily", cte("probes", "weather_hourly") + """, g AS (SELECT date, lat, lon, avg(u10) AS u, avg(v10) AS v FROM v_weather_hourly GROUP BY 1, 2, 3)
-SELECT sounding_id, round(u + 0.0000123e0, 3) AS u10_daily, round(v + 0.0000123e0, 3) AS v10_daily FROM v_probes q LEFT JOIN g ON g.date = q.date AND g.lat = 20 + 10 * ceil((latitude - 20) / 10 - 0.5e0) AND g.lon = 100 + 10 * ceil((longitude - 100) / 10 - 0.5e0)""")
+# winds in eighths: their sums are exact in any order, so means and their half-even rounding have to agree to the last digit
+_DAILY = """, e AS (SELECT date, lat, lon, avg(u10) FILTER (WHERE NOT isnan(u10)) AS u, avg(v10) AS v, avg(blh) AS b FROM v_weather_eighths GROUP BY 1, 2, 3),
+g AS (SELECT date, lat, lon, round_even(u, 6) AS u10_daily, round_even(v, 6) AS v10_daily, round_even(b, 4) AS blh_daily, round_even(sqrt(u * u + v * v), 4) AS wind_speed_daily,
+ round_even((degrees(atan2(u, v)) + 360e0) % 360e0, 2) AS wind_dir_deg_daily FROM e)"""
+
+
+@query("sounding_id ~u10_daily ~v10_daily", cte("probes", "weather_eighths") + _DAILY + """
+SELECT sounding_id, u10_daily, v10_daily FROM v_probes q LEFT JOIN g ON g.date = q.date AND g.lat = 20 + 10 * ceil((latitude - 20) / 10 - 0.5e0) AND g.lon = 100 + 10 * ceil((longitude - 100) / 10 - 0.5e0)""")
 def grid_join(spark, sf):
-    daily = collocate.weather_daily(view(spark, sf, "weather_hourly")).withColumns({c: F.round(F.col(c) + 0.0000123, 3) for c in ("u10_daily", "v10_daily")})
-    return collocate.grid_join(view(spark, sf, "probes"), daily, ["u10_daily", "v10_daily"], 20.0, 100.0, 10.0)
+    return collocate.grid_join(view(spark, sf, "probes"), collocate.weather_daily(view(spark, sf, "weather_eighths")), ["u10_daily", "v10_daily"], 20.0, 100.0, 10.0)
 
 
 @query("sounding_id ~population ~emission", cte("soundings", "raster_static", "raster_monthly") + """
@@ -652,11 +685,9 @@ def weather_at_overpass(spark, sf):
     return collocate.weather_at_overpass(view(spark, sf, "weather_hourly"), collocate.overpass_hours(view(spark, sf, "granules")))
 
 
-@query("date ~lat ~lon ~u10_daily ~v10_daily ~blh_daily ~speed", cte("weather_hourly") + """, g AS (SELECT date, lat, lon, avg(u10) AS u, avg(v10) AS v, avg(blh) AS b FROM v_weather_hourly GROUP BY 1, 2, 3)
-SELECT date, lat, lon, round(u + 0.0000123e0, 3) AS u10_daily, round(v + 0.0000123e0, 3) AS v10_daily, round(b + 0.0016e0, 2) AS blh_daily, CASE WHEN abs(v) > 0.01e0 THEN round(sqrt(u * u + v * v), 4) END AS speed FROM g""")
+@query("date ~lat ~lon ~u10_daily ~v10_daily ~blh_daily ~wind_speed_daily ~wind_dir_deg_daily", cte("weather_eighths") + _DAILY + " SELECT * FROM g")
 def weather_daily(spark, sf):
-    d = collocate.weather_daily(view(spark, sf, "weather_hourly"))
-    return d.select("date", "lat", "lon", *(F.round(F.col(c) + shift, n).alias(c) for c, shift, n in (("u10_daily", 0.0000123, 3), ("v10_daily", 0.0000123, 3), ("blh_daily", 0.0016, 2))), F.when(F.abs("v10_daily") > 0.01, F.col("wind_speed_daily")).alias("speed"))
+    return collocate.weather_daily(view(spark, sf, "weather_eighths"))
 
 
 @query("~lat ~lon ~fluxes_1996 ~fluxes_1997", cte("inventory") + """, a AS (SELECT lat, lon, sum(fluxes) AS fluxes_1996 FROM v_inventory WHERE year = 1996 AND month = 1 GROUP BY 1, 2), b AS (SELECT lat, lon, sum(fluxes) AS fluxes_1997 FROM v_inventory WHERE year = 1997 AND month = 1 GROUP BY 1, 2) SELECT * FROM a JOIN b USING (lat, lon)""")

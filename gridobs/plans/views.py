@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = {"soundings": ("lineitem",), "pixels": ("events",), "probes": ("events",), "weather_hourly": ("events",), "granules": ("events",), "raster_static": ("part",), "raster_monthly": ("orders",), "inventory": ("orders",)}
+TABLES = {"soundings": ("lineitem",), "pixels": ("events",), "probes": ("events",), "weather_hourly": ("events",), "weather_eighths": ("events",), "granules": ("events",), "raster_static": ("part",), "raster_monthly": ("orders",), "inventory": ("orders",)}
 
 VIEWS = {
     "soundings": """
@@ -41,6 +41,12 @@ FROM events WHERE event_type = 'purchase'""",
 SELECT CAST(ts AS DATE) AS date, CAST(hour(ts) AS INT) AS hour,
        CAST(20e0 + (user_id % 4) * 10e0 AS DOUBLE) AS lat, CAST(100e0 + (event_id % 6) * 10e0 AS DOUBLE) AS lon,
        CAST(value / 20e0 - 12e0 AS DOUBLE) AS u10, CAST((user_id % 9) * 1.5e0 - 6e0 AS DOUBLE) AS v10, CAST(value * 3e0 AS DOUBLE) AS blh
+FROM events""",
+    "weather_eighths": """
+SELECT CAST(ts AS DATE) AS date, CAST(hour(ts) AS INT) AS hour,
+       CAST(20e0 + (user_id % 4) * 10e0 AS DOUBLE) AS lat, CAST(100e0 + (event_id % 6) * 10e0 AS DOUBLE) AS lon,
+       CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN CAST('NaN' AS DOUBLE) ELSE floor(value) / 8e0 - 12e0 END AS u10,
+       CAST((user_id % 9) * 1.5e0 - 6e0 AS DOUBLE) AS v10, CAST(floor(value * 3e0) / 4e0 AS DOUBLE) AS blh
 FROM events""",
     "granules": """
 SELECT CAST(ts AS DATE) AS date, ts AS time_start, ts + INTERVAL '100' MINUTE AS time_end FROM events WHERE event_type = 'signup'""",

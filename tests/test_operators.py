@@ -128,13 +128,31 @@ def by_definition(p, alpha=0.05):
     return [x is not None and bool(ok) and x <= max(ok) for x in p]
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_false_discovery(spark, parts):
-    rng = np.random.default_rng(parts)
-    for p in ([1.0] * 5, [None, None], [0.001] * 3 + [0.9] * 3, [*map(float, rng.random(200) ** 4), None, *[1e-4] * 20]):
-        got = stats.fdr_by(spark.createDataFrame(list(enumerate(p)), "i int, p double"), parts=parts).orderBy("i").collect()
+@pytest.mark.parametrize("ranges", [2, 5, 1000])
+def test_false_discovery(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    for p in ([1.0] * 5, [None, None], [0.0, 0.0, 1.0], [0.001] * 3 + [0.9] * 3, [*map(float, rng.random(200) ** 4), None, *[1e-4] * 20], [i / 60 * 0.05 for i in range(1, 60)], [10.0**-i for i in range(300)] + [0.02] * 300):
+        got = stats.fdr_by(spark.createDataFrame(list(enumerate(p)), "i int, p double"), ranges=ranges).orderBy("i").collect()
         assert [r.significant for r in got] == by_definition(p)
     assert stats.fdr_by(spark.createDataFrame([], "i int, p double")).count() == 0
+    assert not stats.fdr_by(spark.createDataFrame([(float("nan"),), (0.5,)], "p double")).where("significant").count()
+
+
+def test_false_discovery_of_many_values_in_few_passes(spark):
+    """Plans and jobs do not grow with the values, and the largest passing value is the one by definition."""
+    from pyspark.sql import functions as F
+
+    n = 2_000_000
+    df = spark.range(n).select(F.when(F.col("id") % 20 == 0, F.col("id") / F.lit(float(n)) * 1e-4).otherwise((F.col("id") + 1) / F.lit(float(n))).alias("p")).persist()
+    x = np.sort(df.toPandas().p.to_numpy())
+    k = np.nonzero(x <= np.arange(1, n + 1) / n * (0.05 / (0.5772156649015329 + math.log(n) + 0.5 / n)))[0].max()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fdr", "fdr")
+    got = stats.fdr_by(df)
+    jobs = len(tracker.getJobIdsForGroup("fdr"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.where("significant").count() == k + 1 and jobs <= 12
+    df.unpersist()
 
 
 def test_year_maps():
@@ -249,6 +267,8 @@ def test_missing_values(spark, tmp_path):
     io.write_ml_ready(df.select("b"), str(tmp_path / "y"))
     assert dict(qc.numeric_if_mostly(df, 0.5).dtypes)["s"] == "double" and dict(qc.numeric_if_mostly(df).dtypes)["s"] == "string"
     assert qc.validate_table(df, ["a", "zz"], 2, 0.3) == ["no column zz", "a: 33.3% missing"]
+    nan = spark.createDataFrame([(float("nan"), "x"), (None, "y"), (1.0, None)], "a double, b string")
+    assert qc.validate_table(nan, ["a", "b"], 2, 0.5) == ["a: 66.7% missing"] and qc.validate_table(nan.limit(0), ["a"], 1) == ["0 rows, at least 1 are needed"]
 
 
 def test_files(spark, tmp_path):
