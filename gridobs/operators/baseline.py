@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from gridobs.functions.columns import REGIONS, Region
 from gridobs.operators.grid import K
+from gridobs.operators.tables import cut
+
+
+_MONTH = ["eaic_region", *K, "year", "month"]
 
 
 def _per_region(regions: tuple[Region, ...], what: str, default: int) -> Column:
@@ -69,25 +73,64 @@ def apply_baseline(df: DataFrame, clim: DataFrame, delta: DataFrame) -> DataFram
     return out.withColumn("xco2_anomaly", F.col("xco2") - F.col("xco2_baseline")).where("xco2_anomaly IS NOT NULL").drop("clim", "delta")
 
 
+def _with_tiers(df: DataFrame, grid_clim: DataFrame, region_clim: DataFrame, global_clim: DataFrame, grid_delta: DataFrame, region_delta: DataFrame) -> DataFrame:
+    """Add ``xco2_baseline`` and ``baseline_tier`` by region, cell, year and month."""
+    out = df.join(grid_clim, [*K, "month"], "left").join(region_clim, ["eaic_region", "month"], "left").join(global_clim, "month", "left")
+    out = out.join(grid_delta, [*K, "year"], "left").join(region_delta, ["eaic_region", "year"], "left")
+    tier = F.when(F.col("clim").isNotNull(), 10).when(F.col("region_clim").isNotNull(), 20).when(F.col("global_clim").isNotNull(), 30).otherwise(0) + F.when(F.col("delta").isNotNull(), 1).otherwise(2)
+    base = F.coalesce("clim", "region_clim", "global_clim") + F.coalesce("delta", "region_delta", F.lit(0.0))
+    return out.withColumn("xco2_baseline", base).withColumn("baseline_tier", tier.cast("int")).drop("clim", "region_clim", "global_clim", "delta", "region_delta")
+
+
+def _anomaly(df: DataFrame, with_tier: bool) -> DataFrame:
+    out = df.withColumn("xco2_anomaly", F.col("xco2") - F.col("xco2_baseline")).where("xco2_anomaly IS NOT NULL")
+    return out if with_tier else out.drop("baseline_tier")
+
+
 def apply_tiered_baseline(df: DataFrame, grid_clim: DataFrame, region_clim: DataFrame, global_clim: DataFrame, grid_delta: DataFrame, region_delta: DataFrame, with_tier: bool = True) -> DataFrame:
     """Climatology of the cell, else the region, else all; deviation of the cell's year, else the region's, else 0.
 
     ``baseline_tier`` is ten times the climatology's tier (1, 2, 3; 0 if none) plus the deviation's (1 or 2).
     """
-    out = df.join(grid_clim, [*K, "month"], "left").join(region_clim, ["eaic_region", "month"], "left").join(global_clim, "month", "left")
-    out = out.join(grid_delta, [*K, "year"], "left").join(region_delta, ["eaic_region", "year"], "left")
-    tier = F.when(F.col("clim").isNotNull(), 10).when(F.col("region_clim").isNotNull(), 20).when(F.col("global_clim").isNotNull(), 30).otherwise(0) + F.when(F.col("delta").isNotNull(), 1).otherwise(2)
-    base = F.coalesce("clim", "region_clim", "global_clim") + F.coalesce("delta", "region_delta", F.lit(0.0))
-    out = out.withColumn("xco2_baseline", base).withColumn("xco2_anomaly", F.col("xco2") - base)
-    out = out.withColumn("baseline_tier", tier.cast("int")) if with_tier else out
-    return out.where("xco2_anomaly IS NOT NULL").drop("clim", "region_clim", "global_clim", "delta", "region_delta")
+    return _anomaly(_with_tiers(df, grid_clim, region_clim, global_clim, grid_delta, region_delta), with_tier)
+
+
+def month_sums(df: DataFrame, value: str = "xco2") -> DataFrame:
+    """``eaic_region, lat_idx, lon_idx, year, month, year_month, sum, n``: what every lookup of the tiers can be made of."""
+    return df.groupBy(*_MONTH, "year_month").agg(F.sum(value).alias("sum"), F.count(value).alias("n"))
+
+
+def tier_lookups(sums: DataFrame, regions: tuple[Region, ...] = REGIONS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The five lookups of ``apply_tiered_baseline`` from ``month_sums``."""
+    mean = F.try_divide(F.sum("sum"), F.sum("n"))
+    valid = sums.join(valid_cells_by_region(sums, regions), K, "left_semi")
+
+    def deviation(df: DataFrame, keys: list[str], name: str, need: Column) -> DataFrame:
+        by_year = df.groupBy(*keys, "year").agg(F.sum("sum").alias("_sum"), F.sum("n").alias("_n"), F.max(need).alias("_need"))
+        w = Window.partitionBy(*keys)
+        delta = F.try_divide("_sum", "_n") - F.try_divide(F.sum("_sum").over(w), F.sum("_n").over(w))
+        return by_year.withColumn(name, delta).where("_n >= _need").select(*keys, "year", name)
+
+    return (
+        valid.groupBy(*K, "month").agg(mean.alias("clim")), sums.groupBy("eaic_region", "month").agg(mean.alias("region_clim")), sums.groupBy("month").agg(mean.alias("global_clim")),
+        deviation(valid, list(K), "delta", _per_region(regions, "min_rows", 5)), deviation(sums, ["eaic_region"], "region_delta", F.lit(0)),
+    )
 
 
 def tiered_anomaly(df: DataFrame, regions: tuple[Region, ...] = REGIONS, apply_to: DataFrame | None = None, with_tier: bool | None = None) -> DataFrame:
-    """Fit all lookups on ``df`` (labelled, with calendar columns) and apply them to it, or to another sensor's rows (then without ``baseline_tier`` unless asked for)."""
-    cells = valid_cells_by_region(df, regions)
-    lookups = (monthly_climatology(df, cells), region_climatology(df), global_climatology(df), yearly_deviation_by_region(df, cells, regions), region_deviation(df))
-    return apply_tiered_baseline(df if apply_to is None else apply_to, *lookups, with_tier=apply_to is None if with_tier is None else with_tier)
+    """Fit all lookups on ``df`` (labelled, with calendar columns) and apply them to it, or to another sensor's rows (then without ``baseline_tier`` unless asked for).
+
+    Baseline and tier depend on region, cell, year and month alone. So the observations are summed by these once, all lookups and the choice between them are made on the sums, and the
+    observations are joined once with the result.
+    """
+    sums = cut(month_sums(df))
+    rows = df if apply_to is None else apply_to
+    asked = (sums if apply_to is None else rows).select(*_MONTH).distinct()
+    chosen = _with_tiers(asked, *tier_lookups(sums, regions)).withColumnsRenamed({k: f"_{k}" for k in _MONTH})
+    same = F.lit(True)
+    for k in _MONTH:
+        same = same & rows[k].eqNullSafe(F.col(f"_{k}"))
+    return _anomaly(rows.join(chosen, same).drop(*(f"_{k}" for k in _MONTH)), apply_to is None if with_tier is None else with_tier)
 
 
 def tier_distribution(df: DataFrame) -> DataFrame:

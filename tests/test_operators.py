@@ -98,6 +98,26 @@ def test_tiers(spark):
     assert got == [(11, 0.5), (22, 1.75), (32, 13.0)]
 
 
+@pytest.mark.parametrize("other", [False, True])
+def test_tiers_from_sums_are_those_of_the_rows(spark, other):
+    """The lookups of month sums against those of the observations, NULL values and keys included; the observations take part in one join."""
+    rng = np.random.default_rng(7)
+    few = lambda n: None if rng.random() < 0.03 else int(rng.integers(n))
+    rows = []
+    for _ in range(1500):
+        y, m = int(rng.integers(2018, 2021)), int(rng.integers(1, 13))
+        rows.append((few(4), few(4), y, m, dt.date(y, m, 1), ["NCP", "KCR", "OUT"][int(rng.integers(3))], None if rng.random() < 0.1 else float(rng.normal(400, 2))))
+    rows += [(0, 0, None, None, None, "NCP", 400.0), (8, 8, 2030, 1, dt.date(2030, 1, 1), "JKT", None)]
+    all_rows = spark.createDataFrame(rows, "lat_idx int, lon_idx int, year int, month int, year_month date, eaic_region string, xco2 double")
+    fit = all_rows.where("month > 3 AND coalesce(lat_idx, 0) <> 2 AND year < 2020") if other else all_rows
+    cells = baseline.valid_cells_by_region(fit)
+    lookups = baseline.monthly_climatology(fit, cells), baseline.region_climatology(fit), baseline.global_climatology(fit), baseline.yearly_deviation_by_region(fit, cells), baseline.region_deviation(fit)
+    want = baseline.apply_tiered_baseline(all_rows, *lookups)
+    got = baseline.tiered_anomaly(fit, apply_to=all_rows if other else None, with_tier=True)
+    look = lambda d: sorted(((r.lat_idx, r.lon_idx, r.year, r.month, r.eaic_region, round(r.xco2, 9), round(r.xco2_baseline, 6), round(r.xco2_anomaly, 6), r.baseline_tier) for r in d.collect()), key=str)
+    assert look(got) == look(want) and len({r.baseline_tier for r in got.collect()}) > 1
+
+
 def test_outliers_exempt_small_groups(spark):
     rows = [(1, 400.0)] * 8 + [(1, 999.0)] + [(2, 400.0 + i % 2) for i in range(20)] + [(2, 999.0), (2, None), (None, 999.0)]
     got = qc.outlier_filter(spark.createDataFrame(rows, "month int, xco2 double"))
@@ -140,8 +160,6 @@ def test_false_discovery(spark, ranges):
 
 def test_false_discovery_of_many_values_in_few_passes(spark):
     """Plans and jobs do not grow with the values, and the largest passing value is the one by definition."""
-    from pyspark.sql import functions as F
-
     n = 2_000_000
     df = spark.range(n).select(F.when(F.col("id") % 20 == 0, F.col("id") / F.lit(float(n)) * 1e-4).otherwise((F.col("id") + 1) / F.lit(float(n))).alias("p")).persist()
     x = np.sort(df.toPandas().p.to_numpy())
