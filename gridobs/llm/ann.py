@@ -20,7 +20,13 @@ from gridobs.llm._shared import materialize
 N_PIVOTS, NEAREST, BLOCK, QUERY_BLOCK, RERANK, AT_LEAST = 2048, 24, 8192, 1024, 0.9, 64
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Every row times the power of two that brings its largest component to between 0.5 and 1: no cosine changes, and no square leaves the range of doubles."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
+    m = _scaled(m)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -46,18 +52,19 @@ def _matrix(column: pa.ListArray, width: int, dtype: type) -> np.ndarray:
 
 
 def permutations(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
-    """``vec_id, vec, perm``: the indexes of the nearest pivots, nearest first."""
+    """``vec_id, vec, perm``: the vector, scaled by a power of two, and the indexes of the nearest pivots, nearest first."""
     pivots = _unit(pivots)
     k, width = min(nearest, len(pivots)), pivots.shape[1]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = _matrix(b.column("vec"), width, float)
+            m = _scaled(_matrix(b.column("vec"), width, float))
             far = -(_unit(m) @ pivots.T)
             near = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1)
             near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1).astype(np.int32)
             perm = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, k, dtype=np.int32)), pa.array(near.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), perm], ["vec_id", "vec", "perm"])
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, width, dtype=np.int32)), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), vec, perm], ["vec_id", "vec", "perm"])
 
     return vectors.mapInArrow(index, "vec_id long, vec array<double>, perm array<int>")
 

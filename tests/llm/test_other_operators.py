@@ -272,6 +272,17 @@ def test_nearest_neighbours_awkward_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 2 == 0).count() == 0 and ann.nearest(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_of_any_magnitude(spark):
+    """Vectors whose squares are no doubles have the cosines of the same vectors at an ordinary size."""
+    rng = np.random.default_rng(4)
+    plain = rng.normal(size=(200, 16))
+    size = np.array([1.0, 2.0**660, 2.0**-660, 2.0**1020])[rng.integers(0, 4, 200)]
+    df = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    want, got = (sorted(map(tuple, ann.nearest(df(m), F.col("vec_id") % 10 == 0, rerank=1.0).collect())) for m in (plain, plain * size[:, None]))
+    unit = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+    assert got == want and len(got) == 100 and all(abs(score - unit[q] @ unit[i]) < 1e-12 for q, _, i, score in got)
+
+
 def test_footrule():
     perm = np.array([[0, 1, 2], [2, 1, 0], [3, 4, 5]])
     full = lambda a, b: sum(abs((list(a).index(p) if p in a else 3) - (list(b).index(p) if p in b else 3)) for p in {*map(int, a), *map(int, b)})
