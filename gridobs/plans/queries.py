@@ -577,6 +577,15 @@ def distinct_from_days(spark, sf):
     return months.withColumnRenamed("n_distinct", "n_months").join(cells.withColumnRenamed("n_distinct", "n_cells"), "lat_idx")
 
 
+@query("%year #n_soundings near", cte("soundings") + "SELECT year(date) AS year, count(DISTINCT sounding_id) AS n_soundings, true AS near FROM v_soundings GROUP BY 1")
+def sketches_from_days(spark, sf):
+    """Approximate distinct soundings of a year, merged from sketches by day, are within 4 % (five standard errors) of the exact number."""
+    rows = soundings(spark, sf).withColumn("year", F.year("date"))
+    about = stats.merged_sketches(stats.distinct_sketches(rows, "sounding_id", ["year", "date"]), ["year"])
+    exact = rows.groupBy("year").agg(F.count_distinct("sounding_id").alias("n_soundings"))
+    return exact.join(about, "year").withColumn("near", F.abs(F.col("n_distinct") - F.col("n_soundings")) <= 0.04 * F.col("n_soundings"))
+
+
 _QQ = 200
 _NORMAL = ", ".join(  # the normal side, from the order statistics' medians
     f"({k}, {NormalDist().inv_cdf(1 - 0.5 ** (1 / _QQ) if k == 0 else 0.5 ** (1 / _QQ) if k == _QQ - 1 else (k + 1 - 0.3175) / (_QQ + 0.365))!r}e0)" for k in range(_QQ))

@@ -553,3 +553,13 @@ def test_exact_quantiles_by_narrowing(spark):
             v = cols[c][~np.isnan(cols[c])]
             assert got[c] == pytest.approx(np.quantile(v, p), rel=1e-12, abs=1e-12), (c, few)
     assert exact_quantiles(df.limit(0), {"a": [0.5]}) == {"a": [None]}
+
+
+def test_sketches_merge_and_leave_nulls_out(spark):
+    rows = spark.range(60_000).select(F.expr("id % 7").alias("date"), F.expr("CASE WHEN id % 10 > 0 THEN concat('k', id % 20000) END").alias("k"), F.lit("a").alias("g"))
+    parts = stats.distinct_sketches(rows, "k", ["g", "date"])
+    assert parts.count() == 7
+    (one,) = stats.merged_sketches(parts, ["g"]).collect()
+    assert abs(one.n_distinct - 18_000) <= 0.04 * 18_000
+    assert stats.merged_sketches(stats.distinct_sketches(rows.where("k IS NULL"), "k", ["g"]), ["g"]).first().n_distinct == 0
+    assert stats.merged_sketches(stats.distinct_sketches(rows.limit(0), "k", ["g"])).first().n_distinct == 0
