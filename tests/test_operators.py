@@ -284,7 +284,7 @@ def test_missing_values(spark, tmp_path):
         io.write_ml_ready(df.select("a"), str(tmp_path / "x"))
     io.write_ml_ready(df.select("b"), str(tmp_path / "y"))
     assert dict(qc.numeric_if_mostly(df, 0.5).dtypes)["s"] == "double" and dict(qc.numeric_if_mostly(df).dtypes)["s"] == "string"
-    assert qc.validate_table(df, ["a", "zz"], 2, 0.3) == ["no column zz", "a: 33.3% missing"]
+    assert qc.validate_table(df, ["a", "zz"], 2, 0.3) == ["no column zz", "a: 66.7% missing"]  # one NULL and one NaN of three
     nan = spark.createDataFrame([(float("nan"), "x"), (None, "y"), (1.0, None)], "a double, b string")
     assert qc.validate_table(nan, ["a", "b"], 2, 0.5) == ["a: 66.7% missing"] and qc.validate_table(nan.limit(0), ["a"], 1) == ["0 rows, at least 1 are needed"]
 
